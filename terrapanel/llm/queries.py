@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, license_scan, media_audio, quality, simhash_golay, substring_dedup
+from . import bpe, decontamination, license_scan, media_audio, pii, quality, secret_scan, simhash_golay, substring_dedup
 from .common import table
 
 ORACLE: dict[str, str] = {}
@@ -11,6 +11,8 @@ ORACLE: dict[str, str] = {}
 def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op1_secret_ownership": lambda s, d: secret_scan.op1(docs(s, d)),
+        "op2_pii_disclosure": lambda s, d: pii.op2(docs(s, d)),
         "op3_wu_manber_decontamination": lambda s, d: decontamination.op3(docs(s, d), table(s, d, "benchmark")),
         "op4_byte_bpe": lambda s, d: bpe.op4(docs(s, d)),
         "op5_debruijn_dedup": lambda s, d: substring_dedup.op5(docs(s, d)),

@@ -145,8 +145,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, n_split): encodes and decodes every whole text."""
+def digest(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, n_split[, ids]): encodes and decodes every whole text."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_split"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())]
 
     def run(batches):
         bpe = codec(path, pattern)
@@ -164,14 +166,14 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                         hashlib.sha256(data).hexdigest(),
                         bpe.offsets(array, data)[2],
                     )
+                    + (array.astype(np.int32),) * with_ids
                 )
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split"]
-            )
+            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long"
+    schema += ", ids array<int>" * with_ids
     return doc_texts(docs).mapInArrow(run, schema)
 
 

@@ -62,3 +62,14 @@ def alnum_words(text: bytes | None) -> list[bytes]:
 def blank_words(text: bytes | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of a text, unchanged."""
     return text.split() if text else []
+
+
+def keep_rows(docs: DataFrame, keeper) -> DataFrame:
+    """The rows of docs for which the function made by keeper() (once a task) says true of the text; all columns stay."""
+
+    def run(batches):
+        keep = keeper()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(text_bytes(batch)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, doc_texts, text_bytes
+from .common import alnum_words, doc_texts, keep_rows, text_bytes
 
 SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
 _ARROW = pa.schema(
@@ -106,9 +106,9 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, item_ids, hit_spans): words inside any occurrence of a benchmark window."""
-    spark = docs.sparkSession
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list:
+    """Broadcasts of (item_id, text) lists, each of about ``block_bytes`` of text at most."""
+    spark = benchmark.sparkSession
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")
     ).where("item_id is not null and text is not null")
@@ -118,33 +118,60 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     for k in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
         blocks.append(spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in part.toLocalIterator()]))
+    return blocks
+
+
+def _search(blocks: list, window: int):
+    """A function from texts to (words, merged hit spans, item ids) of each; one block's tables are held at a time."""
+    held: list = []
+
+    def search(texts: list) -> tuple[list, list, list]:
+        words = [alnum_words(t) for t in texts]
+        spans: list[list[tuple[int, int]]] = [[] for _ in words]
+        items: list[set[str]] = [set() for _ in words]
+        for block in blocks:
+            if len(blocks) > 1 or not held:
+                held[:] = [_Block(block.value, window)]
+            for k, w in enumerate(words):
+                for s, e, owners in held[0].hits(w):
+                    spans[k].append((s, e))
+                    items[k] |= owners
+        return words, [_merge(x) for x in spans], items
+
+    return search
+
 
-    def search(batches):
-        own = None
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
+    """Rows (doc_id, n_words, n_hit, item_ids, hit_spans): words inside any occurrence of a benchmark window."""
+    blocks = benchmark_blocks(benchmark, block_bytes)
+
+    def run(batches):
+        search = _search(blocks, window)
         for batch in batches:
-            words = [alnum_words(t) for t in text_bytes(batch)]
-            spans: list[list[tuple[int, int]]] = [[] for _ in words]
-            items_of: list[set[str]] = [set() for _ in words]
-            for block in blocks:
-                if n_blocks > 1 or own is None:
-                    own = _Block(block.value, window)
-                for k, w in enumerate(words):
-                    for s, e, owners in own.hits(w):
-                        spans[k].append((s, e))
-                        items_of[k] |= owners
-            merged = [_merge(x) for x in spans]
+            words, merged, items = search(text_bytes(batch))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([sum(e - s for s, e in x) for x in merged], pa.int64()),
-                    pa.array([sorted(x) for x in items_of], _ARROW.field("item_ids").type),
+                    pa.array([sorted(x) for x in items], _ARROW.field("item_ids").type),
                     pa.array([[{"start": s, "end": e} for s, e in x] for x in merged], _ARROW.field("hit_spans").type),
                 ],
                 schema=_ARROW,
             )
 
-    return doc_texts(docs).mapInArrow(search, SCHEMA)
+    return doc_texts(docs).mapInArrow(run, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
+    """The documents in which no benchmark window occurs, all columns unchanged."""
+    blocks = benchmark_blocks(benchmark, block_bytes)
+
+    def keeper():
+        search = _search(blocks, window)
+        return lambda texts: [not x for x in search(texts)[1]]
+
+    return keep_rows(docs, keeper)
 
 
 def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, staged, text_bytes
+from .common import doc_texts, keep_rows, staged, text_bytes
 
 NAMES = (
     "log_bytes", "log_words", "word_size", "upper", "digit", "blank", "stops", "marks", "symbols", "bars",
@@ -154,5 +154,17 @@ def classify(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: flo
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, shrink: float = 0.1, ridge: float = 0.01) -> DataFrame:
+    """The documents whose score reaches the threshold, all columns unchanged."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).distinct()
+    learnt = document_statistics(doc_texts(docs).join(known, "doc_id", "left_semi"))
+    model = fit(learnt, labels, ~held_out(), shrink, ridge)
+
+    def keeper():
+        return lambda texts: (model.score(np.array([statistics(t) for t in texts])) >= threshold).tolist() if texts else []
+
+    return keep_rows(docs, keeper)
+
+
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return classify(docs, labels)

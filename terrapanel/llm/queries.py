@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, license_scan, media_audio, pii, quality, secret_scan, simhash_golay, substring_dedup
+from . import bpe, decontamination, license_scan, media_audio, pii, quality, secret_scan, simhash_golay, sst_output, substring_dedup
 from .common import table
 
 ORACLE: dict[str, str] = {}
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op3_wu_manber_decontamination": lambda s, d: decontamination.op3(docs(s, d), table(s, d, "benchmark")),
         "op4_byte_bpe": lambda s, d: bpe.op4(docs(s, d)),
         "op5_debruijn_dedup": lambda s, d: substring_dedup.op5(docs(s, d)),
+        "op6_sst_tokens": lambda s, d: sst_output.op6(docs(s, d)),
         "op7_mpeg_audio": lambda s, d: media_audio.op7(docs(s, d)),
         "op8_quality_qda": lambda s, d: quality.op8(docs(s, d), table(s, d, "labels")),
         "op9_license_index": lambda s, d: license_scan.op9(docs(s, d)),

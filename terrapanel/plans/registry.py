@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("cleaning", "panels")
+_MODULES: tuple[str, ...] = ("cleaning", "panels", "joins")
 
 
 def _modules():

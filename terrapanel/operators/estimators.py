@@ -242,7 +242,7 @@ def event_study(df: DataFrame, y: str, unit: str, time: str, t: str, cluster: st
     out = []
     for k, v in enumerate(times):
         se = math.sqrt(max(covariance[k, k], 0.0))
-        out.append((int(v), float(beta[k]), se, t_p_value(beta[k] / se, g - 1) if se else None))
+        out.append((int(v), float(beta[k]), se, float(t_p_value(float(beta[k]) / se, g - 1)) if se else None))
     return out
 
 

@@ -109,7 +109,7 @@ def _(s, d):
 
 @query("pre_path_features", """SELECT unit, list(round(y, 5) ORDER BY k) AS path FROM (SELECT u.unit, k, y FROM units u CROSS JOIN (SELECT unnest(range(-12, 0)) AS k) LEFT JOIN rel r ON r.unit = u.unit AND r.t = k) GROUP BY unit""", "units panel rel")
 def _(s, d):
-    full = R.units(s, d).select("unit", F.explode(F.sequence(F.lit(-12), F.lit(-1))).cast("long").alias("t"))
+    full = R.units(s, d).select("unit", F.explode(F.sequence(F.lit(-12).cast("long"), F.lit(-1).cast("long"))).alias("t"))
     j = full.join(rel(s, d).select("unit", "t", "y"), ["unit", "t"], "left")
     got = j.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("t", F.round("y", 5).alias("y")))).alias("l"))
     return got.select("unit", F.transform("l", lambda x: x["y"]).alias("path"))

@@ -46,7 +46,7 @@ def rank_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFram
     g = df.withColumn("_m", mid).groupBy(*keys).agg(
         F.sum(F.when(F.col(label) == 1, F.col("_m"))).alias("s"), F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0")
     )
-    auc = (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))
+    auc = F.try_divide(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0"))
     return g.select(*keys, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0), auc).alias("auc"))
 
 
@@ -79,9 +79,9 @@ def macro_f1(confusion: DataFrame, true: str, pred: str, n: str) -> DataFrame:
     by_pred = confusion.groupBy(F.col(pred).alias("c")).agg(F.sum(n).alias("b"))
     j = by_true.join(by_pred, "c", "left").withColumn("b", F.coalesce("b", F.lit(0)))
     g = j.agg(F.avg(2 * F.col("h") / (F.col("a") + F.col("b"))).alias("f1"), F.sum(F.col("a") * F.col("b")).alias("ab"))
-    pe = F.col("ab") / (F.col("t") * F.col("t"))
-    acc = F.col("hit") / F.col("t")
-    return total.crossJoin(g).select(acc.alias("accuracy"), F.col("f1").alias("macro_f1"), ((acc - pe) / (1 - pe)).alias("kappa"))
+    pe = F.try_divide(F.col("ab"), F.col("t") * F.col("t"))
+    acc = F.try_divide("hit", "t")
+    return total.crossJoin(g).select(acc.alias("accuracy"), F.col("f1").alias("macro_f1"), F.try_divide(acc - pe, 1 - pe).alias("kappa"))
 
 
 def resampled(df: DataFrame, key: str, reps: int, seed: int) -> DataFrame:

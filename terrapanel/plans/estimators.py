@@ -86,7 +86,7 @@ def _(s, d):
     m = c.select("treated", "post", "x.*").where("v is not null").groupBy("treated", "arm", "post").agg(F.avg("v").alias("m"), F.count("*").alias("n"), (F.var_pop("v") * F.count("*")).alias("ss"))
     sign = F.when(F.col("arm") == 1, 1).otherwise(-1) * F.when(F.col("post"), 1).otherwise(-1)
     g = m.groupBy("treated").agg(F.sum(sign * F.col("m")).alias("b"), F.sum("ss").alias("ss"), F.sum("n").alias("n"), F.sum(1 / F.col("n")).alias("k"), F.count("*").alias("cells")).where("cells = 4")
-    return g.select("treated", F.round("b", 5).alias("beta"), F.round(F.sqrt(F.col("ss") / (F.col("n") - 4) * F.col("k")), 5).alias("se"))
+    return g.select("treated", F.round("b", 5).alias("beta"), F.round(F.sqrt(F.try_divide("ss", F.col("n") - 4) * F.col("k")), 5).alias("se"))
 
 
 @query("event_calendar", """SELECT unit, t::INT AS event_time, CAST(opening + to_months(CAST(t AS INT)) AS DATE) AS period, CASE WHEN t = -7 THEN 'reference' WHEN t < -7 THEN 'pre' WHEN t < 0 THEN 'anticipation' WHEN t = 0 THEN 'opening' ELSE 'post' END AS role
@@ -219,7 +219,7 @@ def _(s, d):
     long = features(s, d).unpivot(["treated"], FEATURES, "feature", "v")
     on = lambda g, a: g(F.when(a, F.col("v")))
     t = F.col("treated")
-    smd = (on(F.avg, t) - on(F.avg, ~t)) / F.sqrt((on(F.var_samp, t) + on(F.var_samp, ~t)) / 2)
+    smd = F.try_divide(on(F.avg, t) - on(F.avg, ~t), F.sqrt((on(F.var_samp, t) + on(F.var_samp, ~t)) / 2))
     return long.groupBy("feature").agg(F.round(smd, 4).alias("smd"))
 
 
@@ -297,7 +297,7 @@ def _(s, d):
     r = rel(s, d)
     r = r.join(r.where("t < 0").groupBy("unit").agg(F.count("*").alias("pre")).where("pre >= 36"), "unit")
     g = r.where("not treated").groupBy("city").agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd"))
-    return r.join(g, "city").select("unit", "period", F.when(F.col("treated"), "treated").otherwise("donor").alias("role"), (F.col("treated") & (F.col("t") >= 0)).cast("int").alias("d"), F.round((F.col("y") - F.col("m")) / F.col("sd"), 5).alias("model_value"))
+    return r.join(g, "city").select("unit", "period", F.when(F.col("treated"), "treated").otherwise("donor").alias("role"), (F.col("treated") & (F.col("t") >= 0)).cast("int").alias("d"), F.round(F.try_divide(F.col("y") - F.col("m"), F.col("sd")), 5).alias("model_value"))
 
 
 def unit_paths(s, d, t: int = 24):

@@ -42,7 +42,7 @@ def _(s, d):
     m = e.groupBy("event_time").agg(F.avg("effect").alias("m"), F.count("*").alias("n"))
     c = e.join(m, "event_time").groupBy("event_time", "city", "m", "n").agg(F.sum(F.col("effect") - F.col("m")).alias("s"))
     g = c.groupBy("event_time", "m", "n").agg(F.count("*").alias("g"), F.sum(F.col("s") * F.col("s")).alias("q"))
-    return g.select("event_time", "n", F.col("g").alias("n_cities"), F.round("m", 5).alias("mean"), F.round(F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("q")) / F.col("n"), 5).alias("se"))
+    return g.select("event_time", "n", F.col("g").alias("n_cities"), F.round("m", 5).alias("mean"), F.round(F.sqrt(F.try_divide(F.col("g"), F.col("g") - 1) * F.col("q")) / F.col("n"), 5).alias("se"))
 
 
 R.SQL["pretrend"] = """SELECT event_time, avg(m) AS m, stddev_samp(m) / sqrt(count(*)) AS se, count(*) AS g FROM (SELECT event_time, city, avg(effect) AS m FROM lab WHERE effect IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""
@@ -55,13 +55,13 @@ def pretrend(s, d):
 
 @query("pretrend_cluster_test", "SELECT event_time, g, round(m, 3) AS mean, round(m / se, 3) AS t FROM pretrend", EFF2 + " pretrend")
 def _(s, d):
-    return pretrend(s, d).select("event_time", "g", F.round("m", 3).alias("mean"), F.round(F.col("m") / F.col("se"), 3).alias("t"))
+    return pretrend(s, d).select("event_time", "g", F.round("m", 3).alias("mean"), F.round(F.try_divide("m", "se"), 3).alias("t"))
 
 
 @query("pretrend_attach", """SELECT treated, event_time, CASE WHEN effect IS NULL THEN 'missing' WHEN abs(m / se) > 2 THEN 'pretrend' ELSE 'clean' END AS flag FROM effects LEFT JOIN pretrend USING (event_time)""", EFF2 + " pretrend")
 def _(s, d):
     j = effects(s, d).join(pretrend(s, d), "event_time", "left")
-    return j.select("treated", "event_time", F.when(F.col("effect").isNull(), "missing").when(F.abs(F.col("m") / F.col("se")) > 2, "pretrend").otherwise("clean").alias("flag"))
+    return j.select("treated", "event_time", F.when(F.col("effect").isNull(), "missing").when(F.abs(F.try_divide("m", "se")) > 2, "pretrend").otherwise("clean").alias("flag"))
 
 
 @query("release_standardize", """SELECT treated::VARCHAR AS id, 'match' AS method, event_time, effect AS estimate FROM effects UNION ALL SELECT 'pooled', 'pooled', event_time, round(m, 3) FROM pretrend""", EFF2 + " pretrend")
@@ -121,7 +121,7 @@ def _(s, d):
 def _(s, d):
     p = R.panel(s, d)
     fit = p.where("unit % 10 < 7").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("sd"))
-    return p.crossJoin(F.broadcast(fit)).select("unit", "period", F.round((F.col("y") - F.col("m")) / F.col("sd"), 5).alias("z"))
+    return p.crossJoin(F.broadcast(fit)).select("unit", "period", F.round(F.try_divide(F.col("y") - F.col("m"), F.col("sd")), 5).alias("z"))
 
 
 @query("model_input_tables", """SELECT treated, count(*) AS cells, count(effect) AS n_available, max(CASE WHEN effect IS NOT NULL THEN 1 ELSE 0 END)::INT AS in_sample FROM effects GROUP BY 1""", EFF)

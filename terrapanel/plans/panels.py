@@ -222,7 +222,7 @@ def _(s, d):
 def _(s, d):
     m = R.panel(s, d).where(F.year("period").between(1996, 1998)).groupBy("unit", "city").agg(F.avg("y").alias("v"))
     w = Window.partitionBy("city")
-    return m.select("unit", F.round((F.col("v") - F.avg("v").over(w)) / F.stddev_pop("v").over(w), 4).alias("z"))
+    return m.select("unit", F.round(F.try_divide(F.col("v") - F.avg("v").over(w), F.stddev_pop("v").over(w)), 4).alias("z"))
 
 
 @query("city_year_summary", """SELECT city, year(period)::INT AS year, round(ln(1 + sum(n)), 6) AS log_total, round(count(DISTINCT unit) / any_value(k), 6) AS coverage FROM panel

@@ -2,12 +2,12 @@
 
 An edge of the graph is a window of ``window`` words. Consecutive windows whose smallest ``anchor``-word hash stands at the
 same place form one nonbranching path (the same words always give the same paths), so a corpus is stored as paths, about one
-for every seven windows. Equal paths meet by (anchor hash, path hash); all but the earliest are repeats as a whole. Only
+for every eight windows. Equal paths meet by (anchor hash, path hash); all but the earliest are repeats as a whole. Only
 where one anchor leads to several different paths (the graph branches) are the earliest of these paths opened into their
 windows, which then meet by a 96-bit hash. Exact copies of a whole text are found first, by digest, and never enter the
 graph. All comparisons are "earlier by (doc_id, start)", so the result is that of comparing all windows with each other.
 
-Equal paths are first ranked within salts of the document id, so that a passage in a third of all documents is spread
+Equal paths are first compared within salts of the document id, so that a passage in a third of all documents is spread
 over ``salts`` tasks, and only the first of each salt goes on.
 
 Defined results: null text has no words; a document with fewer than ``window`` words loses nothing; a null doc_id counts
@@ -117,19 +117,24 @@ def branch_windows(keyed: DataFrame, window: int) -> DataFrame:
     return keyed.mapInArrow(run, "anchor long, body long, k long, at int, n int")
 
 
+def _is_later(*keys: str):
+    """Whether a row has an equal one with a smaller (k, at) among the rows with the same keys."""
+    first = F.first(F.struct("k", "at")).over(Window.partitionBy(*keys).orderBy("k", "at"))
+    return F.struct("k", "at") > first
+
+
 def _later(rows: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
     """Rows that have an equal, earlier one in their salt; and the first of each salt."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
-    own = Window.partitionBy("anchor", "body", "salt").orderBy("k", "at")
-    ranked = salted.withColumn("rank", F.rank().over(own))
-    return ranked.where("rank > 1"), ranked.where("rank = 1").drop("rank", "salt")
+    marked = salted.withColumn("later", _is_later("anchor", "body", "salt"))
+    return marked.where("later"), marked.where("not later").drop("later", "salt")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("k", (F.shiftleft(F.col("at").cast("long"), _COUNT_BITS) + F.col("n")).alias("span"))
 
 
-def removed_spans(docs: DataFrame, window: int = 20, anchor: int = 8, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, window: int = 20, anchor: int = 6, salts: int = 16) -> tuple[DataFrame, DataFrame]:
     """(documents with their copy flag, rows (k, span) of windows that also start earlier)."""
     rows = doc_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), "text")
     digests = rows.select("k", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
@@ -140,23 +145,21 @@ def removed_spans(docs: DataFrame, window: int = 20, anchor: int = 8, salts: int
     later, heads = _later(paths(keyed, window, anchor), salts)
     by_anchor = Window.partitionBy("anchor")
     heads = (
-        heads.withColumn("rank", F.rank().over(Window.partitionBy("anchor", "body").orderBy("k", "at")))
+        heads.withColumn("later", _is_later("anchor", "body"))
         .withColumn("low", F.min("body").over(by_anchor))
         .withColumn("high", F.max("body").over(by_anchor))
     )
-    branching = _packed(heads.where("rank = 1 and low <> high"))
+    branching = _packed(heads.where("not later and low <> high"))
     opened = branching.groupBy("k").agg(F.collect_list("span").alias("spans"))
     later_windows, window_heads = _later(branch_windows(keyed.join(opened, "k", "left"), window), salts)
-    window_heads = window_heads.withColumn(
-        "rank", F.rank().over(Window.partitionBy("anchor", "body").orderBy("k", "at"))
-    )
+    window_heads = window_heads.withColumn("later", _is_later("anchor", "body"))
     removed = _packed(later.select("k", "at", "n"))
     for more in (heads, later_windows, window_heads):
-        removed = removed.unionByName(_packed(more.where("rank > 1").select("k", "at", "n")))
+        removed = removed.unionByName(_packed(more.where("later").select("k", "at", "n")))
     return keyed, removed
 
 
-def dedup(docs: DataFrame, window: int = 20, anchor: int = 8, salts: int = 16, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 20, anchor: int = 6, salts: int = 16, keep_text: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256[, kept]) after words in repeated windows are removed."""
     keyed, removed = removed_spans(docs, window, anchor, salts)
     lists = removed.groupBy("k").agg(F.collect_list("span").alias("spans"))

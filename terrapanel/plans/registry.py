@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("cleaning", "panels", "joins", "estimators", "audits", "evaluation", "sources", "surfaces")
+_MODULES: tuple[str, ...] = ("cleaning", "panels", "joins", "estimators", "audits", "evaluation", "sources", "surfaces", "counterfactuals")
 
 
 def _modules():

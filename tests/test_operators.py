@@ -101,3 +101,17 @@ def test_utm_of_a_central_meridian(spark):
     r = C.project_utm(spark.createDataFrame([(117.0, 0.0), (117.0, 40.0)], "lon double, lat double"), "lon", "lat").collect()
     assert r[0]["utm_zone"] == 50 and abs(r[0]["utm_x"] - 500000) < 1e-6 and abs(r[0]["utm_y"]) < 1e-6
     assert abs(r[1]["utm_y"] - 4427757.2187) < 0.01
+
+
+def test_low_rank_counterfactual_recovers_a_planted_effect(spark):
+    from terrapanel.operators import counterfactual as K
+
+    rng, t = np.random.default_rng(5), 10
+    factor = np.sin(np.arange(t))
+    donors = [(i, [float(a + b * f + 0.1 * k) for k, f in enumerate(factor)]) for i, (a, b) in enumerate(rng.normal(size=(30, 2)))]
+    donors[0][1][3] = None
+    _, effect, projection = E.low_rank(spark.createDataFrame(donors, "unit long, y array<double>"), t, 1, rounds=6)
+    y = [float(2 + 1.5 * f + 0.1 * k + (k >= 7)) for k, f in enumerate(factor)]
+    unit = spark.createDataFrame([(99, y, 7)], "unit long, y array<double>, start int")
+    rows = K.loadings(unit, effect, K.leading(projection, 1)).where("k >= 7").collect()
+    assert all(abs(r["observed"] - r["counterfactual"] - 1) < 0.05 for r in rows) and rows[0]["pre_rmspe"] < 0.05

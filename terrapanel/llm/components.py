@@ -168,7 +168,7 @@ def _pairs_of_blocks(predicate):
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Rows (node, root) for every node of the links (a, b): root is the smallest node that can be reached.
+    """Rows (node, root) for every node of the links (a, b) but the roots: root is the smallest node that can be reached.
 
     Alternating large-star and small-star steps; every round is written to the shared folder.
     """

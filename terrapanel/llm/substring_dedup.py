@@ -7,8 +7,8 @@ where one anchor leads to several different paths (the graph branches) are the e
 windows, which then meet by a 96-bit hash. Exact copies of a whole text are found first, by digest, and never enter the
 graph. All comparisons are "earlier by (doc_id, start)", so the result is that of comparing all windows with each other.
 
-Equal paths are first compared within salts of the document id, so that a passage in a third of all documents is spread
-over ``salts`` tasks, and only the first of each salt goes on.
+Before the shuffle, each Arrow batch of documents marks the paths that an earlier one of the same batch equals; they are
+repeats already and are dealt out evenly, so a passage in a third of all documents sends one path a batch to its task.
 
 Defined results: null text has no words; a document with fewer than ``window`` words loses nothing; a null doc_id counts
 as smaller than all others; rows that share a doc_id form one document for comparison (places that tie are not earlier), and
@@ -32,6 +32,22 @@ _SHIFT = np.uint64(31)
 _COUNT_BITS = 8
 
 
+ROWS = "anchor long, body long, k long, at int, n int, late boolean"
+
+
+def _marked(anchor, body, key, at, n) -> pa.RecordBatch:
+    """Rows of one batch; late: an equal row of the batch has a smaller (k, at). Late rows get a scattered anchor and no body."""
+    order = np.lexsort((at, key, body, anchor))
+    anchor, body, key, at, n = (x[order] for x in (anchor, body, key, at, n))
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1])])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    late = (key != key[first]) | (at != at[first])
+    scattered = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (at.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    anchor = np.where(late, scattered, anchor.astype(np.uint64)).view(np.int64)
+    arrays = [pa.array(anchor), pa.array(body.view(np.int64), mask=late), pa.array(key), pa.array(at), pa.array(n), pa.array(late)]
+    return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in ROWS.split(", ")])
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -56,7 +72,7 @@ def _bounds(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def paths(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Rows (anchor, body, k, at, n): the paths of every document that is not a copy; n windows from word ``at``."""
+    """Rows of ROWS: the paths of every document that is not a copy; n windows from word ``at``."""
 
     def run(batches):
         known = _WordHashes()
@@ -83,15 +99,13 @@ def paths(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
                 columns[3].append(starts.astype(np.int32))
                 columns[4].append(counts.astype(np.int32))
             if columns[0]:
-                flat = [np.concatenate(c) for c in columns]
-                arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in flat]
-                yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "body", "k", "at", "n"])
+                yield _marked(*[np.concatenate(c) for c in columns])
 
-    return keyed.mapInArrow(run, "anchor long, body long, k long, at int, n int")
+    return keyed.mapInArrow(run, ROWS)
 
 
 def branch_windows(keyed: DataFrame, window: int) -> DataFrame:
-    """Rows (anchor, body, k, at, n=1): single windows of the listed paths of each document, with their hashes."""
+    """Rows of ROWS: single windows (n = 1) of the listed paths of each document, with 96 bits of their hash."""
 
     def run(batches):
         for batch in batches:
@@ -109,32 +123,24 @@ def branch_windows(keyed: DataFrame, window: int) -> DataFrame:
                         h = xxhash.xxh3_128_digest(joined[first[s] : last[s + window - 1]])
                         low, high = int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:12], "little")
                         out.append((high, low, key, s, 1))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "body", "k", "at", "n"])
-
-    return keyed.mapInArrow(run, "anchor long, body long, k long, at int, n int")
-
+            if out:
+                kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+                yield _marked(*[np.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)])
 
-def _is_later(*keys: str):
-    """Whether a row has an equal one with a smaller (k, at) among the rows with the same keys."""
-    first = F.first(F.struct("k", "at")).over(Window.partitionBy(*keys).orderBy("k", "at"))
-    return F.struct("k", "at") > first
+    return keyed.mapInArrow(run, ROWS)
 
 
-def _later(rows: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
-    """Rows that have an equal, earlier one in their salt; and the first of each salt."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
-    marked = salted.withColumn("later", _is_later("anchor", "body", "salt"))
-    return marked.where("later"), marked.where("not later").drop("later", "salt")
+def _judged(rows: DataFrame) -> DataFrame:
+    """Rows by anchor, with ``late`` also where an equal row of another batch has a smaller (k, at)."""
+    first = F.first(F.struct("k", "at")).over(Window.partitionBy("anchor", "body").orderBy("k", "at"))
+    return rows.repartition("anchor").withColumn("late", F.col("late") | (F.struct("k", "at") > first))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("k", (F.shiftleft(F.col("at").cast("long"), _COUNT_BITS) + F.col("n")).alias("span"))
 
 
-def removed_spans(docs: DataFrame, window: int = 20, anchor: int = 6, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, window: int = 20, anchor: int = 6) -> tuple[DataFrame, DataFrame]:
     """(documents with their copy flag, rows (k, span) of windows that also start earlier)."""
     rows = doc_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), "text")
     digests = rows.select("k", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
@@ -142,26 +148,18 @@ def removed_spans(docs: DataFrame, window: int = 20, anchor: int = 6, salts: int
     copies = digests.join(first, "digest").where("k > first").groupBy("k").agg(F.lit(True).alias("copy"))
     keyed = rows.repartition("k").join(copies, "k", "left")
 
-    later, heads = _later(paths(keyed, window, anchor), salts)
+    found = _judged(paths(keyed, window, anchor))
     by_anchor = Window.partitionBy("anchor")
-    heads = (
-        heads.withColumn("later", _is_later("anchor", "body"))
-        .withColumn("low", F.min("body").over(by_anchor))
-        .withColumn("high", F.max("body").over(by_anchor))
-    )
-    branching = _packed(heads.where("not later and low <> high"))
+    ranged = found.withColumn("low", F.min("body").over(by_anchor)).withColumn("high", F.max("body").over(by_anchor))
+    branching = _packed(ranged.where("not late and low <> high"))
     opened = branching.groupBy("k").agg(F.collect_list("span").alias("spans"))
-    later_windows, window_heads = _later(branch_windows(keyed.join(opened, "k", "left"), window), salts)
-    window_heads = window_heads.withColumn("later", _is_later("anchor", "body"))
-    removed = _packed(later.select("k", "at", "n"))
-    for more in (heads, later_windows, window_heads):
-        removed = removed.unionByName(_packed(more.where("later").select("k", "at", "n")))
-    return keyed, removed
+    windows = _judged(branch_windows(keyed.join(opened, "k", "left"), window))
+    return keyed, _packed(found.where("late")).unionByName(_packed(windows.where("late")))
 
 
-def dedup(docs: DataFrame, window: int = 20, anchor: int = 6, salts: int = 16, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 20, anchor: int = 6, keep_text: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256[, kept]) after words in repeated windows are removed."""
-    keyed, removed = removed_spans(docs, window, anchor, salts)
+    keyed, removed = removed_spans(docs, window, anchor)
     lists = removed.groupBy("k").agg(F.collect_list("span").alias("spans"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
 

@@ -46,7 +46,7 @@ def test_substring_dedup_equals_brute_force(spark):
                     gone[i : i + window] = [True] * window
             kept = b" ".join(x for x, g in zip(w, gone) if not g)
             want[d] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
-        got = substring_dedup.dedup(frame(spark, rows), window, anchor, salts=3).collect()
+        got = substring_dedup.dedup(frame(spark, rows), window, anchor).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 

@@ -17,17 +17,18 @@ _FIELDS = [("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("block
 
 
 def _forest(near, rows: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest (pairs of row numbers) of the rows of one block that ``near`` links."""
-    table = np.stack([near(np.full(len(rows), r), rows) for r in rows])
-    labels = np.arange(len(rows))
-    while True:
-        best = np.where(table, labels[None, :], len(rows)).min(1)
-        best = np.minimum(labels, best)
-        best = best[best]
-        if (best == labels).all():
-            break
-        labels = best
-    return [(rows[i], rows[r]) for i, r in enumerate(labels) if i != r]
+    """A spanning forest (pairs of row numbers) of the rows of one block that ``near`` links: each row that is reached is
+    compared with those not reached yet."""
+    out = []
+    while len(rows):
+        reached, rows = [rows[0]], rows[1:]
+        while reached and len(rows):
+            r = reached.pop()
+            linked = near(np.full(len(rows), r), rows)
+            out += [(x, r) for x in rows[linked].tolist()]
+            reached += rows[linked].tolist()
+            rows = rows[~linked]
+    return out
 
 
 def _block_links(bucket: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +133,7 @@ def bucket_links(keys: DataFrame, predicate) -> DataFrame:
     if rest.isEmpty():
         return links.distinct()
     counts = rest.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
-    data = keys.select("bucket", "node", "data").distinct()
+    data = keys.select("bucket", "node", "data").join(counts.select("bucket"), "bucket", "left_semi").distinct()
     spread = rest.distinct().join(counts, "bucket").join(data, ["bucket", "node"])
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
     pair = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
@@ -157,7 +158,7 @@ def _pairs_of_blocks(predicate):
 
     def flush(held):
         node = np.array([x[1] for x in held], np.int64)
-        near = predicate(np.array([x[2] for x in held]))
+        near = predicate(np.array([x[2] for x in held], object))
         pairs = _forest(near, np.arange(len(node)))
         a = np.array([node[i] for i, _ in pairs], np.int64)
         b = np.array([node[j] for _, j in pairs], np.int64)

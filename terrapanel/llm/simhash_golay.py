@@ -153,7 +153,7 @@ def op10(docs: DataFrame) -> DataFrame:
 
 # Near duplicates for the pipeline: five-word shingles, similarity 0.8 or more.
 
-_BANDS, _ROWS = 20, 6
+_BANDS, _ROWS = 30, 6
 _PRIME_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,8 +166,8 @@ def _minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (k, digest, fp, signature, bands): word digest, fingerprint, 8-bit MinHash values and band hashes."""
-    names = ["k", "digest", "fp", "signature", "bands"]
+    """Rows (k, digest, fp, bands): digest of the lower-cased words, fingerprint and MinHash band hashes."""
+    names = ["k", "digest", "fp", "bands"]
 
     def run(batches):
         random = np.random.default_rng(_SEED)
@@ -185,34 +185,81 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     for k, row in enumerate(mixed.reshape(_BANDS, _ROWS))
                 ]
                 fp = int(np.uint64(majority(hashes)).astype(np.int64))
-                out.append((NULL_ID if doc_id is None else doc_id, digest, fp, (mixed >> np.uint64(56)).astype(np.uint8).tobytes(), bands))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                out.append((NULL_ID if doc_id is None else doc_id, digest, fp, bands))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return doc_texts(docs).mapInArrow(run, "k long, digest string, fp long, signature binary, bands array<long>")
+    return doc_texts(docs).mapInArrow(run, "k long, digest string, fp long, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (node, data) from rows (k, text): sorted distinct shingle hashes, 8 bytes each."""
+
+    def run(batches):
+        for batch in batches:
+            data = [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in text_bytes(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["node", "data"])
+
+    return texts.select("k", "text").mapInArrow(run, "node long, data binary")
 
 
 def similar(threshold: float):
-    """Share of equal 8-bit MinHash values, corrected for chance, against the threshold."""
-    least = threshold + (1 - threshold) / 256
+    """Whether two shingle sets have a Jaccard similarity of at least the threshold, by exact counts."""
 
     def predicate(data):
-        table = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1) if len(data) else np.zeros((0, 1), np.uint8)
-        return lambda i, j: (table[i] == table[j]).mean(1) >= least
+        sets = [np.frombuffer(x, "<u8") for x in data]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        ends = np.cumsum(sizes)
+        numbers: list[np.ndarray] = []
+
+        def common(i, j):
+            """Shared shingles of row i[0] with each of the rows j: marks its shingles, then sums the marks by row."""
+            if not numbers:
+                numbers.append(np.unique(np.concatenate(sets), return_inverse=True)[1])
+            own = numbers[0]
+            mark = np.zeros(int(own.max(initial=0)) + 1, np.int64)
+            mark[own[ends[i[0]] - sizes[i[0]] : ends[i[0]]]] = 1
+            marks = mark[np.concatenate([own[ends[x] - sizes[x] : ends[x]] for x in j])]
+            sums = np.concatenate([[0], np.cumsum(marks)])
+            stops = np.cumsum(sizes[j])
+            return sums[stops] - sums[stops - sizes[j]]
+
+        def near(i, j):
+            if not len(i):
+                return np.zeros(0, bool)
+            both = np.zeros(len(i), np.int64)
+            least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+            open_ = np.flatnonzero(least >= threshold * most - 1e-9)
+            if len(open_) > 1 and (i == i[0]).all():
+                both[open_] = common(i, j[open_])
+            else:
+                for p in open_.tolist():
+                    both[p] = len(np.intersect1d(sets[i[p]], sets[j[p]], assume_unique=True))
+            return both / np.maximum(sizes[i] + sizes[j] - both, 1) >= threshold
+
+        return near
 
     return predicate
 
 
+def shared_buckets(keys: DataFrame) -> DataFrame:
+    """The rows (bucket, node) of buckets with two nodes or more; of buckets with the same nodes only one."""
+    node = F.xxhash64("node").cast("decimal(38,0)")
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(node).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    one = sizes.where("n > 1").groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return keys.join(one, "bucket", "left_semi")
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """Rows (k, root) of every document that an earlier one makes redundant (k: doc_id, or NULL_ID): root is its group's.
 
-    Exact copies (equal words) meet by digest; then fingerprints within 3 bits through the Golay keys, confirmed by the
-    MinHash estimate; then pairs that share a MinHash band and whose estimate reaches the threshold, because shingle
-    sets of similarity 0.8 usually differ in more than 3 fingerprint bits.
+    Exact copies (equal words) meet by digest. Candidates are pairs whose fingerprints the Golay keys link, and documents
+    that share a MinHash band, because shingle sets of similarity 0.8 usually differ in more than 3 fingerprint bits.
+    Only documents of buckets with a second member have their shingle sets made and compared, exactly.
     """
     rows = staged(signatures(docs, shingle), "signatures")
-    first = rows.groupBy("digest").agg(F.min(F.struct("k", "fp", "signature", "bands")).alias("r"))
+    first = rows.groupBy("digest").agg(F.min(F.struct("k", "fp", "bands")).alias("r"))
     firsts = staged(first.select("digest", "r.*"), "firsts")
     prints = firsts.groupBy("fp").agg(F.min("k").alias("k"))
     linked = fingerprint_links(firsts, 3)
@@ -220,21 +267,14 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, threshold: float =
         prints.select(F.col("fp").alias("b"), F.col("k").alias("y")), "b"
     )
     same = firsts.join(prints.withColumnRenamed("k", "y"), "fp").where("k <> y").select(F.col("k").alias("x"), "y")
-    candidates = by_print.select("x", "y").unionByName(same)
-    left = firsts.select(F.col("k").alias("x"), F.col("signature").alias("sx"))
-    right = firsts.select(F.col("k").alias("y"), F.col("signature").alias("sy"))
-    check = similar(threshold)
-
-    def confirm(batches):
-        for batch in batches:
-            data = np.array(batch.column(2).to_pylist() + batch.column(3).to_pylist(), object)
-            n = batch.num_rows
-            keep = check(data)(np.arange(n), np.arange(n, 2 * n)) if n else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    confirmed = candidates.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(confirm, "a long, b long")
-    keys = firsts.where(F.length("digest") > 0).select(F.explode("bands").alias("bucket"), F.col("k").alias("node"), F.col("signature").alias("data"))
-    roots = components(bucket_links(keys, check).unionByName(confirmed))
+    pairs = by_print.select("x", "y").unionByName(same)
+    pair_keys = pairs.select(F.xxhash64("x", "y").alias("bucket"), F.explode(F.array("x", "y")).alias("node"))
+    bands = firsts.select(F.explode("bands").alias("bucket"), F.col("k").alias("node"))
+    shared = staged(shared_buckets(staged(bands.unionByName(pair_keys), "keys")), "shared")
+    texts = doc_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), "text")
+    needed = texts.join(shared.select(F.col("node").alias("k")).distinct(), "k", "left_semi")
+    sets = staged(shingle_sets(needed, shingle), "sets")
+    roots = components(bucket_links(shared.join(sets, "node"), similar(threshold)))
     copies = rows.select("k", "digest").join(firsts.select("digest", F.col("k").alias("head")), "digest")
     placed = copies.join(roots.withColumnRenamed("node", "head"), "head", "left")
     return placed.select("k", F.coalesce("root", "head").alias("root")).where("k <> root").distinct()

@@ -144,3 +144,30 @@ def test_pipeline_stages(spark, tmp_path):
         docs = after
     again = corpus_pipeline.run(spark, sf).select("doc_id", "ids_sha256")
     assert sorted(again.collect()) == sorted(docs.select("doc_id", "ids_sha256").collect()) and docs.count() > 50
+
+
+def test_near_duplicate_groups_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [None, "", " ", "one two", "One  Two", "one two three four five"]
+    for size in (12, 40, 150):
+        base = [rng.choice(VOCABULARY) for _ in range(size)]
+        for edits in [0, 0, 1, 1, 1, 1, 2, 2, 2, 3, 3, 4, 5, 6] * 3:
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(size)] = rng.choice(VOCABULARY)
+            rows.append(" ".join(words))
+    sets = []
+    for t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= 0.8:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if x == high else x for x in parent]
+    want = {k: r for k, r in enumerate(parent) if k != r}
+    for block in (2048, 16):
+        monkeypatch.setattr(components, "BLOCK", block)
+        got = {r["k"]: r["root"] for r in simhash_golay.near_duplicate_groups(frame(spark, rows)).collect()}
+        assert got == want

@@ -36,7 +36,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document with digests of ids and decoded text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digest(docs, path, public_tokenizers.PATTERN, with_ids=True)
+    return bpe.digest(docs, path, public_tokenizers.PATTERN, with_ids=True, cache_units=100_000)
 
 
 STAGES = [

@@ -76,8 +76,8 @@ class ByteBpe:
         ]
         return np.array(ids, dtype="<u4").tobytes()
 
-    def trim(self) -> None:
-        if len(self.bare) + len(self.led) > CACHE_UNITS:
+    def trim(self, most: int = CACHE_UNITS) -> None:
+        if len(self.bare) + len(self.led) > most:
             self.bare.clear()
             self.led.clear()
 
@@ -145,15 +145,18 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, n_split[, ids]): encodes and decodes every whole text."""
+def digest(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, cache_units: int = CACHE_UNITS) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, n_split[, ids]): encodes and decodes every whole text.
+
+    ``cache_units`` bounds the units that a worker remembers from batch to batch; it changes memory and speed only.
+    """
     names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_split"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())]
 
     def run(batches):
         bpe = codec(path, pattern)
         for batch in batches:
-            bpe.trim()
+            bpe.trim(cache_units)
             rows: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 array = np.frombuffer(bpe.encode(text), "<u4")

@@ -194,11 +194,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """Rows (node, data) from rows (k, text): sorted distinct shingle hashes, 8 bytes each."""
+    """Rows (node, data) from rows (k, text): sorted distinct 32-bit shingle hashes."""
 
     def run(batches):
         for batch in batches:
-            data = [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in text_bytes(batch)]
+            data = [np.unique(shingle_hashes(t, shingle).astype("<u4")).tobytes() for t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["node", "data"])
 
     return texts.select("k", "text").mapInArrow(run, "node long, data binary")
@@ -208,22 +208,20 @@ def similar(threshold: float):
     """Whether two shingle sets have a Jaccard similarity of at least the threshold, by exact counts."""
 
     def predicate(data):
-        sets = [np.frombuffer(x, "<u8") for x in data]
+        sets = [np.frombuffer(x, "<u4") for x in data]
         sizes = np.array([len(x) for x in sets], np.int64)
-        ends = np.cumsum(sizes)
-        numbers: list[np.ndarray] = []
 
         def common(i, j):
-            """Shared shingles of row i[0] with each of the rows j: marks its shingles, then sums the marks by row."""
-            if not numbers:
-                numbers.append(np.unique(np.concatenate(sets), return_inverse=True)[1])
-            own = numbers[0]
-            mark = np.zeros(int(own.max(initial=0)) + 1, np.int64)
-            mark[own[ends[i[0]] - sizes[i[0]] : ends[i[0]]]] = 1
-            marks = mark[np.concatenate([own[ends[x] - sizes[x] : ends[x]] for x in j])]
-            sums = np.concatenate([[0], np.cumsum(marks)])
-            stops = np.cumsum(sizes[j])
-            return sums[stops] - sums[stops - sizes[j]]
+            """Shared shingles of row i[0] with each of the rows j, 256 rows at a time."""
+            own, out = sets[i[0]], np.zeros(len(j), np.int64)
+            for at in range(0, len(j) if len(own) else 0, 256):
+                part = j[at : at + 256]
+                other = np.concatenate([sets[x] for x in part])
+                found = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                sums = np.concatenate([[0], np.cumsum(found)])
+                stops = np.cumsum(sizes[part])
+                out[at : at + 256] = sums[stops] - sums[stops - sizes[part]]
+            return out
 
         def near(i, j):
             if not len(i):

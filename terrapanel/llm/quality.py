@@ -156,8 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: flo
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, shrink: float = 0.1, ridge: float = 0.01) -> DataFrame:
     """The documents whose score reaches the threshold, all columns unchanged."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).distinct()
-    learnt = document_statistics(doc_texts(docs).join(known, "doc_id", "left_semi"))
+    learnt = document_statistics(docs)
     model = fit(learnt, labels, ~held_out(), shrink, ridge)
 
     def keeper():

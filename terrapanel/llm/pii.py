@@ -3,11 +3,14 @@
 Direct identifiers (e-mail, IP address, card, phone) are found in every whole text and are the protected entities. Terms of
 at least ``term_size`` letters or digits within ``reach`` characters of an entity co-occur with it. From document counts over
 the whole corpus, a term t discloses entity e by PMI(t; e) = log2(n(t,e) * N / (n(t) * n(e))) against the entity's
-information IC(e) = log2(N / n(e)). A term that stands with the entity in at least ``support`` documents and discloses at least
-``generalise`` of IC(e) is generalised, at least ``remove`` of it is removed. Texts without an entity stay as they are.
+information IC(e) = log2(N / n(e)). PMI / IC is the share of the entity's information in the term; it needs the chance of the
+entity where the term stands, n(t,e) / n(t), which few documents give badly. It is smoothed by ``prior`` documents of the
+entity's corpus rate: (n(t,e) + prior * n(e) / N) / (n(t) + prior). A term whose smoothed share is at least ``generalise``
+discloses the entity, however few documents hold it; such a term is removed if its plain share is at least ``remove``, else
+generalised. Texts without an entity stay as they are.
 
-Counts of terms are taken over all documents, summed before and after the shuffle, and then limited to terms that reach the
-support: by a broadcast where these are at most BROADCAST_TERMS, else by a shuffled join.
+Counts of terms are taken over all documents, summed before and after the shuffle, and then limited to terms that stand with an
+entity: by a broadcast where these are at most BROADCAST_TERMS, else by a shuffled join.
 
 Defined results: null text counts as empty; every input row gives one output row; rows with equal doc_id and text are counted as
 separate documents; extra columns are ignored; an empty table gives no rows.
@@ -67,7 +70,7 @@ def _terms(text: Column, spans: Column, reach: int, size: int) -> Column:
 
 
 def scan(
-    docs: DataFrame, reach: int = 60, term_size: int = 4, support: int = 3, generalise: float = 0.9, remove: float = 0.999
+    docs: DataFrame, reach: int = 60, term_size: int = 4, prior: float = 1.0, generalise: float = 0.9, remove: float = 0.999
 ) -> DataFrame:
     """Rows (doc_id, digest, base, spans): base by kind and start; spans also has disclosing terms (kinds 4 and 5)."""
     rows = docs.select(
@@ -87,18 +90,19 @@ def scan(
     )
     pairs = kept.select("row", F.explode("near").alias("t")).select("row", "t.*")
     both = pairs.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = staged(both.where(F.col("n_both") >= support), "pairs")
+    both = staged(both, "pairs")
     terms = both.select("term").distinct()
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}0-9]{{{term_size},}}"), F.lit(0)))
     counted = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     limited = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     term_docs = counted.join(limited, "term")
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
-    share = both.join(entity_docs, "entity").join(term_docs, "term").select(
-        "entity", "term", F.when(information > 0, pmi / information).otherwise(0.0).alias("share")
-    )
-    disclosing = share.where(F.col("share") >= generalise)
+    n = F.lit(float(max(total, 1)))
+    information = F.log2(n / F.col("n_entity"))
+    plain = F.log2(F.col("n_both") / F.col("n_term"))
+    smooth = F.log2((F.col("n_both") + prior * F.col("n_entity") / n) / (F.col("n_term") + prior))
+    share = lambda chance: F.when(information > 0, 1 + chance / information).otherwise(0.0)
+    scored = both.join(entity_docs, "entity").join(term_docs, "term")
+    disclosing = scored.where(share(smooth) >= generalise).select("entity", "term", share(plain).alias("share"))
     marked = pairs.join(disclosing, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= remove, 5).otherwise(4).cast("int")
     span = F.struct(kind.alias("kind"), "start", "end", F.col("term").alias("value")).cast(S.SPAN)

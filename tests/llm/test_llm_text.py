@@ -180,3 +180,12 @@ def test_pii_spans_terms_and_redaction(spark):
     assert clean[7] == "<REMOVED> <REMOVED> at <EMAIL> <REMOVED> meaning" and "@" not in clean[7] and clean[3] is None and clean[12] == plain[0]
     assert clean[0] == "card <CARD> and <IP>, 300.1.1.1"
     assert pii.op2(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_pii_scores_entities_of_one_or_two_documents(spark):
+    plain = ["ordinary words with common meaning here"] * 2040
+    rows = ["Jonquilla common j.q@mail.example.com"] + ["Marwick common +1 499 555 6503"] * 2 + ["Marwick common"] + plain
+    got = {r["doc_id"]: r for r in pii.op2(frame(spark, rows)).where("doc_id < 10").collect()}
+    assert got[0]["spans"] == "email:17:37,remove:0:9" and got[0]["n_terms"] == 1
+    assert got[1]["spans"] == got[2]["spans"] == "phone:15:30,generalise:0:7"
+    assert all(got[k]["spans"] == "" for k in range(3, 10))

@@ -1,7 +1,8 @@
 """PII: information-theoretic sanitisation, with DataFrame functions only.
 
-Direct identifiers (e-mail, IP address, card, phone) are found in every whole text and are the protected entities. Terms of
-at least ``term_size`` letters or digits within ``reach`` characters of an entity co-occur with it. From document counts over
+Direct identifiers (e-mail, IP address, card, phone) are found in every whole text and are the protected entities. Terms are
+whole words of at least ``term_size`` letters or digits outside the identifiers; all terms of a document co-occur with all its
+entities, and a term that discloses one of them is marked wherever it stands in the documents that hold the entity. From document counts over
 the whole corpus, a term t discloses entity e by PMI(t; e) = log2(n(t,e) * N / (n(t) * n(e))) against the entity's
 information IC(e) = log2(N / n(e)). PMI / IC is the share of the entity's information in the term; it needs the chance of the
 entity where the term stands, n(t,e) / n(t), which few documents give badly. It is smoothed by ``prior`` documents of the
@@ -10,7 +11,8 @@ discloses the entity, however few documents hold it; such a term is removed if i
 generalised. Texts without an entity stay as they are.
 
 Counts of terms are taken over all documents, summed before and after the shuffle, and then limited to terms that stand with an
-entity: by a broadcast where these are at most BROADCAST_TERMS, else by a shuffled join.
+entity. Pairs are made only of terms whose count leaves the threshold within reach if they stood in no document without the
+entity; as n(t,e) is at most n(t) and n(e), this loses none. Small sides are broadcast at up to BROADCAST_TERMS rows.
 
 Defined results: null text counts as empty; every input row gives one output row; rows with equal doc_id and text are counted as
 separate documents; extra columns are ignored; an empty table gives no rows.
@@ -47,32 +49,50 @@ def entities(text: Column) -> Column:
     )
 
 
-def _terms(text: Column, spans: Column, reach: int, size: int) -> Column:
-    """Array of (entity, term, start, end): terms near each span."""
-    pattern = rf"[\p{{L}}0-9]{{{size},}}"
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with every character of a span made a blank."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    return F.aggregate(S.by_start(spans), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
 
-    def near(s):
-        left = F.greatest(s["start"] - reach, F.lit(0))
-        entity = F.sha2(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])), 256)
+def _words(text: Column, pattern: str) -> Column:
+    """The different words of a text in lower case; each word is lower-cased by itself, as in _places."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), F.lower))
 
-        def side(at, length):
-            return F.transform(
-                S.find(F.substring(text, at + 1, length), 0, pattern),
-                lambda t: F.struct(
-                    entity.alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + at).alias("start"), (t["end"] + at).alias("end")
-                ),
-            )
 
-        return F.concat(side(left, s["start"] - left), side(s["end"], F.lit(reach)))
+def _places(text: Column, terms: Column, pattern: str) -> Column:
+    """Array of SPAN: the places of those words of a text that are keys of terms, with the terms' kinds."""
+    parts = F.arrays_zip(
+        F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.lower(x)).alias("term"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x)).alias("size"),
+    )
+    begin = F.struct(F.lit(0).alias("at"), F.expr(S.NONE).alias("found"))
+
+    def step(acc, x):
+        start = acc["at"] + x["gap"]
+        end = start + F.coalesce(x["size"], F.lit(0))
+        kind = F.try_element_at(terms, F.coalesce(x["term"], F.lit("")))
+        span = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), x["term"].alias("value")).cast(S.SPAN)
+        return F.struct(end.alias("at"), F.when(kind.isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span))).alias("found"))
+
+    return F.aggregate(parts, begin, step, lambda acc: acc["found"])
 
-    outside = lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    return F.array_distinct(F.filter(F.flatten(F.transform(spans, near)), outside))
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, with a broadcast hint where a count allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
-def scan(
-    docs: DataFrame, reach: int = 60, term_size: int = 4, prior: float = 1.0, generalise: float = 0.9, remove: float = 0.999
-) -> DataFrame:
+
+def scan(docs: DataFrame, term_size: int = 4, prior: float = 1.0, generalise: float = 0.9, remove: float = 0.999) -> DataFrame:
     """Rows (doc_id, digest, base, spans): base by kind and start; spans also has disclosing terms (kinds 4 and 5)."""
+    pattern = rf"[\p{{L}}0-9]{{{term_size},}}"
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -80,35 +100,42 @@ def scan(
     )
     text = F.col("text")
     found = rows.select("row", "doc_id", "text", entities(text).alias("base"))
-    near = F.when(F.size("base") > 0, _terms(text, F.col("base"), reach, term_size)).otherwise(F.array())
-    kept = staged(found.select("row", "doc_id", F.md5("text").alias("digest"), "base", near.alias("near")), "entities")
-
-    total = kept.count()
-    entity_docs = (
-        kept.select("row", F.explode(F.transform("base", lambda s: F.sha2(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])), 256))).alias("entity"))
-        .distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    body = F.when(F.size("base") > 0, text)
+    kept = staged(found.select("row", "doc_id", F.md5("text").alias("digest"), "base", body.alias("body")), "entities")
+
+    n = F.lit(float(max(kept.count(), 1)))
+    held = kept.where(F.col("body").isNotNull())
+    own = held.select("row", F.explode(F.transform("base", lambda s: F.sha2(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])), 256))).alias("entity")).distinct()
+    entity_docs = staged(own.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity_docs")
+    clear, whole = _words(_outside(F.col("body"), F.col("base")), pattern), _words(F.col("body"), pattern)
+    near = held.select("row", F.explode(clear).alias("term"))
+    terms = near.select("term").distinct()
+    # All texts are counted whole; words that only identifiers have, or cut, are set right for the texts with identifiers.
+    counted = (
+        rows.select(F.explode(_words(text, pattern)).alias("term"), F.lit(1).alias("n"))
+        .unionByName(held.select(F.explode(F.array_except(whole, clear)).alias("term"), F.lit(-1).alias("n")))
+        .unionByName(held.select(F.explode(F.array_except(clear, whole)).alias("term"), F.lit(1).alias("n")))
+        .groupBy("term").agg(F.sum("n").alias("n_term"))
     )
-    pairs = kept.select("row", F.explode("near").alias("t")).select("row", "t.*")
-    both = pairs.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = staged(both, "pairs")
-    terms = both.select("term").distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}0-9]{{{term_size},}}"), F.lit(0)))
-    counted = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    limited = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    term_docs = counted.join(limited, "term")
-    n = F.lit(float(max(total, 1)))
     information = F.log2(n / F.col("n_entity"))
-    plain = F.log2(F.col("n_both") / F.col("n_term"))
-    smooth = F.log2((F.col("n_both") + prior * F.col("n_entity") / n) / (F.col("n_term") + prior))
-    share = lambda chance: F.when(information > 0, 1 + chance / information).otherwise(0.0)
-    scored = both.join(entity_docs, "entity").join(term_docs, "term")
-    disclosing = scored.where(share(smooth) >= generalise).select("entity", "term", share(plain).alias("share"))
-    marked = pairs.join(disclosing, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("share").alias("share"))
+    share = lambda chance: F.when(information > 0, 1 + F.log2(chance) / information).otherwise(0.0)
+    smooth = lambda both: (both + prior * F.col("n_entity") / n) / (F.col("n_term") + prior)
+    bound = share(smooth(F.least("n_term", "n_entity"))) >= generalise
+    most = entity_docs.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("m")).first()["m"]
+    # The bound above, solved for the count of a term that meets the most frequent entity; 1 more for rounding.
+    limit = n * F.pow(F.lit(float(most)) / n, F.lit(generalise)) * (1 + prior / n) + 1
+    rare = staged(counted.join(_small(terms), "term").where(F.col("n_term") <= limit), "term_docs")
+    pairs = staged(near.join(_small(rare), "term").join(own.join(_small(entity_docs), "entity"), "row").where(bound), "pairs")
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+    disclosing = both.where(share(smooth(F.col("n_both"))) >= generalise).select(
+        "entity", "term", share(F.col("n_both") / F.col("n_term")).alias("share")
+    )
+    marked = pairs.join(disclosing, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= remove, 5).otherwise(4).cast("int")
-    span = F.struct(kind.alias("kind"), "start", "end", F.col("term").alias("value")).cast(S.SPAN)
-    lists = marked.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    lists = marked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", kind.alias("kind")))).alias("terms"))
+    places = F.array_sort(_places(_outside(F.col("body"), F.col("base")), F.col("terms"), pattern))
     return kept.join(lists, "row", "left").select(
-        "doc_id", "digest", "base", F.concat("base", F.coalesce("terms", F.expr(S.NONE))).alias("spans")
+        "doc_id", "digest", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", places)).alias("spans")
     )
 
 
@@ -127,13 +154,15 @@ def sanitise(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with sanitised texts; a null text stays null and clean texts stay as they are."""
+    """The documents with sanitised texts; a null text stays null and clean texts stay as they are, without a shuffle."""
     found = scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
     found = found.dropDuplicates(["_id", "_digest"])
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.md5(F.col("text")) == F.col("_digest"))
     new = F.when(F.col("_spans").isNotNull(), sanitise(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    joined = docs.join(found, on, "left")
-    return joined.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    held = F.size(entities(F.col("text"))) > 0
+    joined = docs.where(held).join(found, on, "left")
+    changed = joined.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(~held).union(changed)
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -189,3 +189,15 @@ def test_pii_scores_entities_of_one_or_two_documents(spark):
     assert got[0]["spans"] == "email:17:37,remove:0:9" and got[0]["n_terms"] == 1
     assert got[1]["spans"] == got[2]["spans"] == "phone:15:30,generalise:0:7"
     assert all(got[k]["spans"] == "" for k in range(3, 10))
+
+
+def test_pii_takes_whole_words_of_the_whole_document(spark):
+    far = "common words " * 20
+    rows = [f"Jonquilla {far}j.q@mail.example.com{' ' * 53}Alexander {far}jonquilla, x.y@mail.example.com"] * 2
+    rows += ["ordinary words with common meaning here, ander"] * 60 + ["Alexander words"] * 60
+    size, at = len(rows[0]), [rows[0].index(w) for w in ("j.q@", "jonquilla", "x.y@")]
+    got = {r["doc_id"]: r for r in pii.op2(frame(spark, rows)).where("doc_id < 4").collect()}
+    want = f"email:{at[0]}:{at[0] + 20},email:{at[2]}:{size},remove:0:9,remove:{at[1]}:{at[1] + 9}"
+    assert got[0]["spans"] == got[1]["spans"] == want and got[0]["n_terms"] == 2 and got[2]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, rows)).collect()}
+    assert "jonquilla" not in clean[0].lower() and "Alexander" in clean[0] and clean[3] == rows[3]

@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index.
 
-Templates are short licence wordings. Document frequencies of the templates' words are counted over the whole corpus;
-words in at most ``max_share`` of the documents index the templates: word -> (template, position). A file looks up its
-licence words of highest IDF, votes for (template, file position - template position), so that postings meet by relative
+Templates are short licence wordings. Document frequencies of the templates' words are counted over the whole corpus; the
+``rare`` rarest words of each template, however frequent they are, index it: word -> (template, position). A file looks up all
+its words that have postings and votes for (template, file position - template position), so that postings meet by relative
 position, and the best alignment of each template is scored by the IDF share of its words found there, give or take
 ``slack`` words of drift. A template's label holds only where the score reaches ``threshold`` and each of its mandatory key
 phrases stands in the file's words.
@@ -50,6 +50,7 @@ TEMPLATES = [
     ),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
     ("proprietary", "all rights reserved proprietary and confidential unauthorized copying is prohibited", ["all rights reserved"]),
+    ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
@@ -80,20 +81,19 @@ def word_frequencies(docs: DataFrame, words: set[bytes]) -> tuple[int, dict[byte
 
 
 class PositionalIndex:
-    """Postings of the templates' rare words with their IDF."""
+    """Postings of each template's rarest words with their IDF."""
 
-    def __init__(self, templates, n_docs: int, frequencies: dict[bytes, int], max_share: float, rare: int):
+    def __init__(self, templates, n_docs: int, frequencies: dict[bytes, int], rare: int):
         self.labels = [t[0] for t in templates]
         self.words = [t[1].encode().split() for t in templates]
         self.phrases = [[tuple(p.encode().split()) for p in t[2]] for t in templates]
         self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 0.5)) for ws in self.words for w in ws}
         self.weight = [sum(self.idf[w] for w in ws) or 1.0 for ws in self.words]
-        self.rare = rare
-        limit = max(1, max_share * n_docs)
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for k, ws in enumerate(self.words):
+            rarest = sorted(set(ws), key=lambda w: (-self.idf[w], w))[:rare]
             for p, w in enumerate(ws):
-                if frequencies.get(w, 0) <= limit:
+                if w in rarest:
                     self.postings.setdefault(w, []).append((k, p))
         self.last_words = {p[-1] for ps in self.phrases for p in ps}
 
@@ -108,9 +108,8 @@ class PositionalIndex:
         for i, w in enumerate(words):
             if w in places:
                 places[w].append(i)
-        top = sorted((w for w in places if w in self.postings), key=lambda w: (-self.idf[w], w))[: self.rare]
         votes: dict[tuple[int, int], float] = {}
-        for w in top:
+        for w in sorted(places.keys() & self.postings.keys()):
             for k, p in self.postings[w]:
                 for i in places[w]:
                     votes[k, i - p] = votes.get((k, i - p), 0.0) + self.idf[w]
@@ -137,12 +136,12 @@ SCHEMA = (
 
 
 def scan(
-    docs: DataFrame, templates=TEMPLATES, max_share: float = 0.1, rare: int = 12, slack: int = 2, threshold: float = 0.8
+    docs: DataFrame, templates=TEMPLATES, rare: int = 12, slack: int = 2, threshold: float = 0.8
 ) -> DataFrame:
     """Rows of SCHEMA: base phrases, and labels of the templates that align and whose key phrases are present."""
     wanted = {w for t in templates for w in t[1].encode().split()}
     n_docs, frequencies = word_frequencies(docs, wanted)
-    index = PositionalIndex(templates, n_docs, frequencies, max_share, rare)
+    index = PositionalIndex(templates, n_docs, frequencies, rare)
     base = [(tuple(p.encode().split()), label) for p, label in BASE]
     index.last_words |= {p[-1] for p, _ in base}
 

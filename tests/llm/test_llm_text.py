@@ -201,3 +201,12 @@ def test_pii_takes_whole_words_of_the_whole_document(spark):
     assert got[0]["spans"] == got[1]["spans"] == want and got[0]["n_terms"] == 2 and got[2]["spans"] == ""
     clean = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, rows)).collect()}
     assert "jonquilla" not in clean[0].lower() and "Alexander" in clean[0] and clean[3] == rows[3]
+
+
+def test_license_lines_of_many_documents_and_of_one_file(spark):
+    labels = lambda rows: [r["labels"] for r in license_scan.op9(frame(spark, rows)).orderBy("doc_id").collect()]
+    hot = ["some text. Licensed under CC BY-NC 4.0. All rights reserved."] * 10 + ["filler words here"] * 20
+    assert labels(hot) == ["cc-by-nc,proprietary"] * 10 + [""] * 20
+    assert labels(["Licensed under CC BY-SA 4.0."] * 2 + ["x"]) == ["cc-by-sa"] * 2 + [""]
+    many = " . ".join(t[1] for t in license_scan.TEMPLATES)
+    assert labels([many] + ["filler words here"] * 40)[0] == ",".join(sorted({t[0] for t in license_scan.TEMPLATES}))

@@ -3,19 +3,21 @@
 A shard holds the documents of one range of identifiers: data blocks of entries in ascending order (keys share a prefix with
 the entry before; every 16th entry is written in full), a sparse index of the blocks, a Bloom filter of the keys, and a footer
 with the places of both. Sections are the binary rows of a Parquet table, so that Spark's commit makes a shard
-appear whole or not at all on any store; put together by ``seq`` they are the file.
+appear whole or not at all on any store; put together by ``seq`` they are the file, which ``export_shard`` writes.
 
   data    n entries u32 | ids before the block in its shard u64 | id width u8 | entries | crc32 u32
   entry   shared u8 | rest u8 | number of ids u32 | rest of the key | ids
   index   per block: last key 8 | offset u64 | size u32
   filter  number of probes u8 | bits
-  footer  index offset u64 | index size u32 | filter offset u64 | filter size u32 | documents u64 | ids u64 | magic
+  footer  index offset u64 | index size u32 | filter offset u64 | filter size u32 | documents u64 | ids u64 | first key | last key |
+          sizes of both keys u8 | magic
 
 Keys are doc_ids as 8 big-endian bytes with the sign bit turned, so that bytes sort as numbers do; a null doc_id is an empty
 key, before all others.
 
-Defined results: null text has the end id only; rows that share a doc_id stand one after another; extra columns are ignored; an
-empty table gives no shard.
+Defined results: null text has the end id only; rows that share a doc_id stand one after another; a null doc_id comes first; extra
+columns are ignored; an empty table gives no shard. Rows are dealt to shards by ranges of (doc_id, hash of the text), so that rows
+with one doc_id (a null one, say) don't all meet in one task.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from .common import doc_texts, shared_dir
 MAGIC = b"TERRASST"
 RESTART, PROBES, BITS_A_KEY = 16, 7, 10
 SECTIONS = "shard int, seq int, section string, first long, last long, data binary"
-_HEAD, _ENTRY, _FOOT = "<IQB", "<BBI", "<QIQIQQ8s"
+_HEAD, _ENTRY, _FOOT = "<IQB", "<BBI", "<QIQIQQ8s8sBB8s"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -57,7 +59,7 @@ def pack_block(entries: list[tuple[bytes, np.ndarray]], before: int, width: int)
         if k % RESTART:
             while shared < min(len(key), len(last)) and key[shared] == last[shared]:
                 shared += 1
-        out += [struct.pack(_ENTRY, shared, len(key) - shared, len(ids)), key[shared:], ids.astype(f"<u{width}").tobytes()]
+        out += [struct.pack(_ENTRY, shared, len(key) - shared, len(ids)), key[shared:], ids.astype(f"<u{width}", copy=False).tobytes()]
         last = key
     body = b"".join(out)
     return body + struct.pack("<I", zlib.crc32(body))
@@ -105,7 +107,7 @@ def write_shards(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
         shard = TaskContext.get().partitionId()
         bpe = codec(path, pattern)
         width = 2 if max(len(bpe.token_bytes) - 1, end_id) < 65536 else 4
-        index, keys, held = [], set(), []
+        index, keys, held, ends = [], set(), [], []
         state = {"offset": 0, "ids": 0, "held_ids": 0, "size": 0, "seq": 0, "docs": 0}
 
         def section(kind, first, last, data):
@@ -126,17 +128,19 @@ def write_shards(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
             return section("data", id_of(first), id_of(last), data)
 
         for batch in batches:
-            bpe.trim()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(bpe.encode(text) + struct.pack("<I", end_id), "<u4")
-                key = key_of(doc_id)
-                keys.add(key)
-                held.append((key, ids))
-                state["docs"] += 1
-                state["held_ids"] += len(ids)
-                state["size"] += len(ids) * width
-                if state["size"] >= block_bytes:
-                    yield flush()
+            doc_ids = batch.column(0).to_pylist()
+            for at, ids, offsets in bpe.encode_parts(batch.column(1)):
+                for k in range(len(offsets) - 1):
+                    key = key_of(doc_ids[at + k])
+                    keys.add(key)
+                    held.append((key, np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end_id)).astype(f"<u{width}")))
+                    ends[1:] = [key]
+                    ends[:1] = ends[:1] or [key]
+                    state["docs"] += 1
+                    state["held_ids"] += len(held[-1][1])
+                    state["size"] += len(held[-1][1]) * width
+                    if state["size"] >= block_bytes:
+                        yield flush()
         if held:
             yield flush()
         if state["docs"]:
@@ -144,11 +148,12 @@ def write_shards(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
             at = state["offset"]
             yield section("index", None, None, table)
             yield section("filter", None, None, bloom)
-            foot = struct.pack(_FOOT, at, len(table), at + len(table), len(bloom), state["docs"], state["ids"], MAGIC)
+            sizes = map(len, (ends[0], ends[-1]))
+            foot = struct.pack(_FOOT, at, len(table), at + len(table), len(bloom), state["docs"], state["ids"], ends[0], ends[-1], *sizes, MAGIC)
             yield section("footer", None, None, foot)
 
-    rows = doc_texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("spread")]
+    rows = doc_texts(docs).withColumn("spread", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(run, SECTIONS).write.option("compression", "zstd").parquet(out)
 
 
@@ -162,7 +167,7 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
 
     def totals(batches):
         for batch in batches:
-            ids = [struct.unpack(_FOOT, x)[5] for x in batch.column(1).to_pylist()]
+            ids = [read_footer(x)["ids"] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64())], names=["shard", "ids"])
 
     footers = sections.where("section = 'footer'").select("shard", "data").mapInArrow(totals, "shard int, ids long")
@@ -185,27 +190,46 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
     return parsed.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_footer(data: bytes) -> dict:
+    names = ("index_at", "index_size", "filter_at", "filter_size", "docs", "ids", "first", "last", "first_size", "last_size", "magic")
+    foot = dict(zip(names, struct.unpack(_FOOT, data), strict=True))
+    if foot["magic"] != MAGIC:
+        raise ValueError("a footer is damaged")
+    return foot | {k: foot[k][: foot[f"{k}_size"]] for k in ("first", "last")}
+
+
 def lookup(spark: SparkSession, out: str, doc_id: int) -> list[np.ndarray]:
-    """Ids of each row with this doc_id: Bloom filter, then binary search in the sparse index, then its blocks."""
+    """Ids of each row with this doc_id: footers name the shards, then Bloom filter, binary search in the sparse index, and blocks."""
     key, found = key_of(doc_id), []
     sections = read_sections(spark, out)
-    tables: dict[int, dict[str, bytes]] = {}
-    shards = sections.where((F.col("section") == "data") & (F.col("first") <= doc_id) & (F.col("last") >= doc_id)).select("shard").distinct()
-    for r in sections.where("section in ('index', 'filter')").join(shards, "shard", "left_semi").collect():
-        tables.setdefault(r["shard"], {})[r["section"]] = bytes(r["data"])
-    for shard, t in sorted(tables.items()):
-        if not may_hold(t["filter"], key):
+    feet = {r["shard"]: read_footer(bytes(r["data"])) for r in sections.where("section = 'footer'").select("shard", "data").toLocalIterator()}
+    for shard in sorted(k for k, foot in feet.items() if foot["first"] <= key <= foot["last"]):
+        own = sections.where(F.col("shard") == shard)
+        if not may_hold(bytes(own.where("section = 'filter'").first()["data"]), key):
             continue
-        lasts = [t["index"][k : k + 8] for k in range(0, len(t["index"]), 20)]
+        index = bytes(own.where("section = 'index'").first()["data"])
+        lasts = [index[k : k + 8] for k in range(0, len(index), 20)]
         first = bisect_left(lasts, key)
         stop = first
         while stop < len(lasts) and (stop == first or lasts[stop - 1] == key):
             stop += 1
-        for r in sections.where((F.col("shard") == shard) & F.col("seq").between(first, stop - 1)).orderBy("seq").collect():
+        for r in own.where((F.col("section") == "data") & F.col("seq").between(first, stop - 1)).orderBy("seq").collect():
             found += [ids for k, ids, _ in read_block(bytes(r["data"])) if k == key]
     return found
 
 
+def export_shard(spark: SparkSession, out: str, shard: int, target: str) -> None:
+    """Write one shard as one file, a section at a time, on the store that the target names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(conf).create(path, True)
+    try:
+        for r in read_sections(spark, out).where(F.col("shard") == shard).orderBy("seq").select("data").toLocalIterator():
+            stream.write(bytearray(r["data"]))
+    finally:
+        stream.close()
+
+
 def op6(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 

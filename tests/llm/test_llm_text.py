@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,14 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, docs):
     encoded = bpe.encode(docs, P.path("byte_bpe_50k.json"), P.PATTERN)
     back = {r["doc_id"]: r["text"] for r in bpe.decode(encoded, P.path("byte_bpe_50k.json"), P.PATTERN).collect()}
     assert all(back[k] == (t or "") for k, t in enumerate(texts()))
+    rng = random.Random(8)
+    parts = [" ", " ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "a", "É", "1", "'s", "'ll", ".", "…", "😀", "\x00", "\r", "<|endoftext|>", "word", "\u0301"]
+    hard = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    codec = bpe.ByteBpe(P.path("byte_bpe_50k.json"), P.PATTERN)
+    for known in (1 << 20, 0):
+        ids = [x[a:b].tolist() for _, x, o in codec.encode_parts(pa.array(hard), known) for a, b in zip(o, o[1:], strict=False)]
+        assert ids == [plain.encode_ordinary(t) for t in hard]
+    assert bpe.op4(docs.limit(0)).count() == 0 and not bpe.same_ranks(P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     smile = encoded.where("doc_id = 7").first()
     assert smile["starts"][0] == 0 and smile["ends"][-1] == len(texts()[7]) and smile["ends"][0] <= 1
 
@@ -96,6 +105,19 @@ def test_sst_round_trip_and_lookup(spark, docs):
         at += len(ids) // 4
     assert len(sst_output.lookup(spark, out, 12)) == 2 and sst_output.lookup(spark, out, 10_000) == []
     assert sst_output.lookup(spark, out, 3)[0].astype("<u4").tobytes() == codec.encode("a") + struct.pack("<I", 0)
+    shard = sst_output.read_sections(spark, out).where("section = 'footer'").orderBy("shard").first()
+    sst_output.export_shard(spark, out, shard["shard"], f"{out}-file")
+    with open(f"{out}-file".removeprefix("file:").replace("//", "/"), "rb") as f:
+        data = f.read()
+    foot = sst_output.read_footer(data[-len(shard["data"]) :])
+    assert len(data) == foot["filter_at"] + foot["filter_size"] + len(shard["data"]) and foot["first"] == sst_output.key_of(0)
+    assert next(sst_output.read_block(data[: int.from_bytes(data[foot["index_at"] + 16 : foot["index_at"] + 20], "little")]))[0] == foot["first"]
+    same = spark.createDataFrame([(None, f"t {k}") for k in range(40)] + [(3, "x")], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sst_output.write_shards(same, out + "-null", path, pattern)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sst_output.read_sections(spark, out + "-null").where("section = 'footer'").count() > 1
+    assert sorted(r["start"] for r in sst_output.read_shards(spark, out + "-null").where("doc_id is null").collect())[0] == 0
     with pytest.raises(ValueError):
         list(sst_output.read_block(sst_output.pack_block([(b"k", np.array([1, 2]))], 0, 2)[:-1] + b"\0"))
     sst_output.write_shards(docs.limit(0), out + "-none", path, pattern)

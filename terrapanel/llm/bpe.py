@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from .common import doc_texts
 
 #: Units, and pieces of units, that a worker keeps; beyond them it starts anew.
-KNOWN_UNITS = 2_000_000
+KNOWN_UNITS = 1_000_000
 #: Bytes of text that are encoded at a time (one text at least).
-PART_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 _SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Texts that the unit cut doesn't fit: white space at the start or beside other white space.
 _RUNS = f"^{_SPACE}|{_SPACE}{_SPACE}"
@@ -167,6 +167,7 @@ class ByteBpe:
                 ]
                 yield at, np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
             at = stop
+        pa.default_memory_pool().release_unused()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

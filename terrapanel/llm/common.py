@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Order key of a row whose doc_id is null: such rows come before all others.
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below the one named by spark.checkpoint.dir. Where that is unset, a local session gets a temporary one;
+    on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -29,9 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts lineage and survives lost executors."""
+    return staged_at(df, label)[0]
+
+
+def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As staged, with the table's path."""
     path = f"{shared_dir(df.sparkSession)}/{label}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of staged_at that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def limited_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """df (a written table of narrow rows), with a broadcast hint if it has at most ``rows`` rows; else Spark joins by shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Key of a row by doc_id and text: rows that share a doc_id but not their text stay apart (96 bits of the text's hashes)."""
+    return F.struct(
+        F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"), text.isNull().alias("z")
+    )
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ errors, so one of their two 23-bit segments holds at most one. The perfect (23,1
 one codeword within distance 3; a segment's keys are the codewords of the segment and of its 23 neighbours (one or six
 different ones), and two segments with at most one error share a key. A bucket is (block, its bits, segment, codeword
 index): 28 selective bits. Distinct fingerprints of a bucket are compared bit for bit; large buckets give a spanning forest
-of their links instead of all pairs, and buckets beyond one block are compared block against block, so no link is lost.
+of their links instead of all pairs, and hot ones are dealt out in parts, so no link between components is lost.
 
 Defined results: null text and text without words have fingerprint zero and are linked like others; fewer words than a
 shingle make one shingle; every input row gives one output row; a null doc_id counts only where a component has no other
@@ -16,17 +16,21 @@ from __future__ import annotations
 
 import functools
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import NULL_ID, blank_words, doc_texts, staged, text_bytes
-from .components import bucket_links, components
+from .common import blank_words, doc_texts, limited_broadcast, row_key, staged, text_bytes
+from .components import bucket_links, components, hot_buckets
 
 _SEED = 42
+#: Row keys (about 40 bytes each) that may be broadcast; more of them meet the texts by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Generator of the cyclic (23,12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 _GENERATOR = 0b101011100011
 
@@ -166,8 +170,8 @@ def _minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (k, digest, fp, bands): digest of the lower-cased words, fingerprint and MinHash band hashes."""
-    names = ["k", "digest", "fp", "bands"]
+    """Rows (key, digest, fp, bands): the row's key, digest of the lower-cased words, fingerprint and MinHash band hashes."""
+    names = ["key", "digest", "fp", "bands"]
 
     def run(batches):
         random = np.random.default_rng(_SEED)
@@ -175,40 +179,41 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         b = random.integers(0, 2**63, _BANDS * _ROWS, dtype=np.uint64)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
+            for text in text_bytes(batch):
                 hashes = shingle_hashes(text, shingle)
                 values = _minhash(np.unique(hashes), a, b)
                 mixed = (values ^ values >> np.uint64(29)) * _PRIME_MIX
-                digest = xxhash.xxh3_128_hexdigest(b" ".join(blank_words(text.lower() if text else None)))
+                digest = xxhash.xxh3_128_digest(b" ".join(blank_words(text.lower() if text else None)))
                 bands = [
                     int.from_bytes(xxhash.xxh3_64_digest(bytes([k]) + row.tobytes()), "little", signed=True)
                     for k, row in enumerate(mixed.reshape(_BANDS, _ROWS))
                 ]
-                fp = int(np.uint64(majority(hashes)).astype(np.int64))
-                out.append((NULL_ID if doc_id is None else doc_id, digest, fp, bands))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                out.append((digest, int(np.uint64(majority(hashes)).astype(np.int64)), bands))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
-    return doc_texts(docs).mapInArrow(run, "k long, digest string, fp long, bands array<long>")
+    rows = doc_texts(docs).select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, digest binary, fp long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """Rows (node, data) from rows (k, text): sorted distinct 32-bit shingle hashes."""
+    """Rows (node, data) from rows (node, text): sorted distinct 64-bit shingle hashes."""
 
     def run(batches):
         for batch in batches:
-            data = [np.unique(shingle_hashes(t, shingle).astype("<u4")).tobytes() for t in text_bytes(batch)]
+            data = [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["node", "data"])
 
-    return texts.select("k", "text").mapInArrow(run, "node long, data binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, data binary")
 
 
 def similar(threshold: float):
     """Whether two shingle sets have a Jaccard similarity of at least the threshold, by exact counts."""
 
     def predicate(data):
-        sets = [np.frombuffer(x, "<u4") for x in data]
+        sets = [np.frombuffer(x, "<u8") for x in data]
         sizes = np.array([len(x) for x in sets], np.int64)
 
         def common(i, j):
@@ -242,44 +247,65 @@ def similar(threshold: float):
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with two nodes or more; of buckets with the same nodes only one."""
-    node = F.xxhash64("node").cast("decimal(38,0)")
-    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(node).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-    one = sizes.where("n > 1").groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return keys.join(one, "bucket", "left_semi")
+    """The rows (bucket, node) of buckets with two nodes or more; buckets with the same nodes become one. Hot buckets, known from a
+    sketch, are shared without being gathered."""
+    hot = hot_buckets(keys)
+    cold = keys.where(~F.col("bucket").isin(hot)) if hot else keys
+    own = Window.partitionBy("bucket")
+    what = [F.count("*").over(own), F.min("node").over(own), F.max("node").over(own), F.bit_xor(F.xxhash64("node")).over(own)]
+    sized = cold.repartition("bucket").select("node", *[x.alias(f"w{k}") for k, x in enumerate(what)]).where("w1 < w2")
+    shared = sized.select(F.xxhash64("w0", "w1", "w2", "w3").alias("bucket"), "node")
+    if hot:
+        shared = shared.unionByName(keys.where(F.col("bucket").isin(hot)).select("bucket", "node"))
+    return shared.distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Rows (k, root) of every document that an earlier one makes redundant (k: doc_id, or NULL_ID): root is its group's.
+    """Rows (key, root) of all rows: root is the key of the group's first row, by doc_id and then by the text's hashes.
 
     Exact copies (equal words) meet by digest. Candidates are pairs whose fingerprints the Golay keys link, and documents
     that share a MinHash band, because shingle sets of similarity 0.8 usually differ in more than 3 fingerprint bits.
     Only documents of buckets with a second member have their shingle sets made and compared, exactly.
     """
     rows = staged(signatures(docs, shingle), "signatures")
-    first = rows.groupBy("digest").agg(F.min(F.struct("k", "fp", "bands")).alias("r"))
-    firsts = staged(first.select("digest", "r.*"), "firsts")
-    prints = firsts.groupBy("fp").agg(F.min("k").alias("k"))
+    first = rows.groupBy("digest").agg(F.min(F.struct("key", "fp", "bands")).alias("r"))
+    firsts = staged(first.select("digest", "r.*", F.monotonically_increasing_id().alias("node")), "firsts")
+    prints = firsts.groupBy("fp").agg(F.min("node").alias("node"))
     linked = fingerprint_links(firsts, 3)
-    by_print = linked.join(prints.select(F.col("fp").alias("a"), F.col("k").alias("x")), "a").join(
-        prints.select(F.col("fp").alias("b"), F.col("k").alias("y")), "b"
+    by_print = linked.join(prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
+        prints.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b"
     )
-    same = firsts.join(prints.withColumnRenamed("k", "y"), "fp").where("k <> y").select(F.col("k").alias("x"), "y")
-    pairs = by_print.select("x", "y").unionByName(same)
+    same = firsts.select("fp", F.col("node").alias("x")).join(prints.withColumnRenamed("node", "y"), "fp").where("x <> y")
+    pairs = by_print.select("x", "y").unionByName(same.select("x", "y"))
     pair_keys = pairs.select(F.xxhash64("x", "y").alias("bucket"), F.explode(F.array("x", "y")).alias("node"))
-    bands = firsts.select(F.explode("bands").alias("bucket"), F.col("k").alias("node"))
-    shared = staged(shared_buckets(staged(bands.unionByName(pair_keys), "keys")), "shared")
-    texts = doc_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), "text")
-    needed = texts.join(shared.select(F.col("node").alias("k")).distinct(), "k", "left_semi")
-    sets = staged(shingle_sets(needed, shingle), "sets")
+    bands = firsts.select(F.explode("bands").alias("bucket"), "node")
+    pair_keys = staged(pair_keys, "pair_keys")
+    shared = staged(shared_buckets(bands.unionByName(pair_keys)), "shared")
+    needed = staged(firsts.select("key", "node").join(shared.select("node").distinct(), "node", "left_semi"), "needed")
+    texts = doc_texts(docs).select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    texts = texts.join(limited_broadcast(needed, BROADCAST_KEYS), "key").select("node", "text")
+    sets = staged(shingle_sets(texts, shingle), "sets").groupBy("node").agg(F.first("data").alias("data"))
     roots = components(bucket_links(shared.join(sets, "node"), similar(threshold)))
-    copies = rows.select("k", "digest").join(firsts.select("digest", F.col("k").alias("head")), "digest")
-    placed = copies.join(roots.withColumnRenamed("node", "head"), "head", "left")
-    return placed.select("k", F.coalesce("root", "head").alias("root")).where("k <> root").distinct()
+    placed = firsts.select("digest", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("key").alias("least"))
+    heads = placed.join(least, "root").select("digest", F.col("least").alias("root"))
+    return rows.select("key", "digest").join(heads, "digest").select("key", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents with one of each near-duplicate group (the smallest doc_id); rows sharing a doc_id stay or go together."""
-    gone = near_duplicate_groups(docs, shingle, threshold).select("k").distinct()
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return marked.join(gone.withColumnRenamed("k", "_key"), "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents with one of each near-duplicate group, the first by doc_id (a null one comes first).
+
+    Rows that share a doc_id are judged apart by their texts; of rows with the same doc_id and text one stays. Null texts and texts
+    without words are copies of each other. All columns stay unchanged, whatever their names; an empty table gives no rows.
+    """
+    keyed = near_duplicate_groups(docs, shingle, threshold).groupBy("key").agg(F.first("root").alias("root"), F.count("*").alias("n"))
+    judged = staged(keyed, "judged")
+    name = f"key_{uuid.uuid4().hex}"
+    on = row_key(F.col("doc_id"), F.col("text").cast("string")) == F.col(name)
+    gone = judged.where("key <> root").select(F.col("key").alias(name))
+    kept = docs.join(limited_broadcast(gone, BROADCAST_KEYS), on, "left_anti")
+    repeated = judged.where("key = root and n > 1").select(F.col("key").alias(name))
+    if repeated.isEmpty():
+        return kept
+    repeated = limited_broadcast(repeated, BROADCAST_KEYS)
+    return kept.join(repeated, on, "left_anti").unionByName(kept.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -100,8 +100,9 @@ def test_fingerprint_links_equal_brute_force(spark, monkeypatch):
     prints = planted_prints()
     want = brute_components(prints)
     df = spark.createDataFrame([(int(x.astype(np.int64)),) for x in prints], "fp long")
-    for block in (2048, 64):
+    for block, leaders in ((2048, 64), (64, 64), (64, 3)):
         monkeypatch.setattr(components, "BLOCK", block)
+        monkeypatch.setattr(components, "LEADERS", leaders)
         roots = components.components(simhash_golay.fingerprint_links(df)).collect()
         groups = {}
         for r in roots:
@@ -167,7 +168,32 @@ def test_near_duplicate_groups_equal_brute_force(spark, monkeypatch):
                 low, high = sorted((parent[i], parent[j]))
                 parent = [low if x == high else x for x in parent]
     want = {k: r for k, r in enumerate(parent) if k != r}
-    for block in (2048, 16):
+    for block, leaders in ((2048, 64), (16, 2)):
         monkeypatch.setattr(components, "BLOCK", block)
-        got = {r["k"]: r["root"] for r in simhash_golay.near_duplicate_groups(frame(spark, rows)).collect()}
-        assert got == want
+        monkeypatch.setattr(components, "LEADERS", leaders)
+        groups = simhash_golay.near_duplicate_groups(frame(spark, rows)).collect()
+        assert {r["key"]["k"]: r["root"]["k"] for r in groups if r["key"] != r["root"]} == want
+
+
+def test_chains_in_a_large_bucket_stay_whole(spark, monkeypatch):
+    """Numbers link where they differ by at most 3: one long chain, in which leaders reach few rows."""
+    monkeypatch.setattr(components, "BLOCK", 32)
+    monkeypatch.setattr(components, "LEADERS", 4)
+    near = lambda data: lambda i, j: np.abs(data[i] - data[j]) <= 3
+    keys = spark.createDataFrame([(7, k, 3 * k + 1000 * (k // 100)) for k in range(300)] + [(8, 1000, 1), (8, 1001, 2)], "bucket long, node long, data long")
+    roots = components.components(components.bucket_links(keys, near)).collect()
+    assert {r["node"]: r["root"] for r in roots} == {k: k // 100 * 100 for k in range(300) if k % 100} | {1001: 1000}
+
+
+def test_rows_that_share_a_doc_id_are_judged_apart(spark):
+    a, b, z = (" ".join(f"{x}{k}" for k in range(40)) for x in "abz")
+    rows = [(1, a), (2, a), (2, z), (None, b), (None, b), (None, z + " more"), (3, None), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = df.withColumns({c: F.lit(c) for c in ("_key", "key", "k", "root", "node", "digest", "n", "h", "_id", "_digest", "_spans")})
+    for docs in (df, clash):
+        kept = simhash_golay.drop_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+        assert got == sorted([(1, a), (None, b), (None, z + " more"), (3, None)], key=str)
+    assert {r["_key"] for r in simhash_golay.drop_near_duplicates(clash).collect()} == {"_key"}
+    assert simhash_golay.drop_near_duplicates(clash.limit(0)).columns == clash.columns

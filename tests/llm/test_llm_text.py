@@ -225,6 +225,22 @@ def test_pii_takes_whole_words_of_the_whole_document(spark):
     assert "jonquilla" not in clean[0].lower() and "Alexander" in clean[0] and clean[3] == rows[3]
 
 
+def test_pii_counts_by_shuffles_give_the_same(spark, monkeypatch):
+    rows = ["Jonquilla common j.q@mail.example.com"] + ["Marwick common +1 499 555 6503"] * 2 + ["Marwick common"] + ["ordinary common words"] * 2040
+    clashing = frame(spark, rows).withColumns({c: F.lit(c) for c in ("_id", "_digest", "_spans", "key", "h", "term")})
+    clashing = clashing.unionByName(clashing.where("doc_id = 1").withColumn("text", F.lit("Unlike 1.2.3.4 text"))).unionByName(clashing.where("doc_id = 0"))
+    take = lambda df: sorted(df.where("doc_id < 4").select("doc_id", "text", "_id", "spans").collect())
+    small = pii.redact(clashing)
+    assert small.columns == clashing.columns
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    got = take(pii.redact(clashing))
+    assert got == take(small)
+    texts_ = [(r["doc_id"], r["text"]) for r in got]
+    first = (0, "<REMOVED> common <EMAIL>")
+    assert texts_ == [first, first, (1, "<NAME> common <PHONE>"), (1, "<REMOVED> <IP> <REMOVED>"), (2, "<NAME> common <PHONE>"), (3, "Marwick common")]
+    assert all(r["_id"] == "_id" and r["spans"] == "s" for r in got)
+
+
 def test_license_lines_of_many_documents_and_of_one_file(spark):
     labels = lambda rows: [r["labels"] for r in license_scan.op9(frame(spark, rows)).orderBy("doc_id").collect()]
     hot = ["some text. Licensed under CC BY-NC 4.0. All rights reserved."] * 10 + ["filler words here"] * 20

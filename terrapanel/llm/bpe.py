@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from .common import doc_texts
 
 #: Units, and pieces of units, that a worker keeps; beyond them it starts anew.
-KNOWN_UNITS = 1_000_000
+KNOWN_UNITS = 250_000
 #: Bytes of text that are encoded at a time (one text at least).
-PART_BYTES = 6 << 20
+PART_BYTES = 2 << 20
 _SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Texts that the unit cut doesn't fit: white space at the start or beside other white space.
 _RUNS = f"^{_SPACE}|{_SPACE}{_SPACE}"
@@ -103,14 +103,16 @@ class ByteBpe:
 
     def _tokenize(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, which hold no line feed unless they are one, by the library's model."""
-        text, _ = codecs.charmap_decode("\n".join(pieces.to_pylist()).encode(), "strict", self.characters)
-        ids: list[int] = []
-        counts, tokenize = [], self.model.tokenize
-        for piece in text.split("\n"):
-            tokens = tokenize(piece)
-            ids += [t.id for t in tokens]
-            counts.append(len(tokens))
-        return np.array(ids, np.uint32), np.array(counts, np.int64)
+        ids, counts, tokenize = [], [], self.model.tokenize
+        for at in range(0, len(pieces), 8192):
+            text, _ = codecs.charmap_decode("\n".join(pieces.slice(at, 8192).to_pylist()).encode(), "strict", self.characters)
+            some: list[int] = []
+            for piece in text.split("\n"):
+                tokens = tokenize(piece)
+                some += [t.id for t in tokens]
+                counts.append(len(tokens))
+            ids.append(np.array(some, np.uint32))
+        return np.concatenate(ids), np.array(counts, np.int64)
 
     def _cut_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units: each is cut into the pattern's matches; one that a line feed leads has its id in front."""

@@ -7,7 +7,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,19 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
 
 
+def parts(batches, most: int = 4 << 20, column: str = "text"):
+    """Slices of the batches that hold about ``most`` bytes of text (one row at least), so that a task's memory doesn't grow with
+    the length of texts in a batch."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+        pa.default_memory_pool().release_unused()
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -96,7 +111,7 @@ def keep_rows(docs: DataFrame, keeper) -> DataFrame:
 
     def run(batches):
         keep = keeper()
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(keep(text_bytes(batch)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

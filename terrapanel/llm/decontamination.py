@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, doc_texts, keep_rows, text_bytes
+from .common import alnum_words, doc_texts, keep_rows, parts, text_bytes
 
 SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
 _ARROW = pa.schema(
@@ -147,7 +147,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     def run(batches):
         search = _search(blocks, window)
-        for batch in batches:
+        for batch in parts(batches) if len(blocks) == 1 else batches:
             words, merged, items = search(text_bytes(batch))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, doc_texts, text_bytes
+from .common import alnum_words, doc_texts, parts, text_bytes
 
 # Label, wording, mandatory key phrases.
 TEMPLATES = [
@@ -65,7 +65,7 @@ def word_frequencies(docs: DataFrame, words: set[bytes]) -> tuple[int, dict[byte
     """Number of documents, and in how many each of the given words stands; the result is as small as ``words``."""
 
     def count(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found: dict[bytes, int] = {b"": batch.num_rows}
             for text in text_bytes(batch):
                 for w in words.intersection(alnum_words(text)):
@@ -169,7 +169,7 @@ def scan(
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             columns = list(zip(*map(row, text_bytes(batch)), strict=True)) or [[] for _ in kinds]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, shared_dir, text_bytes
+from .common import doc_texts, shared_dir, parts, text_bytes
 
 # Fixed values of the MPEG audio header: kbit/s by (version 1?, layer), sample rates by version.
 BITRATES = {
@@ -167,14 +167,14 @@ def parse(data: bytes) -> dict:
         first = False
         at += size
     out |= {"offsets": offsets, "data": b"".join(bodies), "duration_us": sum(n * 1_000_000 // r for r, n in ticks.items())}
-    return out | {"kbps": dict(sorted(rates.items()))}
+    return out | {"kbps": dict(sorted(rates.items())), "ticks": ticks}
 
 
 def write_media(docs: DataFrame, path: str) -> None:
     """Store (doc_id, media): each whole text, padded to a positive multiple of 64 bytes, as an MPEG stream."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             media = []
             for text in text_bytes(batch):
                 data = text or b""
@@ -187,12 +187,16 @@ def write_media(docs: DataFrame, path: str) -> None:
 
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string"
+    "media_sha256 string, feature string, durations string, seek_offsets array<long>"
 )
 
 
 def read_media(media: DataFrame, seek_every: int = 32) -> DataFrame:
-    """Parse stored streams: sizes and digests of what is read back, duration, seek offsets and checksum results."""
+    """Parse stored streams: sizes and digests of what is read back, durations, seek offsets and checksum results.
+
+    durations has the samples of each sampling rate as samples/rate, which is exact; seek_offsets has the byte place of every
+    frame, feature those of every ``seek_every``-th one.
+    """
 
     def row(data: bytes) -> tuple:
         x = parse(data)
@@ -214,9 +218,11 @@ def read_media(media: DataFrame, seek_every: int = 32) -> DataFrame:
             len(data),
             hashlib.sha256(data).hexdigest(),
             ";".join(f"{k}={v}" for k, v in feature.items()),
+            "+".join(f"{n}/{r}" for r, n in sorted(x["ticks"].items())),
+            x["offsets"],
         )
 
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()))
     names = [f.split()[0] for f in FEATURES.split(", ")]
 
     def run(batches):

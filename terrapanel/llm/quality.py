@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, keep_rows, staged, text_bytes
+from .common import doc_texts, keep_rows, staged, parts, text_bytes
 
 NAMES = (
     "log_bytes", "log_words", "word_size", "upper", "digit", "blank", "stops", "marks", "symbols", "bars",
@@ -76,7 +76,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.float64())
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             x = [statistics(t) for t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, kind)], names=["doc_id", "x"])
 

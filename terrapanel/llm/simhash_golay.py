@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blank_words, doc_texts, limited_broadcast, row_key, staged, text_bytes
+from .common import blank_words, doc_texts, limited_broadcast, parts, row_key, staged, text_bytes
 from .components import bucket_links, components, hot_buckets
 
 _SEED = 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """Rows (doc_id, fp): the 64-bit fingerprint as a signed integer."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             values = np.array([majority(shingle_hashes(t, shingle)) for t in text_bytes(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
@@ -177,7 +177,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         random = np.random.default_rng(_SEED)
         a = random.integers(1, 2**63, _BANDS * _ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         b = random.integers(0, 2**63, _BANDS * _ROWS, dtype=np.uint64)
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for text in text_bytes(batch):
                 hashes = shingle_hashes(text, shingle)
@@ -202,7 +202,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """Rows (node, data) from rows (node, text): sorted distinct 64-bit shingle hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             data = [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["node", "data"])
 

@@ -130,6 +130,8 @@ def test_mpeg_round_trip_and_damage(spark, docs):
         padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(padded))
         assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-64:])
+        frames = len(r["seek_offsets"])
+        assert r["durations"] == f"{frames * 1152}/48000" and f"frames={frames};" in r["feature"]
         assert r["duration_us"] % 24000 == 0 and "resyncs=0" in r["feature"]
     stream = media_audio.wrap(bytes(range(256)) * 40, {"payload_bytes": "10240"})
     whole = media_audio.parse(stream)

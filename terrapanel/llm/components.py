@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import discard, staged, staged_at
 
 #: Rows of a bucket that are compared as one block; a larger bucket is dealt out in parts of about this size.
-BLOCK = 2048
+BLOCK = 512
 #: Rows of a large bucket that are compared with all its rows first.
 LEADERS = 64
 #: Buckets that a sketch may name as hot.

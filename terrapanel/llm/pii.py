@@ -36,7 +36,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LONG_CARD = r"[0-9](?:[\x20-]?[0-9]){15}"
 #: Rows (under 100 bytes each) of terms, entities or spans that may be broadcast; more meet by shuffles.
-BROADCAST_TERMS = 400_000
+BROADCAST_TERMS = 150_000
 
 
 def entities(text: Column) -> Column:

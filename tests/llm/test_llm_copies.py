@@ -57,6 +57,35 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.op5(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_keeps_rows_of_one_doc_id_apart(spark):
+    a, z = (" ".join(f"{x}{k}" for k in range(40)) for x in "az")
+    tail = a.split(" ", 10)[10]
+    rows = [(1, a), (2, a), (2, z), (None, "x " + z), (None, "y " + z), (5, "q " + tail + " r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.op5(docs).collect()), key=str)
+    assert got == sorted([(1, 40, 0), (2, 40, 40), (2, 40, 40), (None, 41, 0), (None, 41, 0), (5, 32, 30)], key=str)
+    apart = spark.createDataFrame(rows[:3], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.op5(apart).collect()) == [(1, 0), (2, 0), (2, 40)]
+
+
+def test_substring_dedup_compacts_repeats_into_long_paths(spark):
+    line = " ".join(f"w{k}" for k in range(300))
+    docs = spark.createDataFrame([(k, f"a{k} " + line + f" b{k}") for k in range(4)] + [(9, "c " + line[: line.index(" w150")])], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that several batches hold the words
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    keyed, _ = substring_dedup.sources_of(docs)
+    late, places = substring_dedup.units(keyed, 20, 6)
+    long = substring_dedup.compacted(places)
+    n = long.count()
+    assert 0 < n < places.count() / 3 and substring_dedup.confirmed(keyed, long, 20).count() == n
+    wrong = long.withColumn("sat", F.col("sat") + 1)
+    assert substring_dedup.confirmed(keyed, wrong, 20).count() == 0
+    want = sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.op5(docs).collect())
+    assert want == [(0, 0), (1, 300), (2, 300), (3, 300), (9, 150)]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_golay_code():
     words = np.random.default_rng(0).integers(0, 1 << 23, 2000).astype(np.int32)
     keys = simhash_golay.fuzzy_keys(words)

@@ -174,7 +174,8 @@ def units(keyed: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFr
     found = _judged(paths(keyed, window, anchor))
     by_anchor = Window.partitionBy("anchor")
     ranged = found.withColumn("low", F.min("body").over(by_anchor)).withColumn("high", F.max("body").over(by_anchor))
-    branching = ranged.where("low <> high").where(_first(ranged)).select("k", "h", _packed())
+    # Both uses of the paths read all their columns, so that one exchange serves both.
+    branching = ranged.where("not late and low <> high").where(_first(ranged)).select("k", "h", _packed())
     wanted = found.where("late or count > 1").select(*PLACES, "late")
     opened = branching.groupBy("k", "h").agg(F.collect_list("span").alias("spans"))
     windows = _judged(branch_windows(keyed.join(opened, ["k", "h"], "left"), window)).where("late or count > 1").select(*PLACES, "late")

@@ -29,10 +29,12 @@ def ready(s):
 
 def pairs(s, d):
     u = R.units(s, d)
-    t = u.where("treated").select(F.col("unit").alias("treated"), "opening", "city")
-    j = t.join(u.where("not treated").select("city", F.col("unit").alias("c")), "city")
-    best = F.coalesce(F.min(F.when(F.col("c") > F.col("treated"), F.col("c"))), F.min("c"))
-    return j.groupBy("treated", "opening").agg(best.alias("control"))
+    donor = F.when(~F.col("treated"), F.col("unit"))
+    # The next donor by id in the city, or else the first one: a running value of one sort, no pairs.
+    down = Window.partitionBy("city").orderBy(F.col("unit").desc())
+    first = u.groupBy("city").agg(F.min(donor).alias("first"))
+    j = u.withColumn("next", F.last(donor, ignorenulls=True).over(down)).where("treated").join(first, "city")
+    return j.select(F.col("unit").alias("treated"), "opening", F.coalesce("next", "first").alias("control")).where("control is not null")
 
 
 def paths(s, d):
@@ -123,10 +125,10 @@ def _(s, d):
     return j.groupBy("unit").agg(lag(1), lag(2), lag(3))
 
 
-@query("static_features", """SELECT coalesce(a.unit, b.unit) AS unit, lon, months FROM (SELECT unit, round(lon, 6) AS lon FROM units WHERE unit % 5 > 0) a FULL JOIN (SELECT unit, count(*) AS months FROM panel WHERE unit % 7 > 0 GROUP BY 1) b USING (unit)""", "units panel")
+@query("static_features", """SELECT coalesce(a.unit, b.unit) AS unit, lon, months FROM (SELECT unit, round(lon, 6) AS lon FROM units WHERE lon < 116.3) a FULL JOIN (SELECT unit, count(*) AS months FROM panel WHERE n > 1 GROUP BY 1) b USING (unit)""", "units panel")
 def _(s, d):
-    a = R.units(s, d).where("unit % 5 > 0").select("unit", F.round("lon", 6).alias("lon"))
-    return a.join(R.panel(s, d).where("unit % 7 > 0").groupBy("unit").agg(F.count("*").alias("months")), "unit", "full")
+    a = R.units(s, d).where("lon < 116.3").select("unit", F.round("lon", 6).alias("lon"))
+    return a.join(R.panel(s, d).where("n > 1").groupBy("unit").agg(F.count("*").alias("months")), "unit", "full")
 
 
 FEATURES = ["lag1", "lag2", "lag3"]

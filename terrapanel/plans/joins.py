@@ -67,12 +67,12 @@ def _(s, d):
 SNAP = "round(x / 250) * 250 AS x, round(y / 250) * 250 AS y"
 
 
-@query("point_in_cell_closed", f"""WITH p AS (SELECT point_id, {SNAP} FROM mpoints WHERE point_id % 5 = 0) SELECT point_id, ((CASE WHEN x = floor(x / 500) * 500 THEN 2 ELSE 1 END)
+@query("point_in_cell_closed", f"""WITH p AS (SELECT point_id, {SNAP} FROM mpoints) SELECT point_id, ((CASE WHEN x = floor(x / 500) * 500 THEN 2 ELSE 1 END)
     * (CASE WHEN y = floor(y / 500) * 500 THEN 2 ELSE 1 END))::BIGINT AS cells, CASE WHEN x = floor(x / 500) * 500 OR y = floor(y / 500) * 500 THEN 'boundary' ELSE 'unique' END AS status FROM p""",
     "points mpoints")
 def _(s, d):
     snap = lambda c: F.round(F.col(c) / 250) * 250
-    p = mpoints(s, d).where("point_id % 5 = 0").withColumn("x", snap("x")).withColumn("y", snap("y"))
+    p = mpoints(s, d).withColumn("x", snap("x")).withColumn("y", snap("y"))
     n = S.touching_cells(p, 500.0).groupBy("point_id").agg(F.count("*").alias("cells"))
     return n.select("point_id", "cells", F.when(F.col("cells") > 1, "boundary").otherwise("unique").alias("status"))
 
@@ -135,11 +135,11 @@ def _(s, d):
     return near.groupBy("unit").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 3).alias("mean"))
 
 
-@query("buffer_counts", """WITH k AS (SELECT p.point_id, u.unit, u.city, sqrt(power(p.x - u.x, 2) + power(p.y - u.y, 2)) AS dist FROM mpoints p JOIN munits u ON abs(p.x - u.x) <= 1500 AND abs(p.y - u.y) <= 1500 WHERE p.point_id % 4 = 0)
+@query("buffer_counts", """WITH k AS (SELECT p.point_id, u.unit, u.city, sqrt(power(p.x - u.x, 2) + power(p.y - u.y, 2)) AS dist FROM mpoints p JOIN munits u ON abs(p.x - u.x) <= 1500 AND abs(p.y - u.y) <= 1500)
     SELECT point_id, count(*) FILTER (WHERE dist <= 500) AS n500, count(*) FILTER (WHERE dist <= 800) AS n800, count(*) AS n1500, count(DISTINCT city) AS lines, round(min(dist), 3) AS nearest
     FROM k WHERE dist <= 1500 GROUP BY 1""", "points mpoints units munits")
 def _(s, d):
-    near = S.within(mpoints(s, d).where("point_id % 4 = 0").select("point_id", "x", "y"), stations(s, d).select("unit", F.col("city").alias("line"), "rx", "ry"), 1500.0)
+    near = S.within(mpoints(s, d).select("point_id", "x", "y"), stations(s, d).select("unit", F.col("city").alias("line"), "rx", "ry"), 1500.0)
     return near.groupBy("point_id").agg(
         F.count_if(F.col("distance") <= 500).alias("n500"), F.count_if(F.col("distance") <= 800).alias("n800"), F.count("*").alias("n1500"),
         F.count_distinct("line").alias("lines"), F.round(F.min("distance"), 3).alias("nearest"),
@@ -193,11 +193,11 @@ def _(s, d):
     return j.select(F.col("obs_id").alias("a"), F.col("obs_id2").alias("b"), kind.alias("class"))
 
 
-R.SQL["names"] = "SELECT DISTINCT source, community FROM prices WHERE (community + length(source)) % 3 > 0"
+R.SQL["names"] = "SELECT DISTINCT source, community FROM prices"
 
 
 def names(s, d):
-    return R.prices(s, d).where((F.col("community") + F.length("source")) % 3 > 0).select("source", "community").distinct()
+    return R.prices(s, d).select("source", "community").distinct()
 
 
 @query("source_overlap", """WITH n AS (SELECT source, count(*) AS k FROM names GROUP BY 1), o AS (SELECT a.source AS a, b.source AS b, count(*) AS shared FROM names a JOIN names b ON a.community = b.community AND a.source < b.source GROUP BY 1, 2)
@@ -333,11 +333,11 @@ def _(s, d):
     return S.join_validated(R.units(s, d).select("unit", "treated"), k, ["unit"]).withColumn("k", F.coalesce("k", F.lit(0)))
 
 
-@query("multi_outer_merge", """SELECT unit, year, a, b FROM (SELECT unit, year(period)::INT AS year, count(*) AS a FROM panel WHERE unit % 3 > 0 GROUP BY 1, 2) FULL JOIN (SELECT unit, year(period)::INT AS year, sum(n)::BIGINT AS b FROM panel WHERE unit % 4 > 0 GROUP BY 1, 2) USING (unit, year)""", "panel")
+@query("multi_outer_merge", """SELECT unit, year, a, b FROM (SELECT unit, year(period)::INT AS year, count(*) AS a FROM panel WHERE y > 10 GROUP BY 1, 2) FULL JOIN (SELECT unit, year(period)::INT AS year, sum(n)::BIGINT AS b FROM panel WHERE n > 1 GROUP BY 1, 2) USING (unit, year)""", "panel")
 def _(s, d):
     p = R.panel(s, d).withColumn("year", F.year("period"))
-    a = p.where("unit % 3 > 0").groupBy("unit", "year").agg(F.count("*").alias("a"))
-    return a.join(p.where("unit % 4 > 0").groupBy("unit", "year").agg(F.sum("n").alias("b")), ["unit", "year"], "full")
+    a = p.where("y > 10").groupBy("unit", "year").agg(F.count("*").alias("a"))
+    return a.join(p.where("n > 1").groupBy("unit", "year").agg(F.sum("n").alias("b")), ["unit", "year"], "full")
 
 
 HORIZONS = [("y", h) for h in (1, 3, 6, 12, 18, 24)] + [("n", h) for h in (1, 2, 3)]

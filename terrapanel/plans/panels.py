@@ -69,11 +69,11 @@ def _(s, d):
 
 
 @query("grid_month_nearest_mean", """WITH u AS (SELECT c, r FROM range(0, 9) a(c), range(0, 12) b(r)), m AS (SELECT CAST(floor(x / 4000) AS INT) AS c,
-    CAST(floor(y / 4000) AS INT) AS r, avg(value) AS v, count(*) AS n FROM mpoints WHERE point_id % 10 = 0 GROUP BY 1, 2)
+    CAST(floor(y / 4000) AS INT) AS r, avg(value) AS v, count(*) AS n FROM mpoints GROUP BY 1, 2)
     SELECT u.c AS col, u.r AS row, round(v, 5) AS mean, coalesce(n, 0) AS support FROM u LEFT JOIN m USING (c, r)""", "points mpoints")
 def _(s, d):
     grid = s.range(9).select(F.col("id").alias("col")).crossJoin(s.range(12).select(F.col("id").alias("row")))
-    m = cells(R.points(s, d).where("point_id % 10 = 0")).groupBy("col", "row").agg(F.round(F.avg("value"), 5).alias("mean"), F.count("*").alias("n"))
+    m = cells(R.points(s, d)).groupBy("col", "row").agg(F.round(F.avg("value"), 5).alias("mean"), F.count("*").alias("n"))
     return m.join(grid, ["col", "row"], "right").select("col", "row", "mean", F.coalesce("n", F.lit(0)).alias("support"))
 
 
@@ -188,9 +188,9 @@ def _(s, d):
 
 
 @query("community_month_panel", """SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT community) AS communities, count(*) AS n FROM prices
-    WHERE community % 3 <> 0 AND price BETWEEN 100 AND 10000 GROUP BY 1""", "prices")
+    WHERE price BETWEEN 100 AND 10000 GROUP BY 1""", "prices")
 def _(s, d):
-    p = R.prices(s, d).where((F.col("community") % 3 != 0) & F.col("price").between(100, 10000))
+    p = R.prices(s, d).where(F.col("price").between(100, 10000))
     return p.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.count_distinct("community").alias("communities"), F.count("*").alias("n"))
 
 

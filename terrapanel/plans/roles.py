@@ -43,15 +43,13 @@ def units(s, d) -> DataFrame:
 
 
 def panel(s, d) -> DataFrame:
-    """Monthly outcome of each unit, with some months missing."""
+    """Monthly outcome of each unit; months without an item are missing."""
     li, u = table(s, d, "lineitem"), units(s, d)
     month = F.trunc(F.col("l_shipdate").cast("date"), "MM")
-    index = F.year("period") * 12 + F.month("period")
     return (
         li.groupBy(F.col("l_suppkey").alias("unit"), month.alias("period"))
         .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"), F.count("*").alias("n"))
         .join(u.select("unit", "city"), "unit")
-        .where((F.col("unit") * 31 + index * 7) % 13 != 0)
         .select("unit", "city", "period", F.log1p("v").alias("y"), "n")
     )
 
@@ -87,8 +85,7 @@ SQL = {
     "panel": """SELECT unit, city, period, ln(1 + v) AS y, n FROM (
         SELECT l_suppkey AS unit, n_regionkey AS city, CAST(date_trunc('month', l_shipdate) AS DATE) AS period,
         sum(l_extendedprice * (1 - l_discount)) AS v, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-        JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3)
-        WHERE (unit * 31 + (year(period) * 12 + month(period)) * 7) % 13 <> 0""",
+        JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3)""",
     "points": f"""SELECT event_id AS point_id, event_id % 5 AS city, {_place_sql('event_id')}, value, CAST(ts AS DATE) AS day,
         event_type AS category, props AS name FROM events""",
     "prices": f"""SELECT o_orderkey AS obs_id, o_custkey % 5 AS city, o_custkey % 50 AS community, o_orderpriority AS source,

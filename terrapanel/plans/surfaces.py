@@ -89,7 +89,7 @@ def communities(s, d):
 def matched(s, d):
     c = communities(s, d)
     right = c.select(F.col("community").alias("right"), (F.col("x") + 200).alias("rx"), F.col("y").alias("ry"), F.regexp_replace("name", "court", "crt").alias("rname"))
-    near = S.within(c.where("community % 2 = 0").select("community", "x", "y", "name"), right, 1500.0).withColumnRenamed("distance", "metres")
+    near = S.within(c.select("community", "x", "y", "name"), right, 1500.0).withColumnRenamed("distance", "metres")
     return U.match_names(near, "community")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .estimators import _matrix, completed, low_rank_fits
+
 SCHEMA = "unit long, k int, observed double, counterfactual double, pre_rmspe double"
 
 
@@ -41,11 +45,90 @@ def leading(projection: np.ndarray, rank: int) -> np.ndarray:
     return v[:, len(v) - rank :]
 
 
-def rank_scores(donors: DataFrame, effect: np.ndarray, projection: np.ndarray, ranks: list[int], hold: int) -> list[tuple[int, float]]:
-    """(rank, mean squared error) of donors' last ``hold`` periods predicted from the earlier ones."""
+def completion(units: DataFrame, effect: np.ndarray, projection: np.ndarray) -> DataFrame:
+    """Counterfactual of each unit (unit, y array, start) by matrix completion: its cells from ``start`` on are treated as missing
+    and completed under the shrunk projection. pre_rmspe is that of the fit in the observed periods before."""
     t = len(effect)
-    out = []
-    for r in ranks:
-        fit = loadings(donors.withColumn("start", F.lit(t)), effect, leading(projection, r), hold)
-        out.append((r, float(fit.select("unit", "pre_rmspe").distinct().agg(F.avg(F.col("pre_rmspe") * F.col("pre_rmspe"))).first()[0])))
-    return out
+
+    def run(batches):
+        for pdf in batches:
+            ys, start = _matrix(pdf["y"], t), pdf["start"].to_numpy()
+            free = np.where(np.arange(t) < start[:, None], ys, np.nan)
+            full = completed(free, effect, projection)
+            level = full.mean(1, keepdims=True)
+            fit = level + effect + (full - level - effect) @ projection
+            rows = []
+            for i, unit in enumerate(pdf["unit"]):
+                seen = np.isfinite(free[i])
+                if seen.any():
+                    rmspe = float(np.sqrt(np.mean((free[i] - fit[i])[seen] ** 2)))
+                    rows += [(unit, k, None if np.isnan(ys[i, k]) else ys[i, k], fit[i, k], rmspe) for k in range(t)]
+            yield pd.DataFrame(rows, columns=["unit", "k", "observed", "counterfactual", "pre_rmspe"])
+
+    return units.select("unit", "y", "start").mapInPandas(run, SCHEMA)
+
+
+def held_out_scores(donors: DataFrame, t: int, plan: dict[int, tuple[int, float | None]], folds: list[int], hold: int, rounds: int = 500, tol: float = 1e-5) -> DataFrame:
+    """Rows (key, fold, mspe, n): forward folds. Each fold has its own donors, by hash; their cells from the fold's period on are masked
+    before the fit of each candidate of ``plan``, and the first ``hold`` of them are predicted from what is left."""
+    own = lambda c: F.pmod(F.xxhash64("unit"), F.lit(len(folds))) == folds.index(c)
+    before = lambda c: F.transform("y", lambda x, i: F.when((i < c) | ~own(c), x)).alias("y")
+    keyed = None
+    for f, y in enumerate(map(before, folds)):
+        for k in plan:
+            part = donors.select(F.lit(k * len(folds) + f).alias("key"), "unit", y, F.col("y").alias("truth"))
+            keyed = part if keyed is None else keyed.unionByName(part)
+    keyed = keyed.where(F.exists("y", lambda x: x.isNotNull()))
+    fits = low_rank_fits(keyed, t, {k * len(folds) + f: p for k, p in plan.items() for f in range(len(folds))}, rounds, tol)
+
+    def errors(batches):
+        for pdf in batches:
+            rows = []
+            for key, part in pdf.groupby("key"):
+                effect, projection = fits[key]
+                at = folds[key % len(folds)]
+                full = completed(_matrix(part["y"], t), effect, projection)
+                given, truth = _matrix(part["y"], t), _matrix(part["truth"], t)
+                err = np.where(np.isnan(given), full - truth, np.nan)[:, at : at + hold]
+                rows.append((key // len(folds), key % len(folds), float(np.nansum(err**2)), int(np.isfinite(err).sum())))
+            yield pd.DataFrame(rows, columns=["key", "fold", "sse", "n"])
+
+    got = keyed.select("key", "y", "truth").mapInPandas(errors, "key int, fold int, sse double, n long")
+    return got.groupBy("key", "fold").agg((F.sum("sse") / F.sum("n")).alias("mspe"), F.sum("n").alias("n"))
+
+
+def one_se_choice(scores: list[tuple[int, list[float]]]) -> int:
+    """The first (simplest) candidate whose mean score is within one standard error of the least mean."""
+    best = min(scores, key=lambda x: np.mean(x[1]))[1]
+    limit = np.mean(best) + (np.std(best, ddof=1) / np.sqrt(len(best)) if len(best) > 1 else 0.0)
+    return next(k for k, x in scores if np.mean(x) <= limit)
+
+
+def resampled(donors: DataFrame, replicates: int) -> DataFrame:
+    """Rows (key, unit, y): bootstrap samples of the donors, each drawn Poisson(1) times by a hash of unit and replicate."""
+    every = donors.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = (F.pmod(F.xxhash64("unit", "key"), F.lit(1_000_003)).cast("double") + 0.5) / 1_000_003
+    # Poisson(1) by its distribution function.
+    times, total, term = F.lit(0), 0.0, np.exp(-1.0)
+    for k in range(1, 9):
+        total += term
+        times = times + (u > total).cast("int")
+        term /= k
+    return every.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select("key", "unit", "y")
+
+
+def left_out(donors: DataFrame, groups: int) -> DataFrame:
+    """Rows (key, unit, y): for each key the donors without one of ``groups`` hash groups."""
+    every = donors.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return every.where(F.pmod(F.xxhash64("unit"), F.lit(groups)) != F.col("key")).select("key", "unit", "y")
+
+
+def inference(effect: float, replicates: list[float], jackknife: bool = False, least_share: float = 0.8) -> tuple:
+    """(effect, se, low, high, p, valid): spread of finite replicates, normal interval and two-sided p; nulls where too few are valid."""
+    v = np.array([x for x in replicates if x is not None and np.isfinite(x)])
+    valid = len(v) / max(len(replicates), 1)
+    if len(v) < 2 or valid < least_share:
+        return effect, None, None, None, None, valid
+    se = float(np.sqrt((len(v) - 1) / len(v) * ((v - v.mean()) ** 2).sum())) if jackknife else float(v.std(ddof=1))
+    p = math.erfc(abs(effect) / se / math.sqrt(2)) if se else None
+    return effect, se, effect - 1.959964 * se, effect + 1.959964 * se, p, valid

@@ -1,4 +1,4 @@
-"""Queries of the low-rank counterfactual estimators, on 24 months of the outcome panel."""
+"""Queries of the low-rank counterfactual estimators, over all months of the outcome panel."""
 
 from __future__ import annotations
 
@@ -11,54 +11,116 @@ from .base import book
 from .estimators import ready
 
 QUERIES, ORACLE, query = book()
-T = 24
+RANKS, THRESHOLDS, HOLD, REPLICATES = (0, 1, 2, 3), (16.0, 8.0, 4.0, 2.0, 1.0), 6, 20
 
 
-def arrays(s, d):
-    """(unit, treated, start, y): outcome arrays from 1998-01, start is the opening's position."""
-    p = R.panel(s, d).withColumn("k", (F.year("period") - 1998) * 12 + F.month("period") - 1).where(f"k between 0 and {T - 1}")
-    m = p.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("k", "y"))).alias("m"))
-    u = R.units(s, d).select("unit", "treated", ((F.year("opening") - 1998) * 12 + F.month("opening") - 1).alias("start"))
-    return m.join(u, "unit").select("unit", "treated", "start", F.transform(F.sequence(F.lit(0), F.lit(T - 1)), lambda i: F.try_element_at("m", i)).alias("y"))
+def months(s, d):
+    """(first month as year * 12 + month - 1, number of months) of the panel."""
+    at = F.year("period") * 12 + F.month("period") - 1
+    low, high = R.panel(s, d).agg(F.min(at), F.max(at)).first()
+    return low, high - low + 1
 
 
-def fit(s, d, rank=2, soft=None):
+def arrays(s, d):
+    """((unit, treated, start, y), months): outcome arrays over all months, start is the opening's position."""
+    low, t = months(s, d)
+    at = lambda c: F.year(c) * 12 + F.month(c) - 1 - low
+    m = R.panel(s, d).groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct(at("period").alias("k"), "y"))).alias("m"))
+    u = R.units(s, d).select("unit", "treated", at("opening").alias("start"))
+    y = F.transform(F.sequence(F.lit(0), F.lit(t - 1)), lambda i: F.try_element_at("m", i)).alias("y")
     ready(s)
-    _, effect, projection = E.low_rank(arrays(s, d).where("not treated").select("unit", "y"), T, rank, rounds=8, tol=1e-3, soft=soft)
-    return effect, projection
+    return m.join(u, "unit").select("unit", "treated", "start", y).checkpoint(), t
+
+
+def late(got, units):
+    return got.join(units.select("unit", "start"), "unit").where("k >= start and observed is not null").withColumn("gap", F.col("observed") - F.col("counterfactual"))
+
+
+def by_unit(got, units):
+    return late(got, units).groupBy("unit").agg(F.round(F.avg("gap"), 4).alias("effect"), F.count("*").alias("months"), F.round(F.max("pre_rmspe"), 4).alias("pre_rmspe"))
+
 
+def scores(units, t, plan):
+    donors = units.where("not treated")
+    folds = [t - HOLD * k for k in (4, 3, 2, 1)]
+    rows = K.held_out_scores(donors, t, plan, folds, HOLD).orderBy("key", "fold").collect()
+    return [(k, [r["mspe"] for r in rows if r["key"] == k]) for k in plan]
 
-def effects_of(s, d, effect, basis):
-    got = K.loadings(arrays(s, d).where("treated"), effect, basis)
-    start = arrays(s, d).select("unit", "start")
-    late = got.join(start, "unit").where("k >= start and observed is not null")
-    return late.groupBy("unit").agg(F.round(F.avg(F.col("observed") - F.col("counterfactual")), 4).alias("effect"), F.count("*").alias("months"), F.round(F.max("pre_rmspe"), 4).alias("pre_rmspe"))
+
+def chosen_rank(units, t):
+    return K.one_se_choice(scores(units, t, {k: (r, None) for k, r in enumerate(RANKS)}))
+
+
+def chosen_threshold(units, t):
+    return K.one_se_choice(scores(units, t, {k: (0, x) for k, x in enumerate(THRESHOLDS)}))
 
 
 @query("gsc_effect")
 def _(s, d):
-    effect, projection = fit(s, d)
-    return effects_of(s, d, effect, K.leading(projection, 2))
+    units, t = arrays(s, d)
+    rank = RANKS[chosen_rank(units, t)]
+    effect, projection = E.low_rank(units.where("not treated"), t, rank)
+    return by_unit(K.loadings(units.where("treated"), effect, K.leading(projection, rank)), units)
 
 
 @query("mc_effect")
 def _(s, d):
-    effect, projection = fit(s, d, soft=1.5)
-    rank = max(1, int(round(float(projection.trace()))))
-    return effects_of(s, d, effect, K.leading(projection, min(rank, 4)))
+    units, t = arrays(s, d)
+    fit = E.low_rank(units.where("not treated"), t, 0, soft=THRESHOLDS[chosen_threshold(units, t)])
+    return by_unit(K.completion(units.where("treated"), *fit), units)
 
 
 @query("gsc_rank_cv")
 def _(s, d):
-    effect, projection = fit(s, d, rank=3)
-    rows = K.rank_scores(arrays(s, d).where("not treated"), effect, projection, [0, 1, 2, 3], 4)
-    best = min(rows, key=lambda r: (r[1], r[0]))[0]
-    return s.createDataFrame([(r, round(m, 5), r == best) for r, m in rows], "rank int, mspe double, chosen boolean")
+    units, t = arrays(s, d)
+    rows = scores(units, t, {k: (r, None) for k, r in enumerate(RANKS)})
+    best = K.one_se_choice(rows)
+    out = [(RANKS[k], round(sum(x) / len(x), 5), k == best) for k, x in rows]
+    return s.createDataFrame(out, "rank int, mspe double, chosen boolean")
+
+
+def _with_replicates(s, units, fits, whole, jackknife):
+    """One row: mean effect on the treated with its spread over the replicate fits."""
+    att = lambda got: late(got, units).agg(F.avg("gap")).first()[0]
+    effect = att(whole)
+    got = None
+    for key, counterfactual in fits.items():
+        part = counterfactual.withColumn("key", F.lit(key))
+        got = part if got is None else got.unionByName(part)
+    spread = late(got, units).groupBy("key").agg(F.avg("gap").alias("gap")).collect()
+    found = {r["key"]: r["gap"] for r in spread}
+    row = K.inference(effect, [found.get(k) for k in fits], jackknife)
+    frame = s.createDataFrame([row], "effect double, se double, low double, high double, p double, valid double")
+    return frame.select(*[F.round(c, 4).alias(c) for c in frame.columns])
+
+
+@query("gsc_bootstrap")
+def _(s, d):
+    units, t = arrays(s, d)
+    rank = RANKS[chosen_rank(units, t)]
+    donors, treated = units.where("not treated"), units.where("treated")
+    predict = lambda fit: K.loadings(treated, fit[0], K.leading(fit[1], rank))
+    fits = E.low_rank_fits(K.resampled(donors, REPLICATES), t, {k: (rank, None) for k in range(REPLICATES)})
+    return _with_replicates(s, units, {k: predict(f) for k, f in fits.items()}, predict(E.low_rank(donors, t, rank)), False)
+
+
+@query("mc_jackknife")
+def _(s, d):
+    units, t = arrays(s, d)
+    soft = THRESHOLDS[chosen_threshold(units, t)]
+    donors, treated = units.where("not treated"), units.where("treated")
+    fits = E.low_rank_fits(K.left_out(donors, REPLICATES), t, {k: (0, soft) for k in range(REPLICATES)})
+    return _with_replicates(s, units, {k: K.completion(treated, *f) for k, f in fits.items()}, K.completion(treated, *E.low_rank(donors, t, 0, soft=soft)), True)
 
 
 @query("masked_placebo_gate")
 def _(s, d):
-    effect, projection = fit(s, d)
-    got = K.loadings(arrays(s, d), effect, K.leading(projection, 1), hold=3).select("unit", "pre_rmspe").distinct().join(R.units(s, d).select("unit", "treated"), "unit")
-    limit = got.where("not treated").agg(E.type8(F.collect_list("pre_rmspe"), 0.95).alias("limit"))
+    units, t = arrays(s, d)
+    rank = RANKS[chosen_rank(units, t)]
+    effect, projection = E.low_rank(units.where("not treated"), t, rank)
+    got = K.loadings(units, effect, K.leading(projection, rank), hold=3).select("unit", "pre_rmspe").distinct().join(units.select("unit", "treated"), "unit")
+    # Type-8 quantile: position (n + 1/3) p + 1/3 between two order statistics.
+    n = got.where("not treated").count()
+    at = min(max((n + 1 / 3) * 0.95 + 1 / 3 - 1, 0), max(n - 1, 0)) / max(n - 1, 1)
+    limit = got.where("not treated").agg(F.percentile("pre_rmspe", at).alias("limit"))
     return got.where("treated").crossJoin(F.broadcast(limit)).select("unit", F.round("pre_rmspe", 4).alias("rmspe"), (F.col("pre_rmspe") <= F.col("limit")).alias("passed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -22,9 +23,12 @@ R.SQL["paths"] = """SELECT p.treated, (year(a.period) - year(p.opening)) * 12 +
 
 
 def ready(s):
-    """A folder for checkpoints where the session has none."""
+    """The checkpoint folder that the session names; where it names none, a local session gets a temporary one."""
     if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        base = s.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", s.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        s.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def pairs(s, d):
@@ -302,19 +306,13 @@ def _(s, d):
     return r.join(g, "city").select("unit", "period", F.when(F.col("treated"), "treated").otherwise("donor").alias("role"), (F.col("treated") & (F.col("t") >= 0)).cast("int").alias("d"), F.round(F.try_divide(F.col("y") - F.col("m"), F.col("sd")), 5).alias("model_value"))
 
 
-def unit_paths(s, d, t: int = 24):
-    """Outcome arrays of t months of every donor, null where missing."""
-    p = R.panel(s, d).join(R.units(s, d).where("not treated").select("unit"), "unit").where("period >= '1998-01-01'")
-    k = (F.year("period") - 1998) * 12 + F.month("period") - 1
-    cells = p.where(k < t).select("unit", k.alias("k"), "y")
-    return cells.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("k", "y"))).alias("m")).select("unit", F.transform(F.sequence(F.lit(0), F.lit(t - 1)), lambda i: F.try_element_at("m", i)).alias("y"))
-
-
 @query("low_rank_fit")
 def _(s, d):
-    ready(s)
-    _, effect, proj = E.low_rank(unit_paths(s, d, 12), 12, 2, rounds=12, tol=1e-4)
-    rows = [(k, float(effect[k]), float(proj[k, k])) for k in range(12)]
+    from .counterfactuals import arrays
+
+    units, t = arrays(s, d)
+    effect, proj = E.low_rank(units.where("not treated"), t, 2, tol=1e-4)
+    rows = [(k, float(effect[k]), float(proj[k, k])) for k in range(t)]
     return s.createDataFrame(rows, "time_id int, time_effect double, leverage double").select("time_id", F.round("time_effect", 4).alias("time_effect"), F.round("leverage", 3).alias("leverage"))
 
 

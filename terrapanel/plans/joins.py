@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -289,9 +288,6 @@ def _(s, d):
     return S.skeleton(R.units(s, d).select("unit", "opening"), cuts).where("opening <= cut and cut < add_months(opening, 10)").select("unit", "cut")
 
 
-R.SQL["edges"] = """SELECT unit AS src, nxt AS dst, sqrt(power(x - nx, 2) + power(y - ny, 2)) / 1000 AS km FROM (SELECT unit, x, y, lead(unit) OVER w AS nxt, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM munits WHERE unit < 60 WINDOW w AS (PARTITION BY city ORDER BY unit)) WHERE nxt IS NOT NULL"""
-
-
 def edges(s, d):
     w = Window.partitionBy("city").orderBy("unit")
     u = R.metric(R.units(s, d))
@@ -302,8 +298,9 @@ def edges(s, d):
 
 @query("graph_closeness")
 def _(s, d):
-    if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    from .estimators import ready
+
+    ready(s)
     return S.shortest_paths(edges(s, d), 60.0).groupBy("src").agg(F.round(1 / F.sum("km"), 8).alias("closeness"), F.count("*").alias("reachable"))
 
 

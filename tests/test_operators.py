@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terrapanel.operators import cleaning as C
@@ -110,8 +111,41 @@ def test_low_rank_counterfactual_recovers_a_planted_effect(spark):
     factor = np.sin(np.arange(t))
     donors = [(i, [float(a + b * f + 0.1 * k) for k, f in enumerate(factor)]) for i, (a, b) in enumerate(rng.normal(size=(30, 2)))]
     donors[0][1][3] = None
-    _, effect, projection = E.low_rank(spark.createDataFrame(donors, "unit long, y array<double>"), t, 1, rounds=6)
+    effect, projection = E.low_rank(spark.createDataFrame(donors, "unit long, y array<double>"), t, 1)
     y = [float(2 + 1.5 * f + 0.1 * k + (k >= 7)) for k, f in enumerate(factor)]
     unit = spark.createDataFrame([(99, y, 7)], "unit long, y array<double>, start int")
     rows = K.loadings(unit, effect, K.leading(projection, 1)).where("k >= 7").collect()
     assert all(abs(r["observed"] - r["counterfactual"] - 1) < 0.05 for r in rows) and rows[0]["pre_rmspe"] < 0.05
+
+
+def test_matrix_completion_and_inference(spark):
+    from terrapanel.operators import counterfactual as K
+
+    rng, t = np.random.default_rng(6), 12
+    factor = np.cos(np.arange(t))
+    paths = [[float(a + b * f + 0.05 * k) for k, f in enumerate(factor)] for a, b in rng.normal(size=(40, 2))]
+    paths[3][5] = paths[9][0] = None
+    donors = spark.createDataFrame(list(enumerate(paths)), "unit long, y array<double>")
+    effect, projection = E.low_rank(donors, t, 0, soft=0.01)
+    y = [float(1 - 2 * f + 0.05 * k + 2 * (k >= 8)) for k, f in enumerate(factor)]
+    rows = K.completion(spark.createDataFrame([(7, y, 8)], "unit long, y array<double>, start int"), effect, projection).collect()
+    assert all(abs(r["observed"] - r["counterfactual"] - 2) < 0.1 for r in rows if r["k"] >= 8)
+    # The same fit in plain numpy.
+    full = np.array([[np.nan if v is None else v for v in p] for p in paths])
+    m, proj = np.zeros(t), np.zeros((t, t))
+    for _ in range(60):
+        done = E.completed(full, m, proj)
+        e = done - done.mean(1, keepdims=True)
+        m = e.mean(0)
+        w, v = np.linalg.eigh((e - m).T @ (e - m))
+        size = np.sqrt(np.maximum(w, 0))
+        proj = (v * (np.maximum(size - 0.01, 0) / np.where(size > 0, size, 1))) @ v.T
+    assert np.allclose(m, effect, atol=1e-4) and np.allclose(np.trace(proj), np.trace(projection), atol=0.05)
+    scores = {(r["key"], r["fold"]): r["mspe"] for r in K.held_out_scores(donors, t, {0: (0, None), 1: (1, None)}, [8, 10], 2).collect()}
+    assert scores[1, 0] < 0.01 * scores[0, 0] and scores[1, 1] < 0.01 * scores[0, 1]
+    assert K.one_se_choice([(0, [5.0, 5.2]), (1, [1.0, 1.2]), (2, [0.95, 1.15])]) == 1
+    effect_, se, low, high, p, valid = K.inference(2.0, [1.0, 2.0, 3.0])
+    assert (effect_, se, valid) == (2.0, 1.0, 1.0) and abs(high - 3.959964) < 1e-6 and abs(p - 0.0455003) < 1e-6
+    assert K.inference(2.0, [1.0, 2.0, 3.0], jackknife=True)[1] == pytest.approx(np.sqrt(2 / 3 * 2)) and K.inference(1.0, [1.0, None, None])[1] is None
+    drawn = K.resampled(donors, 50).groupBy("key").count().agg({"count": "avg"}).first()[0]
+    assert 35 < drawn < 45 and K.left_out(donors, 5).count() == 4 * 40

@@ -2,15 +2,16 @@
 
 Every whole text gives candidates: assignments to secret-like names, access keys and hexadecimal runs (base), and long
 mixed tokens, signed web tokens and private-key headers (method). Candidate values are hashed and counted by distinct owners and
-repositories over the whole corpus. A value seen with at most ``max_owners`` owners whose characters look random is
-owner-specific and live-looking; a value that more owners share is a widely copied example. Base spans are always
-reported; method spans only where the value is owner-specific.
+repositories over the whole corpus. A value seen with more than ``max_owners`` owners or in more than ``max_repositories``
+repositories is a widely copied example; any other value whose characters look random is owner-specific and live-looking. Base
+spans are always reported; method spans only where the value is owner-specific.
 
 Counting goes through distinct (hash, owner, repository) first, so a value in a third of all documents is reduced
-before the shuffle.
+before the shuffle. Values with over a thousandth of all places, at most 1000 of them, meet their places by a broadcast, the
+others by a join on the hash, so that no value gathers its places in one task.
 
 Defined results: null text counts as empty; null owner or repository counts as one owner or repository named ''; every
-input row gives one output row, repeated rows included; extra columns are ignored; an empty table gives no rows.
+input row gives one output row, repeated rows and null doc_ids included; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -65,21 +66,25 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
     """Rows (doc_id, base, spans, live, n_copied): spans is base plus owner-specific method spans, by start and kind."""
     rows = candidates(docs, owner, repository)
     overlaps = lambda m: F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     own = F.concat("base", F.filter("more", lambda m: ~overlaps(m)))
     each = rows.select("row", "owner", "repository", F.explode(own).alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    seen = each.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    owners = seen.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = each.join(owners, "hash").select(
-        "row", "s", ((F.col("owners") <= max_owners) & looks_random(F.col("s.value"))).alias("live"), "owners", "repositories"
-    )
+    seen = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("places"))
+    seen = seen.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("places").alias("places"))
+    owners = seen.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("places").alias("places"))
+    owners = staged(owners, "owners")
+    total = owners.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    hot = F.broadcast(owners.where(F.col("places") * 1000 > total))
+    met = each.join(hot, "hash").unionByName(each.join(hot, "hash", "left_anti").join(owners, "hash"))
+    copied = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    judged = met.select("row", "s", (~copied & looks_random(F.col("s.value"))).alias("live"), copied.alias("copied"), "repositories")
     lists = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("live"), F.col("s"))).alias("live"),
         F.collect_list(F.when(F.col("live") & (F.col("s.kind") > 2), F.col("s"))).alias("added"),
-        F.count_if(F.col("owners") > max_owners).alias("n_copied"),
+        F.count_if("copied").alias("n_copied"),
         F.max("repositories").alias("most_repositories"),
     )
     empty = F.expr(S.NONE)

@@ -191,6 +191,42 @@ def test_secret_spans_and_ownership(spark):
     assert secret_scan.op1(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_secret_values_by_owners_and_repositories(spark):
+    """Planted: a key of one owner, one that three owners share, one of one owner in many repositories, and a hot example."""
+    token = lambda x: (x + "q7W2e9R4t6Y1u8I3") * 2
+    plan = [("own", "a", ["r1", "r2"]), ("three", "abc", ["r"]), ("many", "d", [f"r{k}" for k in range(9)]), ("hot", "abcdef", ["r"] * 60)]
+    rows = [(None if name == "own" else k, f"x {token(name)} y", o, f"{o}/{r}") for k, (name, owners, repos) in enumerate(plan) for o in owners for r in repos]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, team string, repo string")
+    got = secret_scan.scan(docs, F.col("team"), F.col("repo")).select("doc_id", F.size("live").alias("n"), "n_copied", F.size("spans").alias("s"), "most_repositories").collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: (r["n"], r["n_copied"], r["s"], r["most_repositories"]) for r in got}
+    assert by == {None: (1, 0, 1, 2), 1: (0, 1, 0, 3), 2: (0, 1, 0, 9), 3: (0, 1, 0, 6)}
+
+
+def test_base_spans_equal_plain_code_on_hard_texts(spark):
+    rng = random.Random(12)
+    parts = ["password", " = ", ":", "'", '"', "aB3dE5fG", "AKIA", "Z9" * 9, "0123456789abcdef" * 2, " ", "é", "😀", "@", ".", "a.b", "1.2.3.4", "+1 499 555 6503", "4111 1111 1111 1111", "-", "9" * 17]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + [None, ""]
+    find = lambda name, k, p, t, ok=lambda m: True: [(name, m.start(), m.end(), k) for m in re.finditer(p, t) if ok(m)]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    luhn = lambda d: sum((x if i % 2 == 0 else x * 2 - 9 * (x > 4)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    secret, private = {}, {}
+    for k, t in enumerate(rows):
+        t = t or ""
+        assign = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        s = find("assign", 0, assign, t, lambda m: len(m[1]) >= 6) + find("access", 1, "AKIA[A-Z0-9]+", t, lambda m: len(m[0]) >= 20)
+        secret[k] = sorted(s + find("hex", 2, "[0-9a-f]+", t, lambda m: len(m[0]) >= 24), key=lambda x: (x[1], x[3]))
+        p = find("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)
+        p += find("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t, lambda m: all(int(x) <= 255 for x in m[0].split(".")))
+        p += find("card", 2, r"[0-9]([\x20-]?[0-9])+", t, lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m)))
+        private[k] = p + find("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", t, lambda m: 8 <= len(digits(m)) <= 15)
+    docs = frame(spark, rows)
+    for got, want in ((secret_scan.op1(docs), secret), (pii.op2(docs), private)):
+        for r in got.select("doc_id", "base_sha256").collect():
+            line = ",".join(f"{n}:{a}:{b}" for n, a, b, _ in want[r["doc_id"]])
+            assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest(), rows[r["doc_id"]]
+
+
 def test_pii_spans_terms_and_redaction(spark):
     plain = ["ordinary words with common meaning here"] * 30
     secret = ["contact Jonquilla at j.q@mail.example.com about meaning"] * 4

@@ -118,8 +118,9 @@ def _linker(predicate):
 
 
 def _against(predicate):
-    """mapInArrow function over rows (part, bucket, node, data, lead) of parts that lie together, leading rows first: links of
-    leading rows with all rows of the part, and the other rows that have none with the largest group of linked leading rows."""
+    """mapInArrow function over rows (part, bucket, node, data, lead) of parts that lie together, leading rows first: a
+    forest of the leading rows' links and one link of each other row with each group of linked leading rows that it meets, and the
+    other rows that have none with the largest group."""
 
     def run(batches):
         held: list[tuple] = []
@@ -139,15 +140,22 @@ def _against(predicate):
         near = predicate(np.array([r[3] for r in rows], object if binary else np.int64))
         every, group = np.arange(len(rows)), np.arange(n)
         linked = [every[near(np.full(len(rows), r), every)] for r in range(n)]
+        out = []
         for r, found in enumerate(linked):
-            group[np.isin(group, group[found[found < n]])] = group[r]
-        out = [np.stack([node[found], np.full(len(found), node[r])]) for r, found in enumerate(linked)]
-        yield _links(*np.concatenate(out, axis=1)) if out else _links(node[:0], node[:0])
+            for x in found[found < n].tolist():
+                if group[x] != group[r]:
+                    out.append((x, r))
+                    group[group == group[x]] = group[r]
+        met = {g: np.zeros(len(rows), bool) for g in group.tolist()}
+        for r, found in enumerate(linked):
+            seen = met[group[r]]
+            out += [(x, r) for x in found[(found >= n) & ~seen[found]].tolist()]
+            seen[found] = True
+        yield _links(*(node[np.array(x, int)] for x in zip(*out, strict=True))) if out else _links(node[:0], node[:0])
         alone = np.ones(len(rows), bool)
         alone[:n] = False
-        main = np.bincount(group).argmax() if n else -1
-        for r in np.flatnonzero(group == main).tolist():
-            alone[linked[r]] = False
+        if n:
+            alone &= ~met[np.bincount(group).argmax()]
         yield _open(node[alone], bucket[alone])
 
     return run
@@ -156,22 +164,25 @@ def _against(predicate):
 def _large_links(rows: DataFrame, predicate) -> DataFrame:
     """Links of the rows (bucket, node, data) of large buckets, enough of them to keep all components.
 
-    About LEADERS rows a bucket, chosen by hash, are compared with all its rows, which are dealt out in parts of about BLOCK
-    rows. The leaders that link directly form groups; rows linked to the largest group are connected with each other already, and each
-    of the others is compared with all rows of its bucket, part by part.
+    About LEADERS rows a bucket, those of the smallest hashes, are compared with all its rows, which are dealt out in parts of about
+    BLOCK rows. A row that leads in one bucket mostly leads in others too, so that buckets with the same rows give the same links. The
+    leaders that link directly form groups, the same in every part; a row gives one link with each group that it meets. Rows linked
+    to the largest group are connected with each other already, and each of the others is compared with all rows of its bucket,
+    part by part.
     """
     rows = staged(rows, "large")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     whole = rows.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("n") / BLOCK))
     dealt = F.pmod(F.xxhash64("node"), F.col("parts"))
+    place = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 53)).cast("double")
     names = ("part", "bucket", "node", "data", "lead")
 
     def compared(leading: DataFrame, others: DataFrame) -> DataFrame:
         both = leading.select(*names).unionByName(others.select(*names))
-        return both.repartition("part").sortWithinPartitions("part", F.col("lead").desc()).mapInArrow(_against(predicate), LINKS)
+        return both.repartition("part").sortWithinPartitions("part", F.col("lead").desc(), place, "node").mapInArrow(_against(predicate), LINKS)
 
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    leaders = whole.where(F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < LEADERS).withColumn("at", every)
+    leaders = whole.where(place * F.col("n") < LEADERS * 2.0**53).withColumn("at", every)
     keyed = lambda df, lead: df.withColumn("part", F.xxhash64("bucket", "at")).withColumn("lead", F.lit(lead))
     first = staged(compared(keyed(leaders, True), keyed(whole.withColumn("at", dealt), False)), "led")
     links, alone = first.where("bucket is null"), first.where("bucket is not null").select("bucket", F.col("a").alias("node"))

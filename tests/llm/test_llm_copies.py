@@ -226,3 +226,14 @@ def test_rows_that_share_a_doc_id_are_judged_apart(spark):
         assert got == sorted([(1, a), (None, b), (None, z + " more"), (3, None)], key=str)
     assert {r["_key"] for r in simhash_golay.drop_near_duplicates(clash).collect()} == {"_key"}
     assert simhash_golay.drop_near_duplicates(clash.limit(0)).columns == clash.columns
+
+
+def test_large_bucket_of_copies_gives_few_links(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 32)
+    monkeypatch.setattr(components, "LEADERS", 8)
+    rows = [(bucket, node, 0 if node % 3 else 1 << 20) for bucket in (1, 2, 3) for node in range(600)]
+    keys = spark.createDataFrame(rows, "bucket long, node long, data long")
+    links = components.bucket_links(keys, lambda data: lambda i, j: data[i] == data[j])
+    assert links.count() < 3 * 600
+    roots = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert all(roots.get(node, node) == (1 if node % 3 else 0) for node in range(600))

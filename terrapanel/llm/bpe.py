@@ -29,6 +29,8 @@ from .common import doc_texts
 KNOWN_UNITS = 250_000
 #: Bytes of text that are encoded at a time (one text at least).
 PART_BYTES = 2 << 20
+#: The same where ids, spelled ids and character offsets of a part are held together.
+DIGEST_BYTES = 1 << 20
 _SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Texts that the unit cut doesn't fit: white space at the start or beside other white space.
 _RUNS = f"^{_SPACE}|{_SPACE}{_SPACE}"
@@ -148,14 +150,14 @@ class ByteBpe:
         counts[first] -= 1
         return self.units.ids(starts, counts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[places]
 
-    def encode_parts(self, texts: pa.Array, known_units: int = KNOWN_UNITS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids, offsets of rows in ids) of a string column, in order, about PART_BYTES of text at a time."""
+    def encode_parts(self, texts: pa.Array, known_units: int = KNOWN_UNITS, part_bytes: int = PART_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets of rows in ids) of a string column, in order, about ``part_bytes`` of text at a time."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             base = sizes[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(sizes, base + PART_BYTES, "right")))
+            stop = max(at + 1, int(np.searchsorted(sizes, base + part_bytes, "right")))
             part = texts.slice(at, stop - at)
             runs = pc.match_substring_regex(part, _RUNS).to_numpy(zero_copy_only=False)
             if not runs.any():
@@ -247,7 +249,7 @@ def digest(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, kno
         bpe = codec(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for at, ids, offsets in bpe.encode_parts(batch.column(1), known_units):
+            for at, ids, offsets in bpe.encode_parts(batch.column(1), known_units, DIGEST_BYTES):
                 n = len(offsets) - 1
                 written, _, lines = bpe.spelled(bpe.decimals, ids, offsets)
                 data, places, rows = bpe.spelled(bpe.byte_table, ids, offsets)

@@ -171,8 +171,8 @@ def demean(df: DataFrame, columns: list[str], unit: str, time: str, tol: float =
         df = df.checkpoint() if checkpoint else df
         largest = df.groupBy(unit).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(F.max(F.greatest(*columns) if len(columns) > 1 else F.col(columns[0]))).first()[0]
         if largest is None or largest < tol:
-            break
-    return df
+            return df
+    raise RuntimeError(f"means aren't absorbed after {rounds} rounds")
 
 
 def ols(df: DataFrame, y: str, x: list[str]) -> tuple[np.ndarray, np.ndarray, float]:

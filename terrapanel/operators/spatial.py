@@ -133,6 +133,6 @@ def shortest_paths(edges: DataFrame, limit: float, rounds: int = 50) -> DataFram
         paths = paths.unionByName(longer.where(F.col("km") <= limit)).groupBy("src", "dst").agg(F.min("km").alias("km")).checkpoint()
         state = paths.agg(F.count("*"), F.round(F.sum("km"), 6)).first()
         if state == before:
-            break
+            return paths
         before = state
-    return paths
+    raise RuntimeError(f"shortest paths aren't settled after {rounds} steps")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import unicodedata
 
 import pandas as pd
@@ -76,16 +77,15 @@ def grow(surface: DataFrame, seeds: DataFrame, keys: list[str], radius: int, rou
         found = near.select(*keys, "seed", "srow", "scol", F.col("nrow").alias("row"), F.col("ncol").alias("col")).distinct().checkpoint()
         now = found.count()
         if now == before:
-            break
+            return found
         before = now
-    return found
+    raise RuntimeError(f"components aren't complete after {rounds} rounds")
 
 
 def ring_area(ring: Column) -> Column:
     """Area of a closed or open ring of struct(x, y) by the shoelace formula."""
-    n = F.size(ring)
-    at = lambda i: F.element_at(ring, (i % n) + 1)
-    cross = F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(i)["x"] * at(i + 1)["y"] - at(i + 1)["x"] * at(i)["y"])
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1))
+    cross = F.zip_with(ring, following, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
 
 
@@ -105,9 +105,61 @@ def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(points) + half(points[::-1])
 
 
+def _area(ring: list) -> float:
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
-def convex_hull(s: pd.Series) -> pd.Series:
-    return s.map(lambda ps: [{"x": x, "y": y} for x, y in _hull([(p["x"], p["y"]) for p in ps])])
+def widened_hull(s: pd.Series, least: pd.Series, most: pd.Series, buffer: pd.Series) -> pd.Series:
+    """Convex hull of an array of points whose area is within least..most, widened by ``buffer``; null otherwise."""
+    turns = [k * 2 * math.pi / 64 for k in range(64)]
+
+    def ring(points, low, high, wide):
+        hull = _hull([(p["x"], p["y"]) for p in points])
+        if len(hull) < 3 or not low <= _area(hull) <= high:
+            return None
+        around = [(x + wide * math.cos(t), y + wide * math.sin(t)) for x, y in hull for t in turns] if wide else hull
+        return [{"x": x, "y": y} for x, y in _hull(around)]
+
+    return pd.Series([ring(*row) for row in zip(s, least, most, buffer)], index=s.index, dtype=object)
+
+
+def disc(x: Column, y: Column, radius: Column, segments: int = 64) -> Column:
+    """Ring of a regular polygon inside the circle around (x, y)."""
+    turn = lambda k: k * (2 * math.pi / segments)
+    return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: F.struct((x + radius * F.cos(turn(k))).alias("x"), (y + radius * F.sin(turn(k))).alias("y")))
+
+
+def robust_hulls(points: DataFrame, key: str, radius: float = 750.0, least: float = 500.0, most: float = 1e6, buffer: float = 20.0) -> DataFrame:
+    """Rows (key, mx, my, n_points, ring): the hull of each key's different points (x, y) within ``radius`` of their median, widened
+    by ``buffer``.
+
+    ring is null where fewer than three points are near, or the hull's area is outside least..most. Of points with one x only the lowest and
+    the highest can be corners, so what meets in one row has at most two points for each x of the circle: all points count,
+    and for rounded coordinates the row's size doesn't grow with them. Rows with a null key or coordinate are left out.
+    """
+    p = points.select(key, "x", "y").dropna().distinct()
+    middle = p.groupBy(key).agg(F.median("x").alias("mx"), F.median("y").alias("my"))
+    near = p.join(middle, key).withColumn("near", F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")) <= radius)
+    ends = near.where("near").groupBy(key, "x").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("n"))
+    corners = F.flatten(F.collect_list(F.array(*[F.struct("x", F.col(c).alias("y")) for c in ("low", "high")])))
+    h = ends.groupBy(key).agg(corners.alias("ps"), F.sum("n").alias("n"))
+    h = h.select(key, F.col("n").alias("n_points"), widened_hull("ps", F.lit(least), F.lit(most), F.lit(buffer)).alias("ring"))
+    return middle.join(h, key, "left").select(key, "mx", "my", F.coalesce("n_points", F.lit(0).cast("long")).alias("n_points"), "ring")
+
+
+def hulls_or_discs(hulls: DataFrame, group: str, known: DataFrame | None = None, default: float = 250.0) -> DataFrame:
+    """robust_hulls with a disc around the median where there is no ring; adds source.
+
+    Its radius is that of a circle with the median area of the group's known boundaries (rows group, area), within 150 to 500; or
+    ``default`` where the group has none.
+    """
+    known = known if known is not None else hulls.where("ring is not null").select(group, ring_area(F.col("ring")).alias("area"))
+    size = known.groupBy(group).agg(F.median("area").alias("area"))
+    fitted = F.when(F.col("area").isNotNull(), F.least(F.greatest(F.sqrt(F.col("area") / math.pi), F.lit(150.0)), F.lit(500.0)))
+    j = hulls.join(size, group, "left").withColumn("made", disc(F.col("mx"), F.col("my"), F.coalesce(fitted, F.lit(default))))
+    source = F.when(F.col("ring").isNotNull(), "hull").when(F.col("area").isNotNull(), "calibrated_disc").otherwise("default_disc")
+    return j.withColumn("source", source).withColumn("ring", F.coalesce("ring", "made")).drop("made", "area")
 
 
 def _clip(ring: list, x0: float, y0: float, x1: float, y1: float) -> float:
@@ -125,7 +177,7 @@ def _clip(ring: list, x0: float, y0: float, x1: float, y1: float) -> float:
         ring = out
         if not ring:
             return 0.0
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+    return _area(ring)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -112,18 +112,16 @@ def _(s, d):
 
 
 def hulls(s, d):
-    p = R.metric(R.prices(s, d)).select("community", "x", "y")
-    m = p.groupBy("community").agg(F.median("x").alias("mx"), F.median("y").alias("my"))
-    j = p.join(m, "community").withColumn("far", F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")))
-    near = F.row_number().over(Window.partitionBy("community").orderBy("far", "x", "y"))
-    kept = j.withColumn("r", near).where("r <= 60").groupBy("community").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("ps"))
-    return kept.select("community", U.convex_hull("ps").alias("ring"))
+    """Hulls or discs of the communities. The tables spread a community over its city, so that the trim is 2 km here, and the largest area
+    that of its circle."""
+    p = R.prices(s, d).withColumn("lon", F.round("lon", 6)).withColumn("lat", F.round("lat", 6))
+    h = U.robust_hulls(R.metric(p).select("community", "x", "y"), "community", 2000.0, most=1.3e7)
+    return U.hulls_or_discs(h.withColumn("city", F.col("community") % 5), "city")
 
 
 @query("aoi_hull_fallback")
 def _(s, d):
-    area = F.when(F.size("ring") >= 3, U.ring_area(F.col("ring"))).otherwise(0.0)
-    return hulls(s, d).select("community", F.size("ring").alias("vertices"), F.round(area / 1e6, 4).alias("km2"))
+    return hulls(s, d).select("community", "source", "n_points", F.size("ring").alias("vertices"), F.round(U.ring_area(F.col("ring")) / 1e6, 4).alias("km2"))
 
 
 @query("aoi_known_boundary")

@@ -12,6 +12,7 @@ from terrapanel.operators import evaluation as V
 from terrapanel.operators import panels as P
 from terrapanel.operators import sampling as A
 from terrapanel.operators import spatial as S
+from terrapanel.operators import surfaces as U
 
 
 def one(df):
@@ -149,3 +150,37 @@ def test_matrix_completion_and_inference(spark):
     assert K.inference(2.0, [1.0, 2.0, 3.0], jackknife=True)[1] == pytest.approx(np.sqrt(2 / 3 * 2)) and K.inference(1.0, [1.0, None, None])[1] is None
     drawn = K.resampled(donors, 50).groupBy("key").count().agg({"count": "avg"}).first()[0]
     assert 35 < drawn < 45 and K.left_out(donors, 5).count() == 4 * 40
+
+
+def test_hulls_trim_widen_and_fall_back_to_discs(spark):
+    square = [(1, 30.0 * a, 30.0 * b) for a in range(31) for b in range(31)] * 2 + [(1, 9000.0, 0.0), (1, None, 1.0)]
+    few = [(2, 0.0, 0.0), (2, 10.0, 0.0), (3, 5.0, 5.0), (4, 0.0, 0.0), (4, 100.0, 0.0), (4, 200.0, 0.0)]
+    points = spark.createDataFrame(square + few + [(None, 1.0, 1.0)], "k int, x double, y double")
+    hulls = U.robust_hulls(points, "k").withColumn("city", F.col("k") % 2)
+    got = {r["k"]: r for r in U.hulls_or_discs(hulls, "city").withColumn("area", U.ring_area(F.col("ring"))).collect()}
+    assert set(got) == {1, 2, 3, 4} and [got[k]["n_points"] for k in (1, 2, 3, 4)] == [961, 2, 1, 3]
+    assert got[1]["source"] == "hull" and abs(got[1]["area"] / (900**2 + 4 * 900 * 20 + math.pi * 400) - 1) < 1e-4
+    polygon = 32 * math.sin(math.pi / 32)
+    assert got[3]["source"] == "calibrated_disc" and abs(got[3]["area"] - polygon * 500**2) < 1
+    assert got[2]["source"] == got[4]["source"] == "default_disc" and abs(got[4]["area"] - polygon * 250**2) < 1
+    assert U.robust_hulls(points.limit(0), "k").count() == 0
+
+
+def test_hulls_equal_those_of_all_points(spark):
+    rng = np.random.default_rng(3)
+    xy = np.round(rng.normal(0, 200, (500, 2)), 0)
+    got = U.robust_hulls(spark.createDataFrame([(1, float(x), float(y)) for x, y in xy], "k int, x double, y double"), "k", most=1e9, buffer=0.0)
+    middle = np.median(np.unique(xy, axis=0), axis=0)
+    near = [tuple(p) for p in xy if np.hypot(*(p - middle)) <= 750]
+    assert {(p["x"], p["y"]) for p in got.first()["ring"]} == set(U._hull(near))
+
+
+def test_unfinished_iterations_raise(spark):
+    chain = [(k, k + 1, 1.0) for k in range(8)] + [(k + 1, k, 1.0) for k in range(8)]
+    edges = spark.createDataFrame(chain, "src int, dst int, km double")
+    with pytest.raises(RuntimeError):
+        S.shortest_paths(edges, 100.0, rounds=2)
+    assert S.shortest_paths(edges, 100.0).where("src = 0 and dst = 8").first()["km"] == 8.0
+    rows = spark.createDataFrame([(u, t, float(u * t)) for u in range(4) for t in range(u + 2)], "unit int, period int, y double")
+    with pytest.raises(RuntimeError):
+        E.demean(rows, ["y"], "unit", "period", rounds=1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, license_scan, media_audio, pii, quality, secret_scan, simhash_golay, sst_output, substring_dedup
+from . import bpe, decontamination, license_scan, media_audio, merkle_manifest, pair_index_bpe, pii, quality, secret_scan, simhash_golay, sst_output, substring_dedup
 from .common import table
 
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,8 @@ def queries() -> dict:
         "op8_quality_qda": lambda s, d: quality.op8(docs(s, d), table(s, d, "labels")),
         "op9_license_index": lambda s, d: license_scan.op9(docs(s, d)),
         "op10_simhash_golay": lambda s, d: simhash_golay.op10(docs(s, d)),
+        "op11_pair_index_bpe": lambda s, d: pair_index_bpe.op11(docs(s, d)),
+        "op12_merkle_intervals": lambda s, d: merkle_manifest.op12(docs(s, d)),
     }
 
 

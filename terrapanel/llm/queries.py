@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, license_scan, media_audio, merkle_manifest, pair_index_bpe, pii, quality, secret_scan, simhash_golay, sst_output, substring_dedup
+from . import bpe, decontamination, license_scan, media_audio, merkle_manifest, pair_index_bpe, pii, quality, secret_scan, simhash_golay, sst_output, substring_dedup, token_alignment
 from .common import table
 
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op10_simhash_golay": lambda s, d: simhash_golay.op10(docs(s, d)),
         "op11_pair_index_bpe": lambda s, d: pair_index_bpe.op11(docs(s, d)),
         "op12_merkle_intervals": lambda s, d: merkle_manifest.op12(docs(s, d)),
+        "op13_lockstep_alignment": lambda s, d: token_alignment.op13(docs(s, d)),
     }
 
 

@@ -106,12 +106,19 @@ def blank_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def keep_rows(docs: DataFrame, keeper) -> DataFrame:
-    """The rows of docs for which the function made by keeper() (once a task) says true of the text; all columns stay."""
+    """The rows of docs for which the function made by keeper() (once a task) says true of the text (None where it is null); all
+    columns stay, whatever their names: they are numbered on the way through the workers."""
+    plain = docs.toDF(*[c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])
 
     def run(batches):
         keep = keeper()
         for batch in parts(batches):
             yield batch.filter(pa.array(keep(text_bytes(batch)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -164,7 +164,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
-    """The documents in which no benchmark window occurs, all columns unchanged."""
+    """The documents in which no benchmark window occurs. All columns stay unchanged, whatever their names; null and empty texts have
+    no words and stay; rows that share a doc_id are judged by their own texts; an empty table gives no rows."""
     blocks = benchmark_blocks(benchmark, block_bytes)
 
     def keeper():

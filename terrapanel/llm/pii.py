@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import limited_broadcast, row_key, staged
+from .common import limited_broadcast, quoted, row_key, staged
 
 # Kinds and their patterns. Possessive forms keep long runs of characters linear.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -183,7 +183,7 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     on = row_key(F.col("doc_id"), text) == F.col(key)
     new = F.when(F.col(spans).isNotNull(), sanitise(text, F.col(spans))).otherwise(text)
-    out = [new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    out = [new.alias(c) if c == "text" else F.col(quoted(c)) for c in docs.columns]
     if found.count() <= BROADCAST_TERMS:
         return docs.join(F.broadcast(found), on, "left").select(*out)
     held = F.coalesce(F.size(entities(text)) > 0, F.lit(False))

@@ -155,7 +155,8 @@ def classify(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: flo
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, shrink: float = 0.1, ridge: float = 0.01) -> DataFrame:
-    """The documents whose score reaches the threshold, all columns unchanged."""
+    """The documents whose score reaches the threshold. All columns stay unchanged, whatever their names; null and empty texts are
+    scored like others, rows that share a doc_id by their own texts; an empty table gives no rows."""
     learnt = document_statistics(docs)
     model = fit(learnt, labels, ~held_out(), shrink, ridge)
 

@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash_golay.drop_near_duplicates(docs)
+    """One document of each near-duplicate group: five-word shingle sets with a cosine similarity of 0.8 or more."""
+    return simhash_golay.drop_near_duplicates(docs, measure="cosine")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,134 +1,218 @@
-"""Counterfactual paths from a low-rank fit of donors: few t x t matrices from the driver, all units in one pass."""
+"""Counterfactual paths from low-rank fits of donors: few t x t matrices from the driver, all units and all fits in one pass."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .estimators import _matrix, completed, low_rank_fits
+from .lowrank import Fit, complete, fitted, matrix, panel
 
-SCHEMA = "unit long, k int, observed double, counterfactual double, pre_rmspe double"
+PATHS = "name int, unit long, start int, observed array<double>, path array<double>, pre_rmspe double"
 
 
-def loadings(units: DataFrame, effect: np.ndarray, basis: np.ndarray, hold: int = 0) -> DataFrame:
-    """Counterfactual of each unit (unit, y array, start): its level and loadings are fitted on the finite periods before
-    ``start`` (without the last ``hold`` of them), then carried over all periods. pre_rmspe is taken over the periods held
-    out, or over the fitted ones where none is."""
-    t = len(effect)
+def paths(units: DataFrame, fits: dict[int, Fit], hold: int = 0) -> DataFrame:
+    """Rows (name, unit, start, observed, path, pre_rmspe) of every unit (unit, y array, start) under every fit.
+
+    Level and loadings come from the seen periods before ``start`` (without the last ``hold`` of them) and are carried over all
+    periods of the fit. pre_rmspe is taken over the periods held out, or over the fitted ones where none is. Units with too few
+    seen periods for the fit's directions give no row.
+    """
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for unit, y, start in zip(pdf["unit"], pdf["y"], pdf["start"]):
-                v = np.array([np.nan if x is None else x for x in y], float)
-                pre = np.flatnonzero(np.isfinite(v[: max(0, min(int(start), t))]))
-                fitted, test = (pre[:-hold], pre[-hold:]) if hold else (pre, pre)
-                if len(fitted) <= basis.shape[1] + 1 or not len(test):
+            for name, fit in fits.items():
+                t = len(fit.effect)
+                ys = np.array([([np.nan if v is None else v for v in y] + [np.nan] * t)[:t] for y in pdf["y"]], float).reshape(-1, t)
+                start = np.clip(pdf["start"].to_numpy(), 0, t)
+                before = np.isfinite(ys) & (np.arange(t) < start[:, None])
+                last = before[:, ::-1].cumsum(1)[:, ::-1] <= hold
+                free, test = before & ~last, before & last if hold else before
+                ok = (free.sum(1) > fit.basis.shape[1] * (fit.weights >= 1).all()) & test.any(1)
+                if not ok.any():
                     continue
-                x = np.column_stack([np.ones(t), basis])
-                b, *_ = np.linalg.lstsq(x[fitted], (v - effect)[fitted], rcond=None)
-                path = x @ b + effect
-                rmspe = float(np.sqrt(np.mean((v[test] - path[test]) ** 2)))
-                rows += [(unit, k, None if np.isnan(v[k]) else v[k], path[k], rmspe) for k in range(t)]
-            yield pd.DataFrame(rows, columns=["unit", "k", "observed", "counterfactual", "pre_rmspe"])
+                ys, free, test = ys[ok], free[ok], test[ok]
+                path = fitted(np.where(free, ys, np.nan), fit)
+                error = np.where(test, ys - path, 0.0)
+                rmspe = np.sqrt((error**2).sum(1) / test.sum(1))
+                seen = [[None if np.isnan(v) else v for v in y] for y in ys.tolist()]
+                yield pd.DataFrame({"name": np.int32(name), "unit": pdf["unit"].to_numpy()[ok], "start": start[ok].astype(np.int32), "observed": seen, "path": list(path), "pre_rmspe": rmspe})
+
+    return units.select("unit", "y", "start").mapInPandas(run, PATHS)
+
+
+def gaps(found: DataFrame) -> DataFrame:
+    """Rows (name, unit, start, k, event_time, gap, pre_rmspe) of the seen periods from the start on."""
+    each = F.posexplode(F.zip_with("observed", "path", lambda y, p: y - p)).alias("k", "gap")
+    late = found.select("name", "unit", "start", "pre_rmspe", each).where("k >= start and gap is not null")
+    return late.withColumn("event_time", F.col("k") - F.col("start"))
+
+
+def _uniform(*of: Column | str) -> Column:
+    return (F.pmod(F.xxhash64(*of), F.lit(1_000_003)).cast("double") + 0.5) / 1_000_003
+
+
+def rolling_folds(donors: DataFrame, folds: int = 5, share: float = 0.1, least: int = 5, hold: int = 3, buffer: int = 1, seed: int = 20260723) -> DataFrame:
+    """Rows (key, unit, y, w, truth, scored): every donor in every fold, with what the fold may see of it.
+
+    A share of the donors with enough seen periods (and the first one by the draw, so that no fold is empty) gets an anchor of its
+    own among its seen periods; ``hold`` periods from there are scored, and all periods from ``buffer`` seen ones before it are
+    removed. The other donors stay whole. Draws are hashes of seed, fold and unit.
+    """
+    n = F.size("times")
+    rows = donors.select("unit", F.col("y").alias("truth"), F.filter(F.transform("y", lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull()).alias("times"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("key"))
+    draw = lambda what: _uniform(F.lit(seed), F.lit(what), "key", "unit")
+    fit = n >= least + hold
+    first = rows.where(fit).groupBy("key").agg(F.min_by("unit", draw("unit")).alias("first"))
+    rows = rows.join(F.broadcast(first), "key", "left")
+    drawn = F.coalesce(fit & ((draw("unit") < share) | (F.col("unit") == F.col("first"))), F.lit(False))
+    anchor = F.lit(least) + F.floor(draw("anchor") * (n - hold - least + 1)).cast("int")
+    rows = rows.withColumn("anchor", F.when(drawn, anchor))
+    cut = F.get("times", F.greatest(F.col("anchor") - buffer, F.lit(0)))
+    y = F.when(F.col("anchor").isNull(), F.col("truth")).otherwise(F.transform("truth", lambda v, i: F.when(i < cut, v)))
+    return rows.select("key", "unit", y.alias("y"), F.array(F.lit(1.0)).alias("w"), "truth", F.when(F.col("anchor").isNotNull(), F.slice("times", F.col("anchor") + 1, hold)).alias("scored"))
+
+
+def held_out_scores(folded: DataFrame, t: int, plan: dict[int, tuple[int, float | None]], rounds: int = 5000, tol: float = 1e-3) -> DataFrame:
+    """Rows (name, key, sse, n): squared errors of every candidate (rank, threshold) of ``plan`` at the scored cells of every fold.
+
+    folded: as ``rolling_folds`` gives it. Candidates of one fold share its statistics.
+    """
+    folded = folded.checkpoint()
+    data = panel(folded, t)
+    keys = sorted({at[0] for at in data.known})
+    got = data.fit({n * len(keys) + i: ((key, 0), *p) for n, p in plan.items() for i, key in enumerate(keys)}, rounds, tol, fast=False)
+    fits = {n: {key: got[n * len(keys) + i] for i, key in enumerate(keys)} for n in plan}
 
-    return units.select("unit", "y", "start").mapInPandas(run, SCHEMA)
+    def errors(batches):
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby("key"):
+                given, truth = matrix(part["y"], t), matrix(part["truth"], t)
+                at = np.array([(i, k) for i, cells in enumerate(part["scored"]) for k in cells]).reshape(-1, 2)
+                for name, of in fits.items():
+                    err = (truth - complete(given, of[key]))[at[:, 0], at[:, 1]]
+                    out.append((name, key, float((err**2).sum()), len(err)))
+            yield pd.DataFrame(out, columns=["name", "key", "sse", "n"])
 
+    got = folded.where("scored is not null").select("key", "y", "truth", "scored").mapInPandas(errors, "name int, key int, sse double, n long")
+    return got.groupBy("name", "key").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
 
-def leading(projection: np.ndarray, rank: int) -> np.ndarray:
-    """Orthonormal directions of a projection of the given rank."""
-    _, v = np.linalg.eigh(projection)
-    return v[:, len(v) - rank :]
 
+def one_se_choice(scores: list[tuple[int, list[tuple[float, float]]]]) -> int:
+    """The first (simplest) candidate whose pooled error is within one standard error (over folds) of the least.
 
-def completion(units: DataFrame, effect: np.ndarray, projection: np.ndarray) -> DataFrame:
-    """Counterfactual of each unit (unit, y array, start) by matrix completion: its cells from ``start`` on are treated as missing
-    and completed under the shrunk projection. pre_rmspe is that of the fit in the observed periods before."""
-    t = len(effect)
+    scores: (candidate, [(sum of squared errors, cells) of each fold]).
+    """
+    pooled = {k: sum(s for s, _ in x) / max(sum(n for _, n in x), 1e-300) for k, x in scores}
+    best = min(pooled, key=lambda k: pooled[k])
+    each = [s / n for s, n in dict(scores)[best] if n]
+    limit = pooled[best] + (np.std(each, ddof=1) / np.sqrt(len(each)) if len(each) > 1 else 0.0)
+    return next(k for k, _ in scores if pooled[k] <= limit)
 
-    def run(batches):
-        for pdf in batches:
-            ys, start = _matrix(pdf["y"], t), pdf["start"].to_numpy()
-            free = np.where(np.arange(t) < start[:, None], ys, np.nan)
-            full = completed(free, effect, projection)
-            level = full.mean(1, keepdims=True)
-            fit = level + effect + (full - level - effect) @ projection
-            rows = []
-            for i, unit in enumerate(pdf["unit"]):
-                seen = np.isfinite(free[i])
-                if seen.any():
-                    rmspe = float(np.sqrt(np.mean((free[i] - fit[i])[seen] ** 2)))
-                    rows += [(unit, k, None if np.isnan(ys[i, k]) else ys[i, k], fit[i, k], rmspe) for k in range(t)]
-            yield pd.DataFrame(rows, columns=["unit", "k", "observed", "counterfactual", "pre_rmspe"])
-
-    return units.select("unit", "y", "start").mapInPandas(run, SCHEMA)
-
-
-def held_out_scores(donors: DataFrame, t: int, plan: dict[int, tuple[int, float | None]], folds: list[int], hold: int, rounds: int = 500, tol: float = 1e-5) -> DataFrame:
-    """Rows (key, fold, mspe, n): forward folds. Each fold has its own donors, by hash; their cells from the fold's period on are masked
-    before the fit of each candidate of ``plan``, and the first ``hold`` of them are predicted from what is left."""
-    own = lambda c: F.pmod(F.xxhash64("unit"), F.lit(len(folds))) == folds.index(c)
-    before = lambda c: F.transform("y", lambda x, i: F.when((i < c) | ~own(c), x)).alias("y")
-    keyed = None
-    for f, y in enumerate(map(before, folds)):
-        for k in plan:
-            part = donors.select(F.lit(k * len(folds) + f).alias("key"), "unit", y, F.col("y").alias("truth"))
-            keyed = part if keyed is None else keyed.unionByName(part)
-    keyed = keyed.where(F.exists("y", lambda x: x.isNotNull()))
-    fits = low_rank_fits(keyed, t, {k * len(folds) + f: p for k, p in plan.items() for f in range(len(folds))}, rounds, tol)
 
-    def errors(batches):
+def bootstrap_weights(replicates: int) -> Column:
+    """Array of how often a unit is drawn in each replicate: Poisson(1) by a hash of unit and replicate."""
+
+    def times(r):
+        u, total, term, out = _uniform("unit", r), 0.0, math.exp(-1.0), F.lit(0.0)
+        for k in range(1, 9):
+            total += term
+            out = out + (u > total).cast("double")
+            term /= k
+        return out
+
+    return F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), times)
+
+
+def group_of(groups: int) -> Column:
+    return F.pmod(F.xxhash64("unit"), F.lit(groups)).cast("int")
+
+
+def leave_out_weights(groups: int) -> Column:
+    """Array of weights that leave out the unit's own hash group in its place."""
+    return F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: (g != group_of(groups)).cast("double"))
+
+
+def unseen_gaps(donors: DataFrame, fits: dict[int, Fit], starts: Iterable[int]) -> DataFrame:
+    """Rows (start, event_time, n, s, q): number, sum and sum of squares of placebo gaps of donors in the replicates that didn't draw
+    them, as if treated from each start on; event_time is null for the mean gap of a donor's whole path.
+
+    donors: (unit, y, w) with the weights of the replicates.
+    """
+    begins = sorted(set(starts))
+
+    def run(batches):
+        total: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            rows = []
-            for key, part in pdf.groupby("key"):
-                effect, projection = fits[key]
-                at = folds[key % len(folds)]
-                full = completed(_matrix(part["y"], t), effect, projection)
-                given, truth = _matrix(part["y"], t), _matrix(part["truth"], t)
-                err = np.where(np.isnan(given), full - truth, np.nan)[:, at : at + hold]
-                rows.append((key // len(folds), key % len(folds), float(np.nansum(err**2)), int(np.isfinite(err).sum())))
-            yield pd.DataFrame(rows, columns=["key", "fold", "sse", "n"])
-
-    got = keyed.select("key", "y", "truth").mapInPandas(errors, "key int, fold int, sse double, n long")
-    return got.groupBy("key", "fold").agg((F.sum("sse") / F.sum("n")).alias("mspe"), F.sum("n").alias("n"))
-
-
-def one_se_choice(scores: list[tuple[int, list[float]]]) -> int:
-    """The first (simplest) candidate whose mean score is within one standard error of the least mean."""
-    best = min(scores, key=lambda x: np.mean(x[1]))[1]
-    limit = np.mean(best) + (np.std(best, ddof=1) / np.sqrt(len(best)) if len(best) > 1 else 0.0)
-    return next(k for k, x in scores if np.mean(x) <= limit)
-
-
-def resampled(donors: DataFrame, replicates: int) -> DataFrame:
-    """Rows (key, unit, y): bootstrap samples of the donors, each drawn Poisson(1) times by a hash of unit and replicate."""
-    every = donors.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.pmod(F.xxhash64("unit", "key"), F.lit(1_000_003)).cast("double") + 0.5) / 1_000_003
-    # Poisson(1) by its distribution function.
-    times, total, term = F.lit(0), 0.0, np.exp(-1.0)
-    for k in range(1, 9):
-        total += term
-        times = times + (u > total).cast("int")
-        term /= k
-    return every.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select("key", "unit", "y")
-
-
-def left_out(donors: DataFrame, groups: int) -> DataFrame:
-    """Rows (key, unit, y): for each key the donors without one of ``groups`` hash groups."""
-    every = donors.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return every.where(F.pmod(F.xxhash64("unit"), F.lit(groups)) != F.col("key")).select("key", "unit", "y")
-
-
-def inference(effect: float, replicates: list[float], jackknife: bool = False, least_share: float = 0.8) -> tuple:
-    """(effect, se, low, high, p, valid): spread of finite replicates, normal interval and two-sided p; nulls where too few are valid."""
-    v = np.array([x for x in replicates if x is not None and np.isfinite(x)])
-    valid = len(v) / max(len(replicates), 1)
-    if len(v) < 2 or valid < least_share:
+            w = np.array(pdf["w"].tolist(), float)
+            for r, fit in fits.items():
+                t = len(fit.effect)
+                ys = matrix(pdf["y"][w[:, r] == 0], t)
+                for start in begins:
+                    seen = np.isfinite(ys)
+                    ok = (seen[:, :start].sum(1) > fit.basis.shape[1]) & seen[:, start:].any(1)
+                    if not ok.any():
+                        continue
+                    free = np.where(np.arange(t) < start, ys[ok], np.nan)
+                    gap = (ys[ok] - fitted(free, fit))[:, start:]
+                    mean = np.nanmean(gap, axis=1)
+                    there = np.isfinite(gap)
+                    sums = np.array([there.sum(0), np.where(there, gap, 0).sum(0), np.where(there, gap**2, 0).sum(0)], float).T
+                    for k, v in enumerate([*sums, np.array([len(mean), mean.sum(), (mean**2).sum()])]):
+                        at = (start, k if k < len(sums) else None)
+                        total[at] = total.get(at, 0.0) + v
+        rows = [(s, k, *v) for (s, k), v in total.items()]
+        yield pd.DataFrame(rows, columns=["start", "event_time", "n", "s", "q"]).astype({"event_time": "Int32"})
+
+    got = donors.select("y", "w").mapInPandas(run, "start int, event_time int, n double, s double, q double")
+    return got.groupBy("start", "event_time").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
+
+
+def normal_inference(effect: Column, variance: Column, valid: Column, least_share: float = 0.9) -> list[Column]:
+    """se, low, high and two-sided p of a normal approximation, null where too few replicates are valid; p is 1 or 0 at a zero se."""
+    enough = (valid >= least_share) & effect.isNotNull() & variance.isNotNull()
+    se = F.when(enough, F.sqrt(F.greatest(variance, F.lit(0.0))))
+    # Abramowitz and Stegun 7.1.26 is too coarse for small p, so the tail is taken by the continued fraction below.
+    z = F.abs(effect) / se
+    p = F.when(se > 0, normal_tail(z)).when(se.isNotNull(), F.when(effect == 0, 1.0).otherwise(0.0))
+    return [se.alias("se"), (effect - 1.959963984540054 * se).alias("low"), (effect + 1.959963984540054 * se).alias("high"), p.alias("p")]
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided tail of the standard normal: a series below 2.5, a continued fraction from there on."""
+    density = F.exp(-z * z / 2) * (2 / math.sqrt(2 * math.pi))
+    term, series = z, z
+    for k in range(1, 40):
+        term = term * z * z / (2 * k + 1)
+        series = series + term
+    tail = z
+    for k in range(30, 0, -1):
+        tail = z + k / tail
+    return F.when(z < 2.5, 1 - density * series).otherwise(density / tail)
+
+
+def inference(effect: float, replicates: list[float], sizes: list[float] | None = None, least_share: float = 0.8) -> tuple:
+    """(effect, se, low, high, p, valid): spread of finite replicates, normal interval and two-sided p; nulls where too few are valid.
+
+    ``sizes`` makes it a jackknife over left-out groups of these sizes: pseudo-values weighted by how much of the whole each leaves.
+    """
+    pairs = [(x, m) for x, m in zip(replicates, sizes or [1.0] * len(replicates), strict=True) if x is not None and np.isfinite(x)]
+    valid = len(pairs) / max(len(replicates), 1)
+    if len(pairs) < 2 or valid < least_share:
         return effect, None, None, None, None, valid
-    se = float(np.sqrt((len(v) - 1) / len(v) * ((v - v.mean()) ** 2).sum())) if jackknife else float(v.std(ddof=1))
+    v, m = (np.array(x, float) for x in zip(*pairs, strict=True))
+    if sizes:
+        h = m.sum() / m
+        pseudo = h * effect - (h - 1) * v
+        center = len(v) * effect - ((1 - 1 / h) * v).sum()
+        se = float(np.sqrt(np.mean((pseudo - center) ** 2 / (h - 1))))
+    else:
+        se = float(v.std(ddof=1))
     p = math.erfc(abs(effect) / se / math.sqrt(2)) if se else None
     return effect, se, effect - 1.959964 * se, effect + 1.959964 * se, p, valid

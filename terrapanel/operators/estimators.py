@@ -244,73 +244,3 @@ def event_study(df: DataFrame, y: str, unit: str, time: str, t: str, cluster: st
         se = math.sqrt(max(covariance[k, k], 0.0))
         out.append((int(v), float(beta[k]), se, float(t_p_value(float(beta[k]) / se, g - 1)) if se else None))
     return out
-
-
-def completed(ys: np.ndarray, effect: np.ndarray, projection: np.ndarray, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:
-    """Rows with their missing cells at the fixed point of level + time effect + projection of what is left."""
-    gaps = np.isnan(ys)
-    full = np.where(gaps, np.nanmean(np.where(gaps.all(1, keepdims=True), 0.0, ys), axis=1, keepdims=True), ys)
-    for _ in range(rounds if gaps.any() else 0):
-        level = full.mean(1, keepdims=True)
-        new = np.where(gaps, level + effect + (full - level - effect) @ projection, ys)
-        moved = np.abs(new - full).max()
-        full = new
-        if moved <= tol:
-            break
-    return full
-
-
-def _matrix(column, t: int) -> np.ndarray:
-    return np.array([[np.nan if v is None else v for v in y] for y in column], float).reshape(-1, t)
-
-
-def low_rank_fits(source: DataFrame, t: int, plan: dict[int, tuple[int, float | None]], rounds: int = 500, tol: float = 1e-5) -> dict:
-    """Two-way low-rank fits of masked paths, one for each key, all in the same passes.
-
-    source: (key int, unit, y array<double> of length t, null where missing). plan gives each key's rank, or the threshold by which
-    its singular values shrink. A pass completes each unit's missing cells under its key's current fit and sums count, means and the
-    t x t Gram matrix by key; the driver takes leading directions. Returns {key: (time effects, projection)}; an error is raised
-    where a fit isn't settled after ``rounds`` passes.
-    """
-    import pandas as pd
-
-    source = source.select("key", "y").checkpoint()
-    state = {k: (np.zeros(t), np.zeros((t, t))) for k in plan}
-    before: dict[int, float] = {}
-    for _ in range(rounds):
-
-        def sums(batches, state=dict(state)):
-            total: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                for key, part in pdf.groupby("key"):
-                    full = completed(_matrix(part["y"], t), *state[key])
-                    e = full - full.mean(1, keepdims=True)
-                    now = np.concatenate([[len(e)], e.sum(0), (e.T @ e).ravel()])
-                    total[key] = total.get(key, 0.0) + now
-            for key, v in total.items():
-                yield pd.DataFrame({"key": np.int32(key), "pos": np.arange(len(v), dtype=np.int32), "v": v})
-
-        rows = source.mapInPandas(sums, "key int, pos int, v double").groupBy("key", "pos").agg(F.sum("v").alias("v")).collect()
-        found = {k: np.zeros(1 + t + t * t) for k in plan}
-        for r in rows:
-            found[r["key"]][r["pos"]] = r["v"]
-        sizes = {}
-        for k, (rank, soft) in plan.items():
-            n, effect = max(found[k][0], 1.0), found[k][1 : t + 1] / max(found[k][0], 1.0)
-            gram = found[k][t + 1 :].reshape(t, t) - n * np.outer(effect, effect)
-            w, v = np.linalg.eigh(gram)
-            size = np.sqrt(np.maximum(w, 0))
-            keep = np.where(np.arange(t) >= t - rank, 1.0, 0.0) if soft is None else np.maximum(size - soft, 0) / np.where(size > 0, size, 1)
-            state[k] = (effect, (v * keep) @ v.T)
-            sizes[k] = float(np.trace(state[k][1] @ gram))
-        if before and all(abs(sizes[k] - before[k]) <= tol * max(abs(before[k]), 1e-12) for k in plan):
-            return state
-        before = sizes
-    raise RuntimeError(f"low-rank fits aren't settled after {rounds} passes")
-
-
-def low_rank(source: DataFrame, t: int, rank: int, rounds: int = 500, tol: float = 1e-5, soft: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(time effects, projection) of one fit of rows (unit, y); see low_rank_fits."""
-    return low_rank_fits(source.withColumn("key", F.lit(0)), t, {0: (rank, soft)}, rounds, tol)[0]
-
-

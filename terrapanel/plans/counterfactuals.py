@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import counterfactual as K
 from ..operators import estimators as E
+from ..operators import lowrank as L
 from . import roles as R
 from .base import book
 from .estimators import ready
 
 QUERIES, ORACLE, query = book()
-RANKS, THRESHOLDS, HOLD, REPLICATES = (0, 1, 2, 3), (16.0, 8.0, 4.0, 2.0, 1.0), 6, 20
+RANKS, REPLICATES, GROUPS, PLACEBOS = (0, 1, 2, 3, 4, 5), 20, 20, 20
+#: Thresholds as shares of the largest singular value of the additive fit's residuals, from simple to rich.
+SHARES = tuple(float(x) for x in np.geomspace(1.0, 1e-3, 10))
 
 
 def months(s, d):
@@ -32,95 +36,145 @@ def arrays(s, d):
     return m.join(u, "unit").select("unit", "treated", "start", y).checkpoint(), t
 
 
-def late(got, units):
-    return got.join(units.select("unit", "start"), "unit").where("k >= start and observed is not null").withColumn("gap", F.col("observed") - F.col("counterfactual"))
+def scores(folded, t, plan):
+    rows = K.held_out_scores(folded, t, plan).orderBy("name", "key").collect()
+    return [(n, [(r["sse"], r["n"]) for r in rows if r["name"] == n]) for n in plan]
 
 
-def by_unit(got, units):
-    return late(got, units).groupBy("unit").agg(F.round(F.avg("gap"), 4).alias("effect"), F.count("*").alias("months"), F.round(F.max("pre_rmspe"), 4).alias("pre_rmspe"))
+def ranks(donors):
+    """Candidate ranks that the donors' seen cells can identify."""
+    n = F.size(F.filter("y", lambda v: v.isNotNull()))
+    least, cells, units, t = donors.agg(F.min(n), F.sum(n), F.count("*"), F.max(F.size("y"))).first()
+    return [r for r in RANKS if r <= min(t, units, least - 1) and cells - r * (units + t) + r * r > 0] or [0]
 
 
-def scores(units, t, plan):
+def rank_scores(units, t):
     donors = units.where("not treated")
-    folds = [t - HOLD * k for k in (4, 3, 2, 1)]
-    rows = K.held_out_scores(donors, t, plan, folds, HOLD).orderBy("key", "fold").collect()
-    return [(k, [r["mspe"] for r in rows if r["key"] == k]) for k in plan]
+    candidates = ranks(donors)
+    rows = scores(K.rolling_folds(donors), t, {k: (r, None) for k, r in enumerate(candidates)})
+    return candidates, rows, K.one_se_choice(rows)
 
 
 def chosen_rank(units, t):
-    return K.one_se_choice(scores(units, t, {k: (r, None) for k, r in enumerate(RANKS)}))
+    candidates, _, best = rank_scores(units, t)
+    return candidates[best]
 
 
 def chosen_threshold(units, t):
-    return K.one_se_choice(scores(units, t, {k: (0, x) for k, x in enumerate(THRESHOLDS)}))
+    donors = units.where("not treated")
+    spread = L.single(donors, t).spread()
+    largest = float(np.sqrt(max(np.linalg.eigvalsh(spread)[-1], 0.0)))
+    plan = {k: (0, largest * share) for k, share in enumerate(SHARES)}
+    return plan[K.one_se_choice(scores(K.rolling_folds(donors), t, plan))][1]
+
+
+def by_unit(found):
+    return K.gaps(found).groupBy("name", "unit", "start").agg(F.avg("gap").alias("effect"), F.count("*").alias("months"), F.max("pre_rmspe").alias("pre_rmspe"))
+
+
+def replicated(units, t, rank):
+    """(paths of treated units under the whole fit (name -1) and every replicate, placebo gaps of donors that a replicate didn't draw)."""
+    donors, treated = units.where("not treated").withColumns({"key": F.lit(0), "w": K.bootstrap_weights(REPLICATES)}), units.where("treated")
+    both = donors.withColumn("w", F.concat("w", F.array(F.lit(1.0)))).checkpoint()
+    data = L.panel(both, t, REPLICATES + 1)
+    fits = data.fit({r if r < REPLICATES else -1: ((0, r), rank, None) for r in range(REPLICATES + 1)})
+    starts = [r[0] for r in treated.select("start").distinct().collect()]  # at most t of them
+    found = K.paths(treated, fits).checkpoint()
+    unseen = K.unseen_gaps(both, {r: f for r, f in fits.items() if r >= 0}, [k for k in starts if 0 < k < t]).checkpoint()
+    return found, unseen
+
+
+def placebo_variance():
+    return (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
 
 
 @query("gsc_effect")
 def _(s, d):
     units, t = arrays(s, d)
-    rank = RANKS[chosen_rank(units, t)]
-    effect, projection = E.low_rank(units.where("not treated"), t, rank)
-    return by_unit(K.loadings(units.where("treated"), effect, K.leading(projection, rank)), units)
+    found, unseen = replicated(units, t, chosen_rank(units, t))
+    each = by_unit(found)
+    spread = each.where("name >= 0").groupBy("unit").agg(F.var_samp("effect").alias("fits"), (F.count("*") / REPLICATES).alias("valid"))
+    noise = unseen.where("event_time is null and n > 1").select("start", placebo_variance().alias("noise"))
+    whole = each.where("name = -1").join(spread, "unit", "left").join(F.broadcast(noise), "start", "left")
+    test = K.normal_inference(F.col("effect"), F.col("fits") + F.col("noise"), F.coalesce("valid", F.lit(0.0)))
+    out = whole.select("unit", "months", "effect", "pre_rmspe", *test, F.coalesce("valid", F.lit(0.0)).alias("valid"))
+    return out.select("unit", "months", *[F.round(c, 4).alias(c) for c in ("effect", "pre_rmspe", "se", "low", "high", "p", "valid")])
 
 
 @query("mc_effect")
 def _(s, d):
     units, t = arrays(s, d)
-    fit = E.low_rank(units.where("not treated"), t, 0, soft=THRESHOLDS[chosen_threshold(units, t)])
-    return by_unit(K.completion(units.where("treated"), *fit), units)
+    fit = L.fit_one(units.where("not treated"), t, 0, chosen_threshold(units, t))
+    return by_unit(K.paths(units.where("treated"), {0: fit})).select("unit", F.round("effect", 4).alias("effect"), "months", F.round("pre_rmspe", 4).alias("pre_rmspe"))
 
 
 @query("gsc_rank_cv")
 def _(s, d):
     units, t = arrays(s, d)
-    rows = scores(units, t, {k: (r, None) for k, r in enumerate(RANKS)})
-    best = K.one_se_choice(rows)
-    out = [(RANKS[k], round(sum(x) / len(x), 5), k == best) for k, x in rows]
-    return s.createDataFrame(out, "rank int, mspe double, chosen boolean")
-
-
-def _with_replicates(s, units, fits, whole, jackknife):
-    """One row: mean effect on the treated with its spread over the replicate fits."""
-    att = lambda got: late(got, units).agg(F.avg("gap")).first()[0]
-    effect = att(whole)
-    got = None
-    for key, counterfactual in fits.items():
-        part = counterfactual.withColumn("key", F.lit(key))
-        got = part if got is None else got.unionByName(part)
-    spread = late(got, units).groupBy("key").agg(F.avg("gap").alias("gap")).collect()
-    found = {r["key"]: r["gap"] for r in spread}
-    row = K.inference(effect, [found.get(k) for k in fits], jackknife)
-    frame = s.createDataFrame([row], "effect double, se double, low double, high double, p double, valid double")
-    return frame.select(*[F.round(c, 4).alias(c) for c in frame.columns])
+    candidates, rows, best = rank_scores(units, t)
+    out = [(candidates[k], round(sum(a for a, _ in x) / max(sum(n for _, n in x), 1), 5), sum(n for _, n in x), k == best) for k, x in rows]
+    return s.createDataFrame(out, "rank int, mspe double, cells long, chosen boolean")
 
 
 @query("gsc_bootstrap")
 def _(s, d):
+    """Mean effect of the treated by event time: spread over refits on drawn donors, plus the mean's share of the placebo noise."""
     units, t = arrays(s, d)
-    rank = RANKS[chosen_rank(units, t)]
-    donors, treated = units.where("not treated"), units.where("treated")
-    predict = lambda fit: K.loadings(treated, fit[0], K.leading(fit[1], rank))
-    fits = E.low_rank_fits(K.resampled(donors, REPLICATES), t, {k: (rank, None) for k in range(REPLICATES)})
-    return _with_replicates(s, units, {k: predict(f) for k, f in fits.items()}, predict(E.low_rank(donors, t, rank)), False)
+    found, unseen = replicated(units, t, chosen_rank(units, t))
+    late = K.gaps(found)
+    noise = unseen.where("event_time is not null and n > 1").select("start", "event_time", placebo_variance().alias("noise"))
+    own = late.where("name = -1").join(F.broadcast(noise), ["start", "event_time"], "left")
+    effect = own.groupBy("event_time").agg(F.avg("gap").alias("effect"), F.count("*").alias("units"), (F.sum("noise") / F.pow(F.count("noise"), 2)).alias("noise"))
+    draws = late.where("name >= 0").groupBy("event_time", "name").agg(F.avg("gap").alias("m")).groupBy("event_time").agg(F.var_samp("m").alias("fits"), (F.count("m") / REPLICATES).alias("valid"))
+    j = effect.join(draws, "event_time", "left").withColumn("valid", F.coalesce("valid", F.lit(0.0)))
+    j = j.select("event_time", "units", "effect", *K.normal_inference(F.col("effect"), F.col("fits") + F.col("noise"), F.col("valid")), "valid")
+    return j.select("event_time", "units", *[F.round(c, 4).alias(c) for c in ("effect", "se", "low", "high", "p", "valid")])
 
 
 @query("mc_jackknife")
 def _(s, d):
     units, t = arrays(s, d)
-    soft = THRESHOLDS[chosen_threshold(units, t)]
-    donors, treated = units.where("not treated"), units.where("treated")
-    fits = E.low_rank_fits(K.left_out(donors, REPLICATES), t, {k: (0, soft) for k in range(REPLICATES)})
-    return _with_replicates(s, units, {k: K.completion(treated, *f) for k, f in fits.items()}, K.completion(treated, *E.low_rank(donors, t, 0, soft=soft)), True)
+    soft = chosen_threshold(units, t)
+    donors = units.where("not treated").select("*", F.lit(0).alias("key"), F.concat(K.leave_out_weights(GROUPS), F.array(F.lit(1.0))).alias("w")).checkpoint()
+    data = L.panel(donors, t, GROUPS + 1)
+    whole = data.fit({-1: ((0, GROUPS), 0, soft)})
+    fits = data.fit({g: ((0, g), 0, soft) for g in range(GROUPS)}) | whole
+    means = {r["name"]: r["m"] for r in K.gaps(K.paths(units.where("treated"), fits)).groupBy("name").agg(F.avg("gap").alias("m")).collect()}
+    sizes = {r["g"]: r["count"] for r in donors.groupBy(K.group_of(GROUPS).alias("g")).count().collect()}
+    present = sorted(sizes)
+    row = K.inference(means.get(-1), [means.get(g) for g in present], [sizes[g] for g in present])
+    frame = s.createDataFrame([row], "effect double, se double, low double, high double, p double, valid double")
+    return frame.select(*[F.round(c, 4).alias(c) for c in frame.columns])
 
 
 @query("masked_placebo_gate")
 def _(s, d):
+    """Months held out before the opening: the error of every treated unit against those of 20 donors that its control fit doesn't see.
+
+    Units of one opening share their control fit, on the months before it, and their placebo donors.
+    """
     units, t = arrays(s, d)
-    rank = RANKS[chosen_rank(units, t)]
-    effect, projection = E.low_rank(units.where("not treated"), t, rank)
-    got = K.loadings(units, effect, K.leading(projection, rank), hold=3).select("unit", "pre_rmspe").distinct().join(units.select("unit", "treated"), "unit")
-    # Type-8 quantile: position (n + 1/3) p + 1/3 between two order statistics.
-    n = got.where("not treated").count()
-    at = min(max((n + 1 / 3) * 0.95 + 1 / 3 - 1, 0), max(n - 1, 0)) / max(n - 1, 1)
-    limit = got.where("not treated").agg(F.percentile("pre_rmspe", at).alias("limit"))
-    return got.where("treated").crossJoin(F.broadcast(limit)).select("unit", F.round("pre_rmspe", 4).alias("rmspe"), (F.col("pre_rmspe") <= F.col("limit")).alias("passed"))
+    rank = chosen_rank(units, t)
+    starts = sorted(r[0] for r in units.where("treated").select("start").distinct().collect() if 5 < r[0] <= t)  # at most t of them
+    donors = units.where("not treated")
+    draw = F.xxhash64(F.lit(20260723), "start", "unit")
+    # At most 20 donors of each start reach the driver.
+    picked = {b: [r[0] for r in donors.select("unit", F.lit(b).alias("start")).orderBy(draw, "unit").limit(PLACEBOS).collect()] for b in starts}
+    keyed = donors.select("unit", "y", F.explode(F.array(*[F.lit(b) for b in starts])).alias("key"))
+    taken = s.createDataFrame([(b, u) for b, of in picked.items() for u in of], "key int, unit long")
+    keyed = keyed.join(F.broadcast(taken), ["key", "unit"], "left_anti")
+    before = F.transform("y", lambda v, i: F.when(i < F.col("key"), v)).alias("y")
+    data = L.panel(keyed.select("key", before, F.array(F.lit(1.0)).alias("w")).checkpoint(), t, lengths={b: b for b in starts})
+    hold = {b: min(12, b - 5) for b in starts}
+    fits = data.fit({b: ((b, 0), min(rank, max(0, (b - hold[b] - 1) // 2)), None) for b in starts})
+    placebo = donors.select("unit", "y").join(F.broadcast(taken.withColumnRenamed("key", "start")), "unit").select("unit", "start", "y", F.lit(False).alias("treated"))
+    every = units.where("treated").select("unit", "start", "y", "treated").unionByName(placebo)
+    got = None
+    for b in starts:
+        part = K.paths(every.where(F.col("start") == b), {b: fits[b]}, hold[b]).select("start", "unit", "pre_rmspe")
+        got = part if got is None else got.unionByName(part)
+    marked = got.join(every.select("unit", "start", "treated"), ["unit", "start"])
+    # 20 donors of each start.
+    limit = marked.where("not treated").groupBy("start").agg(E.type8(F.collect_list("pre_rmspe"), 0.95).alias("limit"))
+    own = marked.where("treated").join(F.broadcast(limit), "start")
+    return own.select("unit", F.round("pre_rmspe", 4).alias("rmspe"), F.round("limit", 4).alias("limit"), (F.col("pre_rmspe") <= F.col("limit")).alias("passed"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import estimators as E
+from ..operators import lowrank as L
 from . import roles as R
 from .base import book
 from .panels import rel
@@ -311,8 +312,9 @@ def _(s, d):
     from .counterfactuals import arrays
 
     units, t = arrays(s, d)
-    effect, proj = E.low_rank(units.where("not treated"), t, 2, tol=1e-4)
-    rows = [(k, float(effect[k]), float(proj[k, k])) for k in range(t)]
+    fit = L.fit_one(units.where("not treated"), t, 2)
+    leverage = fit.projection.diagonal()
+    rows = [(k, float(fit.effect[k]), float(leverage[k])) for k in range(t)]
     return s.createDataFrame(rows, "time_id int, time_effect double, leverage double").select("time_id", F.round("time_effect", 4).alias("time_effect"), F.round("leverage", 3).alias("leverage"))
 
 

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrapanel.operators import cleaning as C
+from terrapanel.operators import counterfactual as K
 from terrapanel.operators import estimators as E
 from terrapanel.operators import evaluation as V
+from terrapanel.operators import lowrank as L
 from terrapanel.operators import panels as P
 from terrapanel.operators import sampling as A
 from terrapanel.operators import spatial as S
@@ -105,51 +107,134 @@ def test_utm_of_a_central_meridian(spark):
     assert abs(r[1]["utm_y"] - 4427757.2187) < 0.01
 
 
-def test_low_rank_counterfactual_recovers_a_planted_effect(spark):
-    from terrapanel.operators import counterfactual as K
+def gappy(seed=1, t=14, n=40, share=0.15):
+    rng = np.random.default_rng(seed)
+    y = rng.normal(size=(n, 2)) @ rng.normal(size=(2, t)) * 2 + rng.normal(size=(n, 1)) + rng.normal(size=t) + 0.1 * rng.normal(size=(n, t))
+    y[rng.random((n, t)) < share] = np.nan
+    y[::2, -1] = np.nan
+    return y
+
+
+def plain_em(y, rank, soft, tol):
+    """Additive start, then filling, two-way means and (shrunk) singular vectors in turn."""
+    seen, level, effect = np.isfinite(y), 0.0, np.zeros(y.shape[1])
+    for _ in range(3000):
+        level = np.nanmean(y - effect, 1, keepdims=True)
+        effect = np.nanmean(y - level, 0)
+        effect -= effect.mean()
+    fit, low = level + effect, None
+    while True:
+        full = np.where(seen, y, fit)
+        level = full.mean(1, keepdims=True)
+        effect = (full - level).mean(0)
+        u, s, v = np.linalg.svd(full - level - effect, full_matrices=False)
+        new_low = (u * (np.where(np.arange(len(s)) < rank, s, 0) if soft is None else np.maximum(s - soft, 0))) @ v
+        new = level + effect + new_low
+        change = np.linalg.norm(new - fit) / np.linalg.norm(fit)
+        if rank:
+            change = max(change, np.linalg.norm(new_low - low) / np.linalg.norm(low)) if low is not None else 1.0
+        fit, low = new, new_low
+        if change <= tol:
+            return np.where(seen, y, fit), effect
+
+
+def as_donors(spark, y):
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(y)]
+    return spark.createDataFrame(rows, "unit long, y array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("rank,soft", [(0, None), (1, None), (2, None), (0, 2.0), (0, 6.0)])
+def test_low_rank_fits_equal_plain_em(spark, rank, soft):
+    y = gappy()
+    full, effect = plain_em(y, rank, soft, 1e-10)
+    data = L.single(as_donors(spark, y), y.shape[1])
+    slow, fast = data.fit({0: ((0, 0), rank, soft)}, tol=1e-10, fast=False)[0], data.fit({0: ((0, 0), rank, soft)}, tol=1e-10)[0]
+    assert np.allclose(L.complete(y, slow), full, atol=1e-6) and np.allclose(slow.effect, effect, atol=1e-7)
+    assert np.allclose(np.where(np.isnan(y), L.fitted(y, fast), y), full, atol=1e-5) and np.allclose(fast.effect, effect, atol=1e-6)
+    # Most patterns left as rows: the same fit, by a job for each pass.
+    few = L.panel(as_donors(spark, y).selectExpr("0 AS key", "y", "array(1D) AS w").checkpoint(), y.shape[1], most_bytes=8 * (1 + 14 + 14 * 14) * (len(np.unique(np.isfinite(y), axis=0)) - 3))
+    assert few.rest is not None and few.rest.count() >= 3
+    if rank == 1:
+        got = few.fit({0: ((0, 0), rank, soft)}, tol=1e-3, fast=False)[0]
+        assert np.allclose(L.complete(y, got), full, atol=0.1)
+    with pytest.raises(RuntimeError):
+        L.single(as_donors(spark, y), y.shape[1]).fit({0: ((0, 0), 2, None)}, rounds=3, tol=1e-12)
+
+
+def test_weights_are_repeated_rows(spark):
+    y = gappy(seed=3)
+    rows = [(0, [None if np.isnan(v) else float(v) for v in r], [1.0, float(i % 3)]) for i, r in enumerate(y)]
+    data = L.panel(spark.createDataFrame(rows, "key int, y array<double>, w array<double>"), y.shape[1], 2)
+    got = data.fit({0: ((0, 0), 1, None), 1: ((0, 1), 1, None)}, tol=1e-9)
+    for name, of in ((0, y), (1, np.repeat(y, [i % 3 for i in range(len(y))], axis=0))):
+        assert np.allclose(got[name].effect, plain_em(of, 1, None, 1e-10)[1], atol=1e-6)
 
+
+def test_counterfactuals_recover_a_planted_effect(spark):
     rng, t = np.random.default_rng(5), 10
     factor = np.sin(np.arange(t))
     donors = [(i, [float(a + b * f + 0.1 * k) for k, f in enumerate(factor)]) for i, (a, b) in enumerate(rng.normal(size=(30, 2)))]
     donors[0][1][3] = None
-    effect, projection = E.low_rank(spark.createDataFrame(donors, "unit long, y array<double>"), t, 1)
+    fit = L.fit_one(spark.createDataFrame(donors, "unit long, y array<double>"), t, 1)
     y = [float(2 + 1.5 * f + 0.1 * k + (k >= 7)) for k, f in enumerate(factor)]
-    unit = spark.createDataFrame([(99, y, 7)], "unit long, y array<double>, start int")
-    rows = K.loadings(unit, effect, K.leading(projection, 1)).where("k >= 7").collect()
-    assert all(abs(r["observed"] - r["counterfactual"] - 1) < 0.05 for r in rows) and rows[0]["pre_rmspe"] < 0.05
-
+    units = spark.createDataFrame([(99, y, 7), (98, [None] * t, 7), (97, y, 1), (96, y, 20)], "unit long, y array<double>, start int")
+    rows = K.gaps(K.paths(units, {0: fit}, hold=2)).where("unit = 99").collect()
+    assert {r["event_time"] for r in rows} == {0, 1, 2} and all(abs(r["gap"] - 1) < 0.05 for r in rows) and rows[0]["pre_rmspe"] < 0.05
+    assert {r["unit"] for r in K.paths(units, {0: fit}).select("unit").collect()} == {99, 96}
+    shrunk = L.fit_one(spark.createDataFrame(donors, "unit long, y array<double>"), t, 0, soft=0.01)
+    assert all(abs(r["gap"] - 1) < 0.05 for r in K.gaps(K.paths(units, {0: shrunk})).where("unit = 99").collect())
 
-def test_matrix_completion_and_inference(spark):
-    from terrapanel.operators import counterfactual as K
 
+def test_rolling_folds_and_rank_choice(spark):
     rng, t = np.random.default_rng(6), 12
     factor = np.cos(np.arange(t))
-    paths = [[float(a + b * f + 0.05 * k) for k, f in enumerate(factor)] for a, b in rng.normal(size=(40, 2))]
+    paths = [[float(a + b * f + 0.05 * k + e) for k, (f, e) in enumerate(zip(factor, rng.normal(size=t) * 0.02))] for a, b in rng.normal(size=(60, 2))]
     paths[3][5] = paths[9][0] = None
+    paths.append([1.0] * 6 + [None] * 6)
     donors = spark.createDataFrame(list(enumerate(paths)), "unit long, y array<double>")
-    effect, projection = E.low_rank(donors, t, 0, soft=0.01)
-    y = [float(1 - 2 * f + 0.05 * k + 2 * (k >= 8)) for k, f in enumerate(factor)]
-    rows = K.completion(spark.createDataFrame([(7, y, 8)], "unit long, y array<double>, start int"), effect, projection).collect()
-    assert all(abs(r["observed"] - r["counterfactual"] - 2) < 0.1 for r in rows if r["k"] >= 8)
-    # The same fit in plain numpy.
-    full = np.array([[np.nan if v is None else v for v in p] for p in paths])
-    m, proj = np.zeros(t), np.zeros((t, t))
-    for _ in range(60):
-        done = E.completed(full, m, proj)
-        e = done - done.mean(1, keepdims=True)
-        m = e.mean(0)
-        w, v = np.linalg.eigh((e - m).T @ (e - m))
-        size = np.sqrt(np.maximum(w, 0))
-        proj = (v * (np.maximum(size - 0.01, 0) / np.where(size > 0, size, 1))) @ v.T
-    assert np.allclose(m, effect, atol=1e-4) and np.allclose(np.trace(proj), np.trace(projection), atol=0.05)
-    scores = {(r["key"], r["fold"]): r["mspe"] for r in K.held_out_scores(donors, t, {0: (0, None), 1: (1, None)}, [8, 10], 2).collect()}
-    assert scores[1, 0] < 0.01 * scores[0, 0] and scores[1, 1] < 0.01 * scores[0, 1]
-    assert K.one_se_choice([(0, [5.0, 5.2]), (1, [1.0, 1.2]), (2, [0.95, 1.15])]) == 1
-    effect_, se, low, high, p, valid = K.inference(2.0, [1.0, 2.0, 3.0])
-    assert (effect_, se, valid) == (2.0, 1.0, 1.0) and abs(high - 3.959964) < 1e-6 and abs(p - 0.0455003) < 1e-6
-    assert K.inference(2.0, [1.0, 2.0, 3.0], jackknife=True)[1] == pytest.approx(np.sqrt(2 / 3 * 2)) and K.inference(1.0, [1.0, None, None])[1] is None
-    drawn = K.resampled(donors, 50).groupBy("key").count().agg({"count": "avg"}).first()[0]
-    assert 35 < drawn < 45 and K.left_out(donors, 5).count() == 4 * 40
+    folded = K.rolling_folds(donors, folds=4, share=0.2)
+    rows = folded.collect()
+    assert len(rows) == 4 * 61 and all(sum(r["scored"] is not None for r in rows if r["key"] == k) >= 1 for k in range(4))
+    for r in rows:
+        if r["scored"] is None:
+            assert r["y"] == r["truth"]
+        else:
+            times = [k for k, v in enumerate(r["truth"]) if v is not None]
+            at = times.index(r["scored"][0])
+            assert r["unit"] != 60 and at >= 5 and r["scored"] == times[at : at + 3]
+            assert [k for k, v in enumerate(r["y"]) if v is not None] == times[: at - 1]
+    scores = [(r["name"], r["key"], r["sse"] / r["n"]) for r in K.held_out_scores(folded, t, {0: (0, None), 1: (1, None)}).collect()]
+    mean = lambda name: np.mean([m for n, _, m in scores if n == name])
+    assert mean(1) < 0.05 * mean(0)
+    assert K.one_se_choice([(0, [(5.0, 1), (5.2, 1)]), (1, [(1.0, 1), (1.2, 1)]), (2, [(0.95, 1), (1.15, 1)])]) == 1
+    drawn = donors.select(K.bootstrap_weights(50).alias("w")).collect()
+    assert 0.9 < np.mean([r["w"] for r in drawn]) < 1.1 and all(len(r["w"]) == 50 for r in drawn)
+    left = donors.select(K.leave_out_weights(5).alias("w")).collect()
+    assert all(sorted(r["w"]) == [0.0, 1.0, 1.0, 1.0, 1.0] for r in left)
+
+
+def test_replicate_inference(spark):
+    effect, se, low, high, p, valid = K.inference(2.0, [1.0, 2.0, 3.0])
+    assert (effect, se, valid) == (2.0, 1.0, 1.0) and abs(high - 3.959964) < 1e-6 and abs(p - 0.0455003) < 1e-6
+    # Leaving out one of n equal units is the unit jackknife; of a mean it gives the usual standard error.
+    x = np.array([1.0, 4.0, 2.0, 7.0, 3.5])
+    out = [(x.sum() - v) / 4 for v in x]
+    assert K.inference(x.mean(), out, [1.0] * 5)[1] == pytest.approx(x.std(ddof=1) / np.sqrt(5)) and K.inference(1.0, [1.0, None, None])[1] is None
+    z = [0.0, 0.5, 1.0, 1.96, 2.4, 2.6, 4.0, 8.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select(K.normal_tail(F.col("z"))).collect()
+    assert all(r[0] == pytest.approx(math.erfc(v / math.sqrt(2)), rel=1e-6) for r, v in zip(got, z))
+    rows = spark.createDataFrame([(1.0, 0.25, 1.0), (0.0, 0.0, 1.0), (1.0, 0.0, 1.0), (1.0, 0.25, 0.5), (None, 1.0, 1.0)], "e double, v double, s double")
+    got = [tuple(r) for r in rows.select(*K.normal_inference(F.col("e"), F.col("v"), F.col("s"))).collect()]
+    assert got[0][0] == 0.5 and got[1][3] == 1.0 and got[2][3] == 0.0 and got[3][0] is None and got[4][0] is None
+
+
+def test_placebo_gaps_of_unseen_donors(spark):
+    y = gappy(seed=8, share=0.0)[:, :13]
+    fit = L.fit_one(as_donors(spark, y), 13, 1)
+    rows = [(i, [float(v) for v in r], [float(i % 2)]) for i, r in enumerate(y)]
+    got = {(r["start"], r["event_time"]): r for r in K.unseen_gaps(spark.createDataFrame(rows, "unit long, y array<double>, w array<double>").repartition(3), {0: fit}, [9, 9]).collect()}
+    gap = (y - L.fitted(np.where(np.arange(13) < 9, y, np.nan), fit))[::2, 9:]
+    assert got[9, 2]["s"] == pytest.approx(gap[:, 2].sum()) and got[9, None]["q"] == pytest.approx((gap.mean(1) ** 2).sum()) and got[9, None]["n"] == 20
 
 
 def test_hulls_trim_widen_and_fall_back_to_discs(spark):

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .matching import top_k, top_k_ties  # noqa: F401
+
 
 def event_time(day: Column, opening: Column) -> Column:
     """Whole months from the opening month."""
@@ -107,26 +109,6 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(targets: DataFrame, donors: DataFrame, block: str, k: int) -> DataFrame:
-    """k nearest donors of each target within its block, ties by donor id; (target, donor, d2, rank).
-
-    targets (target, block, w), donors (donor, block, v). Each block pairs its targets (a stated query set) with its donors.
-    """
-    d = squared_distance(F.col("w"), F.col("v"))
-    pairs = targets.join(donors, block).where(F.col("target") != F.col("donor")).select("target", "donor", d.alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("d2", "donor"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def top_k_ties(targets: DataFrame, donors: DataFrame, block: str, k: int, tolerance: float = 1e-10) -> DataFrame:
-    """All donors within the k-th squared distance plus the tolerance."""
-    d = squared_distance(F.col("w"), F.col("v"))
-    pairs = targets.join(donors, block).where(F.col("target") != F.col("donor")).select("target", "donor", d.alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("d2", "donor"))
-    kth = pairs.withColumn("r", rank).where(F.col("r") == k).select("target", F.col("d2").alias("limit"))
-    return pairs.join(kth, "target").where(F.col("d2") <= F.col("limit") + tolerance).drop("limit")
-
-
 def abadie_imbens(df: DataFrame, y: str, treated: str, x: list[str]) -> dict:
     """Matching ATT with one neighbour, ties, regression bias adjustment and analytic variance.
 

@@ -63,6 +63,27 @@ def test_entropy_and_source_balance(spark):
     assert abs(math.exp(out["log_raw"]) - 10000) < 1e-6 and abs(math.exp(out["log_balanced"]) - 20000) < 1e-6
 
 
+@pytest.mark.parametrize("bounds", [{}, {"per_pivot": 5, "chunk": 7, "part": 3}, {"per_pivot": 400}, {"most_pivots": 2, "per_pivot": 1}])
+def test_nearest_by_cells_equals_all_pairs(spark, bounds):
+    rng = np.random.default_rng(9)
+    # Clusters, many points at one place, points on a coarse grid (ties), a block with one donor, a block without any.
+    v = np.concatenate([rng.normal(size=(80, 2)), np.round(rng.normal(size=(80, 2)) * 2), np.zeros((60, 2)), rng.normal(size=(30, 2)) * 0.01 + 5])
+    donors = [(i, i % 3, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000, 7, [0.0, 0.0]), (1001, None, [0.0, 0.0]), (1002, 1, None)]
+    w = np.concatenate([v[::4], rng.normal(size=(20, 2)) * 4])
+    targets = [(4 * i if i < len(v[::4]) else 2000 + i, i % 3, [float(x) for x in r]) for i, r in enumerate(w)] + [(3000, 7, [1.0, 1.0]), (3001, 8, [1.0, 1.0]), (3002, 1, None)]
+    t = spark.createDataFrame(targets, "target long, block int, w array<double>").repartition(3)
+    c = spark.createDataFrame(donors, "donor long, block int, v array<double>").repartition(3)
+    pairs = {}
+    for a, block, x in targets:
+        if x and block is not None:
+            pairs[a] = sorted(((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2, b) for b, other, y in donors if other == block and y and a != b)
+    got = [(r["target"], r["rank"], r["d2"], r["donor"]) for r in E.top_k(t, c, "block", 3, **bounds).collect()]
+    assert sorted(got) == sorted((a, k + 1, *p) for a, of in pairs.items() for k, p in enumerate(of[:3]))
+    ties = [(r["target"], r["d2"], r["donor"]) for r in E.top_k_ties(t, c, "block", 2, **bounds).collect()]
+    assert sorted(ties) == sorted((a, *p) for a, of in pairs.items() if len(of) > 1 for p in of if p[0] <= of[1][0] + 1e-10)
+    assert E.top_k(t, c.limit(0), "block", 3).count() == 0
+
+
 def test_flags_and_station_names(spark):
     df = spark.createDataFrame([("b;a", "a;c", "")], "x string, y string, z string")
     assert one(df.select(C.flag_union(F.col("x"), F.col("y"), F.col("z")))) == "a;b;c"

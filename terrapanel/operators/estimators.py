@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .matching import top_k, top_k_ties  # noqa: F401
+from .studies import event_studies
 
 
 def event_time(day: Column, opening: Column) -> Column:
@@ -144,19 +145,6 @@ def abadie_imbens(df: DataFrame, y: str, treated: str, x: list[str]) -> dict:
     return {"estimate": tau, "se": math.sqrt(variance), "unadjusted": r["raw"], "n_treated": n1}
 
 
-def demean(df: DataFrame, columns: list[str], unit: str, time: str, tol: float = 1e-9, rounds: int = 100, checkpoint: bool = True) -> DataFrame:
-    """Subtract unit and period means in turn until no mean exceeds the tolerance; a round is checkpointed."""
-    for _ in range(rounds):
-        for key in (unit, time):
-            w = Window.partitionBy(key)
-            df = df.select(*[c for c in df.columns if c not in columns], *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in columns])
-        df = df.checkpoint() if checkpoint else df
-        largest = df.groupBy(unit).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(F.max(F.greatest(*columns) if len(columns) > 1 else F.col(columns[0]))).first()[0]
-        if largest is None or largest < tol:
-            return df
-    raise RuntimeError(f"means aren't absorbed after {rounds} rounds")
-
-
 def ols(df: DataFrame, y: str, x: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
     """(coefficients, inverse Gram, residual sum of squares) of a regression without intercept."""
     _, _, q = moments(df, [*x, y])
@@ -209,20 +197,10 @@ def wald(beta: np.ndarray, covariance: np.ndarray, df2: int) -> tuple[float, int
     return f, rank, f_p_value(f, rank, df2)
 
 
-def event_study(df: DataFrame, y: str, unit: str, time: str, t: str, cluster: str, reference: int = -1, checkpoint: bool = True) -> list[tuple]:
+def event_study(df: DataFrame, y: str, unit: str, time: str, t: str, cluster: str, reference: int = -1) -> list[tuple]:
     """Two-way fixed-effect event study: (event_time, estimate, se, p) of treated rows against the reference time.
 
     t is null for control rows. Dummies and outcome are absorbed together; X'X, X'y and cluster scores are aggregates.
     """
-    times = sorted(r[0] for r in df.select(t).distinct().collect() if r[0] is not None and r[0] != reference)
-    names = [f"d{k}" for k in range(len(times))]
-    wide = df.select(unit, time, cluster, F.col(y).cast("double").alias("_y"), *[F.coalesce((F.col(t) == v).cast("double"), F.lit(0.0)).alias(n) for v, n in zip(times, names)])
-    wide = wide.where(F.col("_y").isNotNull())
-    flat = demean(wide, ["_y", *names], unit, time, checkpoint=checkpoint)
-    beta, inverse, _ = ols(flat, "_y", names)
-    covariance, g = cluster_covariance(flat, "_y", names, beta, inverse, cluster)
-    out = []
-    for k, v in enumerate(times):
-        se = math.sqrt(max(covariance[k, k], 0.0))
-        out.append((int(v), float(beta[k]), se, float(t_p_value(float(beta[k]) / se, g - 1)) if se else None))
-    return out
+    rows = event_studies(df, y, unit, time, t, cluster, reference)
+    return [(v, b, se, float(t_p_value(b / se, g - 1)) if se else None) for _, v, b, se, g in rows]

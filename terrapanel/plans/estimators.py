@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..operators import estimators as E
 from ..operators import lowrank as L
+from ..operators import studies as T
 from . import roles as R
 from .base import book
 from .panels import rel
@@ -179,6 +180,7 @@ def _(s, d):
 
 
 def whitened_sides(s, d):
+    ready(s)
     f = features(s, d).dropna(subset=FEATURES)
     w = E.whitened(f, FEATURES, E.whitening(f, FEATURES))
     return w.where("treated").select(F.col("unit").alias("target"), "city", "w"), w.where("not treated").select(F.col("unit").alias("donor"), "city", F.col("w").alias("v")), w
@@ -265,8 +267,7 @@ def study_panel(s, d):
 
 @query("absorb_two_way")
 def _(s, d):
-    ready(s)
-    return E.demean(study_panel(s, d).select("unit", "period", "y"), ["y"], "unit", "period").select("unit", "period", F.round("y", 6).alias("residual"))
+    return T.absorb(study_panel(s, d).select("unit", "period", "y"), ["y"], "unit", "period").select("unit", "period", F.round("y", 6).alias("residual"))
 
 
 def _study(s, frame, cluster):

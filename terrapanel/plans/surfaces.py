@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import estimators as E
 from ..operators import panels as P
 from ..operators import spatial as S
+from ..operators import studies as T
 from ..operators import surfaces as U
 from . import roles as R
 from .base import book
@@ -190,16 +191,19 @@ def _(s, d):
     return s.createDataFrame(rows, "shots int, rmse double")
 
 
-def study_fit(s, d, frame=None):
-    """Coefficients, covariance and clusters of the event study with a treated x post and a treated x late dummy."""
+def study_fit(s, d):
+    """Coefficients, covariance and clusters of the study with a treated x early and a treated x post dummy."""
     ready(s)
-    p = frame if frame is not None else study_panel(s, d)
     t = F.coalesce(F.col("t"), F.lit(-1))
-    wide = p.select("unit", "period", "cluster", "y", (t < -1).cast("double").alias("early"), (t >= 0).cast("double").alias("post"))
-    flat = E.demean(wide, ["y", "early", "post"], "unit", "period")
-    beta, inverse, _ = E.ols(flat, "y", ["early", "post"])
-    v, g = E.cluster_covariance(flat, "y", ["early", "post"], beta, inverse, "cluster")
-    return beta, v, g
+    return T.study(study_panel(s, d), F.col("y"), [(t < -1).cast("double"), (t >= 0).cast("double")], "unit", "period", "cluster")[""][:3]
+
+
+def pre_strata(s, d):
+    """Third of its city that each unit's mean outcome before the openings falls into: low, middle or high."""
+    means = rel(s, d).where("t < 0").groupBy("unit", "city").agg(F.avg("y").alias("m"))
+    cuts = means.groupBy("city").agg(F.percentile("m", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cuts"))
+    place = F.when(F.col("m") <= F.col("cuts")[0], "low").when(F.col("m") <= F.col("cuts")[1], "middle").otherwise("high")
+    return means.join(cuts, "city").select("unit", place.alias("stratum"))
 
 
 @query("cluster_covariance")
@@ -217,18 +221,19 @@ def _(s, d):
 
 @query("stratified_event_study")
 def _(s, d):
-    rows = []
-    for name, cond in (("low", "city <= 2"), ("high", "city > 2")):
-        beta, v, g = study_fit(s, d, study_panel(s, d).where(cond))
-        rows.append((name, round(float(beta[1]), 6), round(float(v[1, 1]) ** 0.5, 6), g))
-    return s.createDataFrame(rows, "stratum string, post double, se double, clusters int")
+    ready(s)
+    rows = T.event_studies(study_panel(s, d).join(pre_strata(s, d), "unit"), "y", "unit", "period", "t", "cluster", by="stratum")
+    out = s.createDataFrame([(k, t, b, se, float(E.t_p_value(b / se, g - 1)) if se and g > 1 else None, g) for k, t, b, se, g in rows], "stratum string, event_time int, estimate double, se double, p double, clusters int")
+    return out.select("stratum", "event_time", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "p")], "clusters")
 
 
-@query("sun_abraham", """WITH c AS (SELECT e.event_time, u.opening, avg(effect) AS m, count(*) AS n FROM effects e JOIN units u ON u.unit = e.treated WHERE effect IS NOT NULL GROUP BY 1, 2) SELECT event_time, round(sum(m * n) / sum(n), 4) AS estimate, count(*) AS cohorts FROM c GROUP BY 1""", EFF)
+@query("sun_abraham")
 def _(s, d):
-    e = effects(s, d).where("effect is not null").join(R.units(s, d).select(F.col("unit").alias("treated"), "opening"), "treated")
-    c = e.groupBy("event_time", "opening").agg(F.avg("effect").alias("m"), F.count("*").alias("n"))
-    return c.groupBy("event_time").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 4).alias("estimate"), F.count("*").alias("cohorts"))
+    """Cohorts are the quarters of the openings."""
+    ready(s)
+    u = R.units(s, d).select("unit", (F.year("opening") * 4 + F.quarter("opening")).cast("int").alias("cohort"))
+    rows = T.cohort_studies(study_panel(s, d).join(u, "unit"), "y", "unit", "period", "t", "cohort", "unit")
+    return s.createDataFrame(rows, "event_time int, estimate double, se double, cohorts int").select("event_time", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), "cohorts")
 
 
 @query("control_design")

@@ -14,6 +14,7 @@ from terrapanel.operators import lowrank as L
 from terrapanel.operators import panels as P
 from terrapanel.operators import sampling as A
 from terrapanel.operators import spatial as S
+from terrapanel.operators import studies as D
 from terrapanel.operators import surfaces as U
 
 
@@ -287,6 +288,73 @@ def test_unfinished_iterations_raise(spark):
     with pytest.raises(RuntimeError):
         S.shortest_paths(edges, 100.0, rounds=2)
     assert S.shortest_paths(edges, 100.0).where("src = 0 and dst = 8").first()["km"] == 8.0
-    rows = spark.createDataFrame([(u, t, float(u * t)) for u in range(4) for t in range(u + 2)], "unit int, period int, y double")
-    with pytest.raises(RuntimeError):
-        E.demean(rows, ["y"], "unit", "period", rounds=1)
+
+
+def unbalanced(seed=2, units=24, periods=9, effect=lambda cohort, k: 1.0 + 0.5 * k + (cohort == 5)):
+    """(unit, period, y, t, cohort): every third unit is a control, others open at 4 or 5; some cells are missing, some doubled."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for u in range(units):
+        cohort = None if u % 3 == 0 else 4 + (u % 3 == 2)
+        for k in range(periods):
+            for _ in range(int(rng.integers(0, 3)) if u > 6 else 1):
+                t = None if cohort is None else k - cohort
+                y = float(u % 5 + np.sin(k) + (effect(cohort, t) if t is not None and t >= 0 else 0.0) + 0.01 * rng.normal())
+                rows.append((u, k, y, t, cohort))
+    return rows
+
+
+def dense(rows, hits):
+    """Coefficients, CRV1 covariance by unit, and residual of y on dummies, unit and period effects."""
+    units, periods = (sorted({r[i] for r in rows}) for i in (0, 1))
+    x = np.array([[float(h(r)) for h in hits] for r in rows])
+    fixed = np.array([[float(r[0] == u) for u in units] + [float(r[1] == p) for p in periods[1:]] for r in rows])
+    y = np.array([r[2] for r in rows])
+    clean = lambda v: v - fixed @ np.linalg.lstsq(fixed, v, rcond=None)[0]
+    xt, yt = clean(x), clean(y)
+    inverse = np.linalg.pinv(xt.T @ xt)
+    beta = inverse @ xt.T @ yt
+    u = yt - xt @ beta
+    scores = np.array([sum((xt[i] * u[i] for i, r in enumerate(rows) if r[0] == g), np.zeros(len(hits))) for g in units])
+    g, n, p = len(units), len(rows), len(hits)
+    return beta, g / (g - 1) * (n - 1) / (n - p) * inverse @ scores.T @ scores @ inverse, yt
+
+
+STUDY = "unit int, period int, y double, t int, cohort int"
+
+
+def test_absorption_and_event_studies_equal_dense_least_squares(spark):
+    rows = unbalanced()
+    df = spark.createDataFrame(rows + [(90, None, 1.0, None, None), (91, 2, None, None, None)], STUDY).repartition(5)
+    flat = D.absorb(df.select("unit", "period", "y"), ["y"], "unit", "period")
+    got = sorted((r["unit"], r["period"], r["y"]) for r in flat.collect())
+    want = sorted((r[0], r[1], v) for r, v in zip(rows, dense(rows, [lambda r: 0.0])[2]))
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9) and [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(r[1]) < 1e-9 for key in ("unit", "period") for r in flat.groupBy(key).agg(F.avg("y")).collect())
+    times = sorted({r[3] for r in rows if r[3] is not None and r[3] != -1})
+    beta, cov, _ = dense(rows, [lambda r, t=t: r[3] == t for t in times])
+    got = {t: (b, se) for t, b, se, _ in E.event_study(df, "y", "unit", "period", "t", "unit")}
+    assert set(got) == set(times) and all(got[t] == pytest.approx((beta[k], cov[k, k] ** 0.5), abs=1e-8) for k, t in enumerate(times))
+    # Strata are studies of their own rows.
+    split = D.event_studies(df.withColumn("half", F.col("unit") % 2), "y", "unit", "period", "t", "unit", by="half")
+    for half in (0, 1):
+        part = [r for r in rows if r[0] % 2 == half]
+        times = sorted({r[3] for r in part if r[3] is not None and r[3] != -1})
+        beta, cov, _ = dense(part, [lambda r, t=t: r[3] == t for t in times])
+        own = {t: (b, se) for key, t, b, se, _ in split if key == str(half)}
+        assert all(own[t] == pytest.approx((beta[k], cov[k, k] ** 0.5), abs=1e-8) for k, t in enumerate(times))
+
+
+def test_cohort_studies_equal_dense_interactions(spark):
+    rows = unbalanced()
+    got = {r[0]: r[1:] for r in D.cohort_studies(spark.createDataFrame(rows, STUDY), "y", "unit", "period", "t", "cohort", "unit")}
+    pairs = sorted({(r[4], r[3]) for r in rows if r[3] is not None and r[3] != -1})
+    beta, cov, _ = dense(rows, [lambda r, p=p: (r[4], r[3]) == p for p in pairs])
+    for t in {p[1] for p in pairs}:
+        at = [k for k, p in enumerate(pairs) if p[1] == t]
+        n = np.array([len({r[0] for r in rows if (r[4], r[3]) == pairs[k]}) for k in at], float)
+        w, b = n / n.sum(), beta[at]
+        variance = w @ cov[np.ix_(at, at)] @ w + b @ (np.diag(w) - np.outer(w, w)) @ b / n.sum()
+        assert got[t] == (pytest.approx(w @ b, abs=1e-8), pytest.approx(variance**0.5, abs=1e-7), len(at))
+    # The planted effect differs by cohort: 1 + t / 2, one more in the later one.
+    assert got[0][0] == pytest.approx(1.5, abs=0.2)

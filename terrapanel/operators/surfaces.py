@@ -6,12 +6,15 @@ import difflib
 import math
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .counterfactual import normal_tail
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
@@ -51,6 +54,74 @@ def offsets(df: DataFrame, radius: int, keep_self: bool = False) -> DataFrame:
     return out.withColumn("nrow", F.col("row") + F.col("_i")).withColumn("ncol", F.col("col") + F.col("_j")).drop("_i", "_j")
 
 
+def local_quadratic(surface: DataFrame, keys: list[str], sigmas: list[float], ridge: float = 1e-8) -> DataFrame:
+    """Locally weighted quadratic fits of z at every cell: (keys, row, col, z, sigma, fit, lever, loo, mass) for every bandwidth.
+
+    Gaussian weights of ``sigma`` cells, cut off at three of them along both axes, centred at the cell, so that the fit is the local
+    intercept. ``loo`` is the fit without the cell itself (its part of the normal equations is known exactly), ``mass`` the sum of
+    weights, ``lever`` the variance of the fit for a residual variance of one. Cells meet their neighbours by an equi-join; a cell
+    has at most the window's number of them.
+    """
+    reach = math.ceil(3 * max(sigmas))
+    other = surface.select(*keys, F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.col("z").cast("double").alias("nz"))
+    near = offsets(surface.select(*keys, "row", "col", F.col("z").cast("double").alias("z")), reach, keep_self=True).join(other, [*keys, "nrow", "ncol"])
+    lists = [F.collect_list(c.cast("double")).alias(n) for n, c in (("dr", F.col("nrow") - F.col("row")), ("dc", F.col("ncol") - F.col("col")), ("nz", F.col("nz")))]
+    cells = near.groupBy(*keys, "row", "col", "z").agg(*lists)
+    names = ["sigma", "fit", "lever", "loo", "mass"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for i, (dr, dc, nz, z) in enumerate(zip(pdf["dr"], pdf["dc"], pdf["nz"], pdf["z"])):
+                u, v, y = (np.asarray(x, float) for x in (dr, dc, nz))
+                for sigma in sigmas:
+                    w = np.exp(-(u * u + v * v) / (2 * sigma * sigma)) * (np.maximum(abs(u), abs(v)) <= 3 * sigma)
+                    a, b = u / sigma, v / sigma
+                    x = np.column_stack([np.ones(len(u)), a, b, a * a, b * b, a * b])
+                    gram, right = (x * w[:, None]).T @ x + ridge * np.eye(6), (x * w[:, None]).T @ y
+                    beta, own = np.linalg.solve(gram, np.column_stack([right, np.eye(6)[0]])).T
+                    lever = own @ ((x * (w * w)[:, None]).T @ x) @ own
+                    gram[0, 0] -= 1.0
+                    right[0] -= z
+                    loo = np.linalg.lstsq(gram, right, rcond=1e-12)[0][0]
+                    out.append((i, sigma, beta[0], lever, loo, w.sum()))
+            got = pd.DataFrame(out, columns=["i", *names])
+            yield pd.concat([pdf[[*keys, "row", "col", "z"]].iloc[got["i"]].reset_index(drop=True), got[names]], axis=1)
+
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in [*keys, "row", "col", "z"])
+    return cells.mapInPandas(run, kinds + ", sigma double, fit double, lever double, loo double, mass double")
+
+
+def density_fit(surface: DataFrame, keys: list[str], sigmas: list[float], least_mass: float = 7.0) -> DataFrame:
+    """The local quadratic fits of the bandwidth with the least leave-one-out error of each key (the smallest of ties), with
+    ``variance`` of the fit from the local residual variance. Cells with a mass up to ``least_mass`` don't vote on the bandwidth;
+    where none does, the largest bandwidth is taken."""
+    fits = local_quadratic(surface, keys, sigmas).checkpoint()
+    error = F.avg(F.when(F.col("mass") > least_mass, F.pow(F.col("loo") - F.col("z"), 2)))
+    votes = fits.groupBy(*keys, "sigma").agg(error.alias("e")).groupBy(*keys).agg(F.min(F.when(F.col("e").isNotNull(), F.struct("e", "sigma"))).alias("m"))
+    best = votes.select(*keys, F.coalesce(F.col("m.sigma"), F.lit(max(sigmas))).alias("sigma"))
+    chosen = fits.join(best, [*keys, "sigma"])
+    reach = math.ceil(3 * max(sigmas))
+    other = chosen.select(*keys, F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.pow(F.col("z") - F.col("fit"), 2).alias("e2"))
+    near = offsets(chosen.select(*keys, "row", "col", "sigma"), reach, keep_self=True).join(other, [*keys, "nrow", "ncol"])
+    dr, dc = F.col("nrow") - F.col("row"), F.col("ncol") - F.col("col")
+    w = F.when(F.greatest(F.abs(dr), F.abs(dc)) <= 3 * F.col("sigma"), F.exp(-(dr * dr + dc * dc) / (2 * F.col("sigma") * F.col("sigma")))).otherwise(0.0)
+    s2 = near.groupBy(*keys, "row", "col").agg((F.sum(w * F.col("e2")) / F.greatest(F.sum(w) - 6, F.lit(1.0))).alias("s2"))
+    return chosen.join(s2, [*keys, "row", "col"]).withColumn("variance", F.col("s2") * F.col("lever")).drop("s2")
+
+
+def significant_peaks(fits: DataFrame, keys: list[str], radius: int, alpha: float = 0.05) -> DataFrame:
+    """Peaks of the fitted surface with t and p against the mean of their neighbours, and Benjamini-Hochberg marks within keys.
+
+    fits: as density_fit gives them. Cells without a neighbour are no peaks; where the variance is zero there is no test."""
+    other = fits.select(*keys, F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.col("fit").alias("nfit"), F.col("variance").alias("nvar"))
+    near = offsets(fits.select(*keys, "row", "col", "fit", "variance"), radius).join(other, [*keys, "nrow", "ncol"])
+    g = near.groupBy(*keys, "row", "col", "fit", "variance").agg(F.max("nfit").alias("top"), F.avg("nfit").alias("mean"), F.avg("nvar").alias("mean_var"), F.count("*").alias("n"))
+    t = F.try_divide(F.col("fit") - F.col("mean"), F.sqrt(F.col("variance") + F.col("mean_var")))
+    found = g.where("fit >= top").withColumn("t", t).withColumn("p", F.when(F.col("t").isNotNull(), normal_tail(F.abs("t"))))
+    return benjamini_hochberg(found, keys, "p", alpha).drop("top", "mean_var")
+
+
 def peaks(surface: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """Cells (value z) that no neighbour within the radius exceeds, with the neighbours' mean, count and variance."""
     near = offsets(surface, radius).join(surface.select(*keys, F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.col("z").alias("nz")), [*keys, "nrow", "ncol"])
@@ -61,7 +132,7 @@ def peaks(surface: DataFrame, keys: list[str], radius: int) -> DataFrame:
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, alpha: float) -> DataFrame:
     """Mark the p-values significant at false discovery rate alpha within keys."""
     n = F.count(p).over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(p))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last()))
     cut = F.max(F.when(F.col(p) <= alpha * F.col("_r") / F.col("_n"), F.col(p))).over(Window.partitionBy(*keys))
     return df.withColumn("_n", n).withColumn("_r", rank).withColumn("significant", F.coalesce(F.col(p) <= cut, F.lit(False))).drop("_n", "_r")
 

@@ -180,11 +180,13 @@ def responses(s, d):
     return j.select("unit", F.transform("l", lambda x: x["y"]).alias("v"))
 
 
-@query("masked_response_corr", """WITH p AS (SELECT a.unit AS a, b.unit AS b, unnest(a.v) AS x, unnest(b.v) AS y FROM resp a JOIN resp b ON a.unit < b.unit AND a.unit % 20 = 0) SELECT a, b, round(corr(x, y), 4) AS r FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""", "units panel rel resp")
+@query("masked_response_corr", """WITH p AS (SELECT a.unit AS a, b.unit AS b, unnest(a.v) AS x, unnest(b.v) AS y FROM resp a JOIN resp b ON a.unit <> b.unit AND a.unit % 20 = 0 AND (a.unit < b.unit OR b.unit % 20 <> 0)) SELECT a, b, round(corr(x, y), 4) AS r FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""", "units panel rel resp")
 def _(s, d):
     v = responses(s, d)
     q = v.where("unit % 20 = 0").select(F.col("unit").alias("a"), F.col("v").alias("x"))
-    return q.join(v.select(F.col("unit").alias("b"), F.col("v").alias("y")), F.col("a") < F.col("b")).select("a", "b", F.round(V.masked_corr(F.col("x"), F.col("y")), 4).alias("r"))
+    # All partners of the query set; of a pair inside it only one order.
+    met = (F.col("a") != F.col("b")) & ((F.col("a") < F.col("b")) | (F.col("b") % 20 != 0))
+    return q.join(v.select(F.col("unit").alias("b"), F.col("v").alias("y")), met).select("a", "b", F.round(V.masked_corr(F.col("x"), F.col("y")), 4).alias("r"))
 
 
 @query("label_support_diagnostics", """SELECT n::INT AS common_cells, count(*) AS pairs FROM (SELECT a.unit, b.unit, len(list_filter(list_zip(a.v, b.v), lambda p: p[1] IS NOT NULL AND p[2] IS NOT NULL)) AS n FROM resp a JOIN resp b ON a.unit < b.unit) GROUP BY 1""", "units panel rel resp")
@@ -281,7 +283,7 @@ def _(s, d):
 @query("bootstrap_mean_ci")
 def _(s, d):
     e = effects(s, d).where("effect is not null").groupBy("treated").agg(F.avg("effect").alias("m"))
-    b = V.resampled(e, "treated", 200, 11).groupBy("rep").agg((F.sum(F.col("m") * F.col("weight")) / F.sum("weight")).alias("m"))
+    b = V.resampled(e, "treated", 200, 11).groupBy("rep").agg(F.try_divide(F.sum(F.col("m") * F.col("weight")), F.sum("weight")).alias("m"))
     return b.agg(*[F.round(F.percentile("m", p), 6).alias(n) for p, n in ((0.025, "low"), (0.975, "high"))], F.count("*").alias("reps"))
 
 

@@ -33,25 +33,34 @@ def surface(s, d):
     return P.lattice_cell(R.metric(R.points(s, d)), size=4000.0).groupBy("city", "row", "col").agg(F.count("*").cast("double").alias("z"))
 
 
-def peak_table(s, d):
-    p = U.peaks(surface(s, d), ["city"], 1)
-    return p.withColumn("t", F.try_divide(F.col("z") - F.col("mean"), F.sqrt(F.col("v"))))
+SIGMAS, MIN_KM, MIN_AREA = [1.0, 1.5, 2.0], 8.0, 48.0
 
 
-@query("density_peaks", """SELECT a.city, a.row, a.col, any_value(a.z) AS z, round(avg(b.z), 5) AS mean, count(*) AS n FROM surf a JOIN surf b ON a.city = b.city AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col)
-    GROUP BY 1, 2, 3 HAVING any_value(a.z) >= max(b.z)""", "points mpoints surf")
-def _(s, d):
-    return peak_table(s, d).select("city", "row", "col", "z", F.round("mean", 5).alias("mean"), "n")
+def fits(s, d):
+    """Local quadratic fits of the log counts; cells are 4 km wide."""
+    ready(s)
+    return U.density_fit(surface(s, d).withColumn("z", F.log1p("z")), ["city"], SIGMAS)
 
 
-R.SQL["peak"] = """SELECT city, row, col, z, (z - m) / nullif(sd, 0) AS t FROM (SELECT a.city, a.row, a.col, any_value(a.z) AS z, avg(b.z) AS m, sqrt(var_samp(b.z)) AS sd, max(b.z) AS top FROM surf a JOIN surf b ON a.city = b.city AND abs(a.row - b.row) <= 1
-    AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col) GROUP BY 1, 2, 3) WHERE z >= top"""
+@query("density_peaks")
+def _(s, d):
+    got = U.significant_peaks(fits(s, d), ["city"], 1)
+    return got.select("city", "row", "col", *[F.round(c, 5).alias(c) for c in ("fit", "mean", "t", "p")], "n", "significant")
 
 
-@query("centre_select", """SELECT city, row, col, CASE WHEN r = 1 THEN 'main' ELSE 'sub' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY z DESC, row, col) AS r FROM peak WHERE t >= 1) WHERE r <= 4""", "points mpoints surf peak")
+@query("centre_select")
 def _(s, d):
-    r = F.row_number().over(Window.partitionBy("city").orderBy(F.col("z").desc(), "row", "col"))
-    return peak_table(s, d).where("t >= 1").withColumn("r", r).where("r <= 4").select("city", "row", "col", F.when(F.col("r") == 1, "main").otherwise("sub").alias("role"))
+    """The highest peak of a city is its main centre; other peaks are subcentres where they are significant and far enough from it,
+    and where enough of the area around them stands above the city's median."""
+    f = fits(s, d).checkpoint()
+    peaks = U.significant_peaks(f, ["city"], 1)
+    high = f.join(f.groupBy("city").agg(F.percentile("fit", 0.5).alias("floor")), "city").where("fit >= floor")
+    area = U.offsets(peaks.select("city", "row", "col"), 2, keep_self=True).join(high.select("city", F.col("row").alias("nrow"), F.col("col").alias("ncol")), ["city", "nrow", "ncol"])
+    area = area.groupBy("city", "row", "col").agg((F.count("*") * 16.0).alias("km2"))
+    main = P.first_rows(peaks, ["city"], [F.col("fit").desc(), F.col("row"), F.col("col")]).select("city", F.col("row").alias("r0"), F.col("col").alias("c0"))
+    j = peaks.join(main, "city").join(area, ["city", "row", "col"], "left").fillna(0.0, ["km2"]).withColumn("km", 4 * F.hypot(F.col("row") - F.col("r0"), F.col("col") - F.col("c0")))
+    role = F.when(F.col("km") == 0, "main").when(~F.col("significant"), "not_significant").when(F.col("km") < MIN_KM, "too_near").when(F.col("km2") < MIN_AREA, "too_small").otherwise("sub")
+    return j.select("city", "row", "col", F.round("fit", 5).alias("fit"), F.round("km", 3).alias("km"), "km2", role.alias("role"))
 
 
 @query("contiguous_support")
@@ -76,11 +85,7 @@ def _(s, d):
 
 @query("local_density_fit")
 def _(s, d):
-    w = surface(s, d)
-    near = U.offsets(w.select("city", "row", "col"), 2, keep_self=True).join(w.select("city", F.col("row").alias("nrow"), F.col("col").alias("ncol"), "z"), ["city", "nrow", "ncol"])
-    k = F.exp(-(F.pow(F.col("nrow") - F.col("row"), 2) + F.pow(F.col("ncol") - F.col("col"), 2)) / 2)
-    g = near.withColumn("k", k).groupBy("city", "row", "col").agg((F.sum(F.col("k") * F.col("z")) / F.sum("k")).alias("fit"), F.count("*").alias("n"))
-    return g.select("city", "row", "col", F.round("fit", 5).alias("fit"), "n")
+    return fits(s, d).select("city", "row", "col", "sigma", *[F.round(c, 5).alias(c) for c in ("fit", "loo", "mass")], F.round(F.sqrt("variance"), 5).alias("se"))
 
 
 def communities(s, d):

@@ -358,3 +358,47 @@ def test_cohort_studies_equal_dense_interactions(spark):
         assert got[t] == (pytest.approx(w @ b, abs=1e-8), pytest.approx(variance**0.5, abs=1e-7), len(at))
     # The planted effect differs by cohort: 1 + t / 2, one more in the later one.
     assert got[0][0] == pytest.approx(1.5, abs=0.2)
+
+
+def test_local_quadratic_fits_equal_plain_least_squares(spark):
+    rng = np.random.default_rng(4)
+    cells = [(k, r, c, float(np.exp(-((r - 4) ** 2 + (c - 3) ** 2) / 6) * 3 + 0.1 * rng.normal())) for k in (1, 2) for r in range(9) for c in range(8) if (r, c) != (2, 2)]
+    df = spark.createDataFrame(cells + [(3, 0, 0, 1.0)], "city int, row int, col int, z double").repartition(4)
+    sigmas = [1.0, 1.5]
+    own = {k: {(r, c): z for city, r, c, z in cells if city == k} for k in (1, 2)}
+
+    def plain(of, at, sigma, without=False):
+        rows = [(r - at[0], c - at[1], z) for (r, c), z in of.items() if max(abs(r - at[0]), abs(c - at[1])) <= 3 * sigma and not (without and (r, c) == at)]
+        u, v, y = (np.array(x, float) for x in zip(*rows))
+        w = np.exp(-(u * u + v * v) / (2 * sigma**2))
+        x = np.column_stack([np.ones(len(u)), u, v, u * u, v * v, u * v])
+        hat = np.linalg.pinv((x * w[:, None]).T @ x) @ (x * w[:, None]).T
+        return hat[0] @ y, (hat[0] ** 2).sum(), w.sum()
+
+    got = {(r["city"], r["row"], r["col"], r["sigma"]): r for r in U.local_quadratic(df, ["city"], sigmas).collect()}
+    assert len(got) == 2 * (len(cells) + 1)
+    for k, r, c, _ in cells:
+        for sigma in sigmas:
+            one = got[k, r, c, sigma]
+            assert (one["fit"], one["lever"], one["mass"]) == pytest.approx(plain(own[k], (r, c), sigma), abs=1e-5)
+            assert one["loo"] == pytest.approx(plain(own[k], (r, c), sigma, True)[0], abs=1e-4)
+    fits = {(r["city"], r["row"], r["col"]): r for r in U.density_fit(df, ["city"], sigmas).collect()}
+    for k in (1, 2):
+        votes = {s: np.mean([(plain(own[k], at, s, True)[0] - z) ** 2 for at, z in own[k].items() if plain(own[k], at, s)[2] > 7]) if any(plain(own[k], at, s)[2] > 7 for at in own[k]) else np.inf for s in sigmas}
+        best = min(votes, key=lambda s: votes[s])
+        assert {r["sigma"] for key, r in fits.items() if key[0] == k} == {best}
+        near = [(q, np.exp(-((q[0] - 4) ** 2 + (q[1] - 3) ** 2) / (2 * best**2))) for q in own[k] if max(abs(q[0] - 4), abs(q[1] - 3)) <= 3 * best]
+        s2 = sum(w * (own[k][q] - plain(own[k], q, best)[0]) ** 2 for q, w in near) / max(sum(w for _, w in near) - 6, 1)
+        assert fits[k, 4, 3]["variance"] == pytest.approx(s2 * plain(own[k], (4, 3), best)[1], rel=1e-3)
+    peaks = {(r["city"], r["row"], r["col"]): r for r in U.significant_peaks(U.density_fit(df, ["city"], sigmas), ["city"], 1).collect()}
+    assert all(any(abs(key[1] - 4) <= 1 and abs(key[2] - 3) <= 1 and r["significant"] for key, r in peaks.items() if key[0] == k) for k in (1, 2)) and (3, 0, 0) not in peaks
+
+
+def test_benjamini_hochberg_step_up(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, float(p)) for k in (1, 2) for p in np.concatenate([rng.uniform(0, 0.02, 12), rng.uniform(0, 1, 30)])] + [(3, 0.9), (1, None)]
+    got = U.benjamini_hochberg(spark.createDataFrame(rows, "k int, p double"), ["k"], "p", 0.05).collect()
+    for k in (1, 2, 3):
+        p = sorted(v for key, v in rows if key == k and v is not None)
+        limit = max([v for i, v in enumerate(p) if v <= 0.05 * (i + 1) / len(p)], default=-1.0)
+        assert all(r["significant"] == (r["p"] is not None and r["p"] <= limit) for r in got if r["k"] == k)

@@ -174,3 +174,29 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 def op12(docs: DataFrame) -> DataFrame:
     return manifest(docs).drop("lo", "path")
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256({} || {} || {} || {{}} || {})".format(*[_FIELD.format(c) for c in ("doc_id", "source", "lang", "text")])
+#: crc32 of the decimal doc_id, bit by bit: each byte joins the register at the first of its eight steps.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, e: xor(xor(c, e) >> 1, CASE WHEN xor(c, e) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+_TREE = """{0}(key, level, pos, digest) AS (SELECT key, 0, pos, digest FROM {1} UNION ALL
+    SELECT key, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM {0}) WHERE n > 1 GROUP BY key, level, pos // 2)"""
+_STEPS = """SELECT r.rid, n.level + {2} AS level, (n.pos % 2)::VARCHAR || coalesce(s.digest, '') AS step FROM {0} r JOIN {1} n ON n.key = r.{3} AND n.pos = r.{4} >> n.level
+    JOIN (SELECT key, max(level) AS height FROM {1} GROUP BY 1) h ON h.key = n.key AND n.level < h.height LEFT JOIN {1} s ON s.key = n.key AND s.level = n.level AND s.pos = xor(n.pos, 1)"""
+
+#: DuckDB statement for op12: both trees by recursion over levels, siblings by position.
+SQL = f"""WITH RECURSIVE raw AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS key, {_LEAF.format(_FIELD.format("n_chars"))} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 AND n_chars IS NOT NULL THEN {_LEAF.format(_FIELD.format("(n_chars + 1)"))} END AS struck FROM documents),
+leaves AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS rid FROM raw),
+{_TREE.format("nodes", "leaves")},
+subs AS (SELECT key AS lang, arg_max(digest, level) AS digest FROM nodes GROUP BY 1),
+subroots AS (SELECT '' AS key, lang, digest, row_number() OVER (ORDER BY lang) - 1 AS pos FROM subs),
+{_TREE.format("tops", "subroots")},
+placed AS (SELECT l.*, t.digest AS subroot, t.pos AS top_pos, '' AS top_key FROM leaves l JOIN subroots t ON t.lang = l.key),
+steps AS ({_STEPS.format("placed", "nodes", 0, "key", "pos")} UNION ALL {_STEPS.format("placed", "tops", 1000, "top_key", "top_pos")}),
+paths AS (SELECT p.*, coalesce(s.steps, []) AS steps FROM placed p LEFT JOIN (SELECT rid, list(step ORDER BY level) AS steps FROM steps GROUP BY 1) s USING (rid)),
+folded AS (SELECT *, list_reduce(list_concat([coalesce(struck, leaf)], steps), lambda a, e: sha256(CASE WHEN e[1] = '0' THEN a || e[2:] ELSE e[2:] || a END)) AS folded_root,
+    (SELECT arg_max(digest, level) FROM tops) AS root FROM paths)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda e: e[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""

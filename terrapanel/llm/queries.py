@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import bpe, decontamination, license_scan, media_audio, merkle_manifest, pair_index_bpe, pii, quality, secret_scan, simhash_golay, sst_output, substring_dedup, token_alignment
 from .common import table
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_merkle_intervals": merkle_manifest.SQL}
 
 
 def queries() -> dict:

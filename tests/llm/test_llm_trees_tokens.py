@@ -115,6 +115,19 @@ def test_merkle_manifest_equals_plain_tree(spark, monkeypatch, width):
         assert known_first(merkle_manifest.op12(df).select(*COLUMNS).collect()) == known_first(plain_tree(part))
 
 
+def test_merkle_sql_equals_plain_tree():
+    import duckdb
+
+    rng = random.Random(4)
+    pick = rng.choice
+    rows = [(pick([None, 1, 2, rng.randrange(1000)]), pick([None, "", "é x"]), pick(["en", "en", None, "ü", "z"]), pick([None, "s"]), pick([None, 3])) for _ in range(90)] + [(7, "a", "solo", "s", 1)]
+    for part in (rows, rows[:1], rows[:3]):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", part)
+        assert known_first(con.execute(merkle_manifest.SQL).fetchall()) == known_first(plain_tree(part))
+
+
 def test_merkle_links_are_nested_intervals(spark):
     base = spark.createDataFrame([("k", 11, i, i + 1, sha(str(i))) for i in range(11)], "key string, n long, lo long, hi long, digest string")
     rows = merkle_manifest.climb(base, 0, 4).collect()

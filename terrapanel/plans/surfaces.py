@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import estimators as E
+from ..operators import panelmatch as M
 from ..operators import panels as P
 from ..operators import spatial as S
 from ..operators import studies as T
 from ..operators import surfaces as U
 from . import roles as R
 from .base import book
-from .estimators import effects, paths, placebo, ready, study_panel, whitened_sides
+from .estimators import effects, pairs, paths, placebo, ready, study_panel, whitened_sides
 from .evaluation import X, probe_rows
 from .panels import rel
 from .sources import scratch
@@ -253,14 +254,12 @@ def _(s, d):
 
 @query("panelmatch_att")
 def _(s, d):
-    t, c, _ = whitened_sides(s, d)
-    best = E.top_k(t, c, "city", 1).select(F.col("target").alias("treated"), F.col("donor").alias("control"))
-    p = R.panel(s, d)
-    u = R.units(s, d).select(F.col("unit").alias("treated"), "opening")
-    j = best.join(u, "treated").join(p.select(F.col("unit").alias("treated"), "period", "y"), "treated").join(p.select(F.col("unit").alias("control"), "period", F.col("y").alias("y0")), ["control", "period"])
-    j = j.select("treated", E.event_time(F.col("period"), F.col("opening")).alias("t"), (F.col("y") - F.col("y0")).alias("g"))
-    base = j.where("t between -12 and -1").groupBy("treated").agg(F.avg("g").alias("b"))
-    return j.where("t between 0 and 11").join(base, "treated").groupBy("t").agg(F.round(F.avg(F.col("g") - F.col("b")), 5).alias("att"), F.count("*").alias("n"))
+    from .counterfactuals import arrays
+
+    u, _ = arrays(s, d)
+    units = u.join(R.units(s, d).select("unit", "city"), "unit").select("unit", "city", "treated", F.col("start").alias("opening"), "y")
+    got = M.lead_effects(M.matched_sets(units, 12, 11), units, 11)
+    return got.select("lead", "sets", *[F.round(c, 5).alias(c) for c in ("att", "se", "low", "high", "p")])
 
 
 @query("preonly_pairs", """SELECT treated, round(avg(y - y0) FILTER (WHERE t BETWEEN -12 AND -1) - avg(y - y0) FILTER (WHERE t BETWEEN -24 AND -13), 5) AS change FROM paths GROUP BY 1""", "units panel pairs paths")
@@ -272,12 +271,26 @@ def _(s, d):
 
 @query("robustness_grid")
 def _(s, d):
-    p = paths(s, d)
-    out = None
-    for anticipation, window in ((0, 1), (6, 1), (6, 3)):
-        got = E.did_monthly(p, [6, 12], window, anticipation, 6).groupBy("event_time").agg(F.round(F.avg("effect"), 4).alias("mean"), F.count("effect").alias("n"))
-        got = got.withColumn("anticipation", F.lit(anticipation)).withColumn("window", F.lit(window))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
+    """Mean matched effect for every specification: anticipation x outcome window x donors' distance from any opening.
+
+    Specifications are rows that the paths are crossed with, and grouping keys from there on."""
+    u = R.metric(R.units(s, d)).select("unit", "x", "y", "treated")
+    near = S.within(u.where("not treated").select("unit", "x", "y"), u.where("treated").select(F.col("x").alias("rx"), F.col("y").alias("ry")), 2000.0)
+    far = near.withColumn("metres", F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))).groupBy(F.col("unit").alias("control")).agg(F.min("metres").alias("metres"))
+    specs = s.createDataFrame([(a, w, r) for a in (0, 6, 12) for w in (1, 3) for r in (0.0, 1000.0, 1500.0, 2000.0)], "anticipation int, window int, radius double")
+    p = paths(s, d).join(pairs(s, d).select("treated", "control"), "treated").join(far, "control", "left")
+    crossed = p.join(F.broadcast(specs), F.coalesce(F.col("metres"), F.lit(1e9)) > F.col("radius"))
+    key, out = ["anticipation", "window", "radius"], []
+    base = F.col("t").between(-F.col("anticipation") - 12, -F.col("anticipation") - 1)
+    aggs = [F.count(F.when(base, F.col("y"))).alias("nb"), F.count(F.when(base, F.col("y0"))).alias("nb0")]
+    for h in (6, 12):
+        inside = F.col("t").between(F.greatest(F.lit(1), h - F.col("window") + 1), h)
+        aggs += [g(F.when(inside, F.col(c))).alias(f"{n}{c}{h}") for c in ("y", "y0") for n, g in (("m", F.avg), ("n", F.count))]
+    # Baselines of both sides may have different months, so each has its own mean.
+    aggs += [F.avg(F.when(base, F.col(c))).alias(f"b{c}") for c in ("y", "y0")]
+    wide = crossed.groupBy(*key, "treated").agg(*aggs)
+    for h in (6, 12):
+        ok = (F.col(f"ny{h}") >= F.least("window", F.lit(h))) & (F.col(f"ny0{h}") >= F.least("window", F.lit(h))) & (F.col("nb") >= 6) & (F.col("nb0") >= 6)
+        out.append(F.struct(F.lit(h).alias("event_time"), F.when(ok, F.col(f"my{h}") - F.col("by") - F.col(f"my0{h}") + F.col("by0")).alias("effect")))
+    long = wide.select(*key, F.explode(F.array(*out)).alias("e")).groupBy(*key, "e.event_time").agg(F.round(F.avg("e.effect"), 4).alias("mean"), F.count("e.effect").alias("n"))
+    return long

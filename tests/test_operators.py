@@ -402,3 +402,46 @@ def test_benjamini_hochberg_step_up(spark):
         p = sorted(v for key, v in rows if key == k and v is not None)
         limit = max([v for i, v in enumerate(p) if v <= 0.05 * (i + 1) / len(p)], default=-1.0)
         assert all(r["significant"] == (r["p"] is not None and r["p"] <= limit) for r in got if r["k"] == k)
+
+
+def test_panel_matches_equal_brute_force(spark):
+    from terrapanel.operators import panelmatch as M
+
+    rng, t, lag, last = np.random.default_rng(3), 20, 6, 3
+    rows = []
+    for u in range(60):
+        opening = int(rng.integers(8, 18))
+        y = [float(u % 4 + 0.1 * k + rng.normal() * 0.3 + (2.0 if u % 3 == 0 and k >= opening else 0.0)) for k in range(t)]
+        for k in rng.integers(0, t, 2):
+            if u % 2:
+                y[k] = None
+        rows.append((u, u % 2, u % 3 == 0, opening, y))
+    units = spark.createDataFrame(rows, "unit long, city long, treated boolean, opening int, y array<double>").repartition(3)
+    sets = M.matched_sets(units, lag, last).collect()
+    # Candidates: one row for each start and unit that may be a treated or a control one there.
+    frames = []
+    for b in sorted({r[3] for r in rows if r[2]}):
+        for u, city, treated, opening, y in rows:
+            role = "t" if treated and opening == b else "c" if not treated or opening > b + last else None
+            sign = "".join("-" if y[k] is None else "1" if treated and k >= opening else "0" for k in range(b - lag, b))
+            parts = [[v for v in y[b - lag + h * 3 : b - lag + h * 3 + 3] if v is not None] for h in (0, 1)]
+            if role and y[b - 1] is not None and all(parts):
+                frames.append((role, b, u, (city, sign), np.array([np.mean(x) for x in parts])))
+    x = np.array([f[4] for f in frames])
+    inverse = np.linalg.inv(np.cov(x.T))
+    want = {}
+    for role, b, u, sign, v in frames:
+        if role == "t":
+            near = sorted(((v - o[4]) @ inverse @ (v - o[4]), o[2]) for o in frames if o[0] == "c" and o[1] == b and o[3] == sign)
+            if near:
+                want[u] = (b, near[0][1])
+    assert {r["treated"]: (r["start"], r["control"]) for r in sets} == want and len(want) > 5
+    got = {r["lead"]: r for r in M.lead_effects(M.matched_sets(units, lag, last), units, last, 100).collect()}
+    for f in range(last + 1):
+        gap = []
+        for u, (b, c) in want.items():
+            a, o = rows[u][4], rows[c][4]
+            if b + f < t and None not in (a[b + f], a[b - 1], o[b + f], o[b - 1]):
+                gap.append(a[b + f] - a[b - 1] - o[b + f] + o[b - 1])
+        assert got[f]["att"] == pytest.approx(np.mean(gap)) and got[f]["sets"] == len(gap)
+        assert abs(got[f]["att"] - 2) < 0.6 and 0.3 < got[f]["se"] / (np.std(gap, ddof=1) / len(gap) ** 0.5) < 3

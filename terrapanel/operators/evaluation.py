@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,3 +97,54 @@ def resampled(df: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
     for cut in cuts:
         w = w + (u > cut).cast("int")
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("weight", w)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
+    """The rows with their places 0, 1, ... in the order: one range exchange, and a count of each of its parts on the driver."""
+    by = [F.col(c) for c in order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    sizes = placed.groupBy(F.shiftright("_at", 33).cast("int").alias("_part")).count().orderBy("_part").collect()
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["_part"], at))
+        at += r["count"]
+    table = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    own = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("_part", F.shiftright("_at", 33).cast("int")).join(table, "_part").withColumn(name, F.col("_start") + own).drop("_part", "_at", "_start")
+
+
+def shuffled_places(places: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A keyed bijection of 0 .. n - 1: a four-round Feistel network over the next even number of bits, walked on until it falls
+    below n."""
+    half = np.uint64(max(1, -(-(max(n, 2) - 1).bit_length() // 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    out = places.astype(np.uint64)
+    todo = np.ones(len(out), bool)
+    while todo.any():
+        left, right = out[todo] >> half, out[todo] & mask
+        for turn in range(4):
+            mixed = right + np.uint64((key * 4 + turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+            left, right = right, left ^ (mixed ^ mixed >> np.uint64(31)) & mask
+        out[todo] = left << half | right
+        todo = out >= n
+    return out.astype(np.int64)
+
+
+def permuted_correlations(df: DataFrame, x: str, y: str, order: list[str], reps: int, seed: int = 0) -> DataFrame:
+    """Rows (rep, r): correlation of x with y (rep 0), and with y under ``reps`` permutations of its rows.
+
+    A permutation is a keyed bijection of row numbers, so that no repetition sorts or gathers the rows; pairs meet by an equi-join.
+    """
+    rows = numbered(df.select(*{*order, x, y}).dropna(), order).select("i", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).checkpoint()
+    n = rows.count()
+
+    def moved(batches):
+        for pdf in batches:
+            for rep in range(1, reps + 1):
+                yield pd.DataFrame({"rep": np.int32(rep), "i": shuffled_places(pdf["i"].to_numpy(), n, seed * 1_000_003 + rep), "y": pdf["y"]})
+
+    left = rows.select("i", "x", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    drawn = left.join(rows.select("i", "y").mapInPandas(moved, "rep int, i long, y double"), ["rep", "i"]).groupBy("rep").agg(F.corr("x", "y").alias("r"))
+    return rows.agg(F.lit(0).alias("rep"), F.corr("x", "y").alias("r")).unionByName(drawn)

@@ -12,7 +12,7 @@ from ..operators import evaluation as V
 from ..operators import panels as P
 from . import roles as R
 from .base import book
-from .estimators import effects
+from .estimators import effects, ready
 from .panels import rel
 
 QUERIES, ORACLE, query = book()
@@ -289,12 +289,8 @@ def _(s, d):
 
 @query("permutation_test")
 def _(s, d):
-    l = R.table(s, d, "labels").select("doc_id", "quality", "toxic")
-    reps = l.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(50))))
-    key = F.when(F.col("rep") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "rep"))
-    a = reps.select("rep", "quality", F.row_number().over(Window.partitionBy("rep").orderBy(key, "doc_id")).alias("i"))
-    b = reps.select("rep", "toxic", F.row_number().over(Window.partitionBy("rep").orderBy("doc_id")).alias("i"))
-    t = a.join(b, ["rep", "i"]).groupBy("rep").agg(F.abs(F.corr(F.col("quality").cast("double"), F.col("toxic").cast("double"))).alias("r"))
+    ready(s)
+    t = V.permuted_correlations(R.table(s, d, "labels"), "quality", "toxic", ["doc_id"], 50).withColumn("r", F.abs("r"))
     seen = F.max(F.when(F.col("rep") == 0, F.col("r")))
     g = t.agg(seen.alias("seen"), F.collect_list(F.when(F.col("rep") > 0, F.col("r"))).alias("null"))
     return g.select(F.round("seen", 6).alias("seen"), F.round((F.size(F.filter("null", lambda x: x >= F.col("seen"))) + 1) / (F.size("null") + 1), 6).alias("p"))

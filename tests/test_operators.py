@@ -445,3 +445,25 @@ def test_panel_matches_equal_brute_force(spark):
                 gap.append(a[b + f] - a[b - 1] - o[b + f] + o[b - 1])
         assert got[f]["att"] == pytest.approx(np.mean(gap)) and got[f]["sets"] == len(gap)
         assert abs(got[f]["att"] - 2) < 0.6 and 0.3 < got[f]["se"] / (np.std(gap, ddof=1) / len(gap) ** 0.5) < 3
+
+
+def test_permutations_are_bijections_and_correlations_agree(spark):
+    for n in (1, 2, 3, 7, 64, 1000):
+        got = [V.shuffled_places(np.arange(n), n, key).tolist() for key in range(4)]
+        assert all(sorted(x) == list(range(n)) for x in got) and (n < 7 or len({tuple(x) for x in got}) == 4)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    y = 0.12 * x + rng.normal(size=300)
+    rows = [(int(k), float(a), float(b)) for k, a, b in zip(rng.permutation(300) * 3, x, y)] + [(5000, None, 1.0), (5001, 1.0, None)]
+    df = spark.createDataFrame(rows, "k long, x double, y double").repartition(5)
+    places = V.numbered(df, ["k"]).select("k", "i").collect()
+    assert [r["i"] for r in sorted(places, key=lambda r: r["k"])] == list(range(302))
+    r = {row["rep"]: row["r"] for row in V.permuted_correlations(df, "x", "y", ["k"], 200).collect()}
+    assert len(r) == 201 and r[0] == pytest.approx(np.corrcoef(x, y)[0, 1])
+    null = np.array([r[k] for k in range(1, 201)])
+    assert abs(null.mean()) < 0.02 and abs(null.std() * 300**0.5 - 1) < 0.15
+    order = np.argsort([row[0] for row in rows[:300]])
+    moved = V.shuffled_places(np.arange(300), 300, 7)
+    back = np.empty(300)
+    back[moved] = y[order]
+    assert r[7] == pytest.approx(np.corrcoef(x[order], back)[0, 1])

@@ -148,3 +148,29 @@ def permuted_correlations(df: DataFrame, x: str, y: str, order: list[str], reps:
     left = rows.select("i", "x", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     drawn = left.join(rows.select("i", "y").mapInPandas(moved, "rep int, i long, y double"), ["rep", "i"]).groupBy("rep").agg(F.corr("x", "y").alias("r"))
     return rows.agg(F.lit(0).alias("rep"), F.corr("x", "y").alias("r")).unionByName(drawn)
+
+
+def pairs_by_common_cells(masks: DataFrame, cells: int) -> list[tuple[int, int]]:
+    """(common cells, unordered pairs of rows) from rows (m, n): bit masks of at most 24 cells and how many rows have each.
+
+    Sums over supersets count the rows that hold a set of cells; their squares, undone the same way, count the pairs whose common
+    cells are that set. No masks are paired; the table of 2 ** cells sums bounds time and memory whatever the number of rows.
+    """
+    if cells > 24:
+        raise ValueError("the table of sums is made for at most 24 cells")
+    found = masks.select(F.col("m").cast("long"), F.col("n").cast("long")).toArrow()
+    table = np.zeros(1 << cells, np.int64)
+    np.add.at(table, found["m"].to_numpy(), found["n"].to_numpy())
+    rows = table.copy()
+    for bit in range(cells):
+        halves = table.reshape(-1, 2, 1 << bit)
+        halves[:, 0] += halves[:, 1]
+    table *= table
+    for bit in range(cells):
+        halves = table.reshape(-1, 2, 1 << bit)
+        halves[:, 0] -= halves[:, 1]
+    # Ordered pairs without each row's pair with itself.
+    table -= rows
+    out, kept = np.zeros(cells + 1, np.int64), np.flatnonzero(table)
+    np.add.at(out, np.bitwise_count(kept.astype(np.uint64)), table[kept] // 2)
+    return [(c, int(v)) for c, v in enumerate(out) if v]

@@ -193,9 +193,7 @@ def _(s, d):
 def _(s, d):
     bits = F.aggregate(F.transform("v", lambda x, i: F.when(x.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
     masks = responses(s, d).select(bits.alias("m")).groupBy("m").agg(F.count("*").alias("n"))
-    j = masks.crossJoin(masks.select(F.col("m").alias("m2"), F.col("n").alias("n2"))).where("m <= m2")
-    pairs = F.when(F.col("m") == F.col("m2"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n2")).cast("long")
-    return j.groupBy(F.bit_count(F.col("m").bitwiseAND(F.col("m2"))).alias("common_cells")).agg(F.sum(pairs).alias("pairs")).where("pairs > 0")
+    return s.createDataFrame(V.pairs_by_common_cells(masks, 24), "common_cells int, pairs long")
 
 
 @query("direction_auc", """WITH r AS (SELECT city, quality, rank() OVER (PARTITION BY city ORDER BY s) + (count(*) OVER (PARTITION BY city, s) - 1) / 2 AS m FROM (SELECT doc_id % 3 AS city, quality, doc_id * 7919 % 101 AS s FROM labels))

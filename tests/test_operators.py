@@ -467,3 +467,14 @@ def test_permutations_are_bijections_and_correlations_agree(spark):
     back = np.empty(300)
     back[moved] = y[order]
     assert r[7] == pytest.approx(np.corrcoef(x[order], back)[0, 1])
+
+
+def test_pairs_by_common_cells_equal_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    masks = [int(m) for m in rng.integers(0, 64, 40)] + [63, 63, 0, 0]
+    want = {}
+    for i in range(len(masks)):
+        for j in range(i):
+            want[(masks[i] & masks[j]).bit_count()] = want.get((masks[i] & masks[j]).bit_count(), 0) + 1
+    df = spark.createDataFrame([(m,) for m in masks], "m long").groupBy("m").agg(F.count("*").alias("n"))
+    assert dict(V.pairs_by_common_cells(df, 6)) == want and V.pairs_by_common_cells(df.limit(0), 6) == []

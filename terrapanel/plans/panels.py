@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import panels as P
+from ..operators import spatial as S
 from . import roles as R
 from .base import book
 from .cleaning import poi
@@ -68,13 +69,21 @@ def _(s, d):
     )
 
 
-@query("grid_month_nearest_mean", """WITH u AS (SELECT c, r FROM range(0, 9) a(c), range(0, 12) b(r)), m AS (SELECT CAST(floor(x / 4000) AS INT) AS c,
-    CAST(floor(y / 4000) AS INT) AS r, avg(value) AS v, count(*) AS n FROM mpoints GROUP BY 1, 2)
-    SELECT u.c AS col, u.r AS row, round(v, 5) AS mean, coalesce(n, 0) AS support FROM u LEFT JOIN m USING (c, r)""", "points mpoints")
+@query("grid_month_nearest_mean", """WITH near AS (SELECT p.city, CAST(date_trunc('month', p.day) AS DATE) AS month, p.value, min(sqrt(power(p.x - u.x, 2) + power(p.y - u.y, 2))) AS metres, arg_min(u.unit, (sqrt(power(p.x - u.x, 2) + power(p.y - u.y, 2)), u.unit)) AS unit
+    FROM mpoints p JOIN munits u ON u.city = p.city AND power(p.x - u.x, 2) + power(p.y - u.y, 2) <= 9000000 GROUP BY p.point_id, p.city, p.day, p.value), universe AS (SELECT city, unit, month FROM units JOIN (SELECT DISTINCT city, CAST(date_trunc('month', day) AS DATE) AS month FROM points) USING (city))
+    SELECT city, unit, month, round(avg(value), 5) AS mean, count(metres) AS support, round(avg(metres), 3) AS metres_mean, round(max(metres), 3) AS metres_max FROM universe LEFT JOIN near USING (city, unit, month) GROUP BY ALL""", "points mpoints units munits")
 def _(s, d):
-    grid = s.range(9).select(F.col("id").alias("col")).crossJoin(s.range(12).select(F.col("id").alias("row")))
-    m = cells(R.points(s, d)).groupBy("col", "row").agg(F.round(F.avg("value"), 5).alias("mean"), F.count("*").alias("n"))
-    return m.join(grid, ["col", "row"], "right").select("col", "row", "mean", F.coalesce("n", F.lit(0)).alias("support"))
+    """Every point goes to the nearest cell centre of its city within 3 km; all cells stay for every month of their city."""
+    p = R.metric(R.points(s, d)).select("point_id", "city", "x", "y", "value", F.trunc("day", "MM").alias("month"))
+    u = R.metric(R.units(s, d)).select("unit", "city", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    best = F.min(F.struct("distance", "unit")).alias("m")
+    near = S.within(p, u, 3000.0, ["city"]).groupBy("point_id", "city", "month", "value").agg(best)
+    g = near.groupBy("city", F.col("m.unit").alias("unit"), "month").agg(
+        F.avg("value").alias("mean"), F.count("*").alias("support"), F.avg("m.distance").alias("metres_mean"), F.max("m.distance").alias("metres_max")
+    )
+    universe = u.select("city", "unit").join(p.select("city", "month").distinct(), "city")
+    out = universe.join(g, ["city", "unit", "month"], "left")
+    return out.select("city", "unit", "month", F.round("mean", 5).alias("mean"), F.coalesce("support", F.lit(0)).alias("support"), *[F.round(c, 3).alias(c) for c in ("metres_mean", "metres_max")])
 
 
 @query("partition_audit", """SELECT city, year(period)::INT AS year, month(period)::INT AS month, count(*) AS n_rows, count(*) FILTER (WHERE n > 1) AS n_multi,

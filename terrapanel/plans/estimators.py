@@ -290,7 +290,8 @@ def _(s, d):
     )
 
 
-@query("hedonic_price")
+@query("hedonic_price", """WITH p AS (SELECT obs_id, city, community, ln(price) AS raw, ln(area) AS la, year(day)::DOUBLE AS yr FROM prices), f AS (SELECT *, raw - avg(raw) OVER w AS y, la - avg(la) OVER w AS a, yr - avg(yr) OVER w AS b FROM p WINDOW w AS (PARTITION BY city, community)),
+    m AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS byy FROM f) SELECT obs_id, round(raw - a * (ay * bb - byy * ab) / (aa * bb - ab * ab) - b * (byy * aa - ay * ab) / (aa * bb - ab * ab), 6) AS adjusted FROM f, m""", "prices")
 def _(s, d):
     p = R.prices(s, d).select("obs_id", "city", "community", F.log("price").alias("y"), F.log("area").alias("la"), F.year("day").cast("double").alias("yr"))
     w = Window.partitionBy("city", "community")

@@ -74,7 +74,8 @@ def _(s, d):
     return U.grow(high, seeds, ["city"], 3).groupBy("city").agg((F.count("*") * 16.0).alias("km2"))
 
 
-@query("centre_validation")
+@query("centre_validation", """WITH top AS (SELECT city, row AS r0, col AS c0 FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY z DESC, row, col) AS r FROM surf) WHERE r = 1), v AS (SELECT ln(1 + sqrt((row - r0) * (row - r0) + (col - c0) * (col - c0))) AS dist, ln(1 + z) AS lz FROM surf JOIN top USING (city))
+    SELECT round(regr_slope(lz, dist), 6) AS slope, round(regr_r2(lz, dist), 6) AS r2 FROM v""", "points mpoints surf")
 def _(s, d):
     w = surface(s, d)
     top = P.first_rows(w, ["city"], [F.col("z").desc(), F.col("row"), F.col("col")]).select("city", F.col("row").alias("r0"), F.col("col").alias("c0"))
@@ -269,7 +270,13 @@ def _(s, d):
     return paths(s, d).groupBy("treated").agg(F.round(block(-12, -1) - block(-24, -13), 5).alias("change"))
 
 
-@query("robustness_grid")
+@query("robustness_grid", """WITH near AS (SELECT c.unit AS control, min(sqrt(power(c.x - t.x, 2) + power(c.y - t.y, 2))) AS metres FROM munits c JOIN munits t ON t.treated AND NOT c.treated WHERE power(c.x - t.x, 2) + power(c.y - t.y, 2) <= 4000000 GROUP BY 1),
+    specs AS (SELECT * FROM (SELECT unnest([0, 6, 12]) AS anticipation) JOIN (SELECT unnest([1, 3]) AS "window") ON true JOIN (SELECT unnest([0.0::DOUBLE, 1000, 1500, 2000]) AS radius) ON true JOIN (SELECT unnest([6, 12]) AS h) ON true),
+    c AS (SELECT p.treated, p.t, p.y, p.y0, s.* FROM paths p JOIN pairs q ON q.treated = p.treated LEFT JOIN near n ON n.control = q.control JOIN specs s ON coalesce(n.metres, 1e9) > s.radius),
+    g AS (SELECT treated, anticipation, "window", radius, h, avg(y) FILTER (WHERE base) AS b, avg(y0) FILTER (WHERE base) AS b0, count(y) FILTER (WHERE base) AS nb, count(y0) FILTER (WHERE base) AS nb0,
+        avg(y) FILTER (WHERE post) AS m, avg(y0) FILTER (WHERE post) AS m0, count(y) FILTER (WHERE post) AS np, count(y0) FILTER (WHERE post) AS np0
+        FROM (SELECT *, t BETWEEN -anticipation - 12 AND -anticipation - 1 AS base, t BETWEEN greatest(1, h - "window" + 1) AND h AS post FROM c) GROUP BY 1, 2, 3, 4, 5)
+    SELECT anticipation, "window", radius, h AS event_time, round(avg(m - b - m0 + b0) FILTER (WHERE ok), 4) AS mean, count(m - b - m0 + b0) FILTER (WHERE ok) AS n FROM (SELECT *, np >= least("window", h) AND np0 >= least("window", h) AND nb >= 6 AND nb0 >= 6 AS ok FROM g) GROUP BY 1, 2, 3, 4""", "units munits panel pairs paths")
 def _(s, d):
     """Mean matched effect for every specification: anticipation x outcome window x donors' distance from any opening.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of statistics that the driver holds for one set of fits.
-MOST_BYTES = 32 << 20
+MOST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -260,7 +260,7 @@ def statistics(source: DataFrame, t: int, width: int, most_bytes: int = MOST_BYT
             yield pd.DataFrame({"key": np.int32(key), "seen": seen, "j": np.arange(width, dtype=np.int32), "v": list(v)})
 
     got = rows.mapInPandas(sums, "key int, seen string, j int, v array<double>").select("key", "seen", "j", F.posexplode("v").alias("pos", "v"))
-    got = got.groupBy("key", "seen", "j", "pos").agg(F.sum("v").alias("v")).toPandas()
+    got = got.groupBy("key", "seen", "j", "pos").agg(F.sum("v").alias("v")).toArrow().to_pandas()
     out: dict[tuple[int, int], list] = {}
     for (key, seen, j), part in got.groupby(["key", "seen", "j"]):
         v = np.zeros(1 + t + len(upper[0]))
@@ -287,7 +287,7 @@ def _row_moments(rest: DataFrame, t: int, wanted: dict[int, Fit], of: dict) -> d
         for name, v in total.items():
             yield pd.DataFrame({"name": [name], "v": [v]})
 
-    got = rest.mapInPandas(sums, "name int, v array<double>").select("name", F.posexplode("v").alias("pos", "v")).groupBy("name", "pos").agg(F.sum("v").alias("v")).toPandas()
+    got = rest.mapInPandas(sums, "name int, v array<double>").select("name", F.posexplode("v").alias("pos", "v")).groupBy("name", "pos").agg(F.sum("v").alias("v")).toArrow().to_pandas()
     out = {}
     for name in wanted:
         part, v, gram = got[got["name"] == name], np.zeros(1 + t + len(upper[0])), np.zeros((t, t))

@@ -22,7 +22,7 @@ def _summed(df: DataFrame, run, size: int) -> dict[str, np.ndarray]:
     """Sums of the vectors (stratum, v) that run gives for each task, by stratum: strata x size numbers to the driver."""
     got = df.mapInPandas(run, f"{_BY} string, v array<double>").select(_BY, F.posexplode("v").alias("pos", "v"))
     out: dict[str, np.ndarray] = {}
-    for r in got.groupBy(_BY, "pos").agg(F.sum("v").alias("v")).toPandas().groupby(_BY):
+    for r in got.groupBy(_BY, "pos").agg(F.sum("v").alias("v")).toArrow().to_pandas().groupby(_BY):
         v = np.zeros(size)
         v[r[1]["pos"]] = r[1]["v"]
         out[r[0]] = v

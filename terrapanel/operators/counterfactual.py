@@ -85,7 +85,7 @@ def held_out_scores(folded: DataFrame, t: int, plan: dict[int, tuple[int, float
     """
     folded = folded.checkpoint()
     data = panel(folded, t)
-    keys = sorted({at[0] for at in data.known})
+    keys = sorted(data.known)
     got = data.fit({n * len(keys) + i: ((key, 0), *p) for n, p in plan.items() for i, key in enumerate(keys)}, rounds, tol, fast=False)
     fits = {n: {key: got[n * len(keys) + i] for i, key in enumerate(keys)} for n in plan}
 

@@ -1,9 +1,10 @@
-"""Two-way low-rank fits of panels with gaps, from sufficient statistics of each pattern of gaps.
+"""Two-way low-rank fits of panels with gaps, from few rows that stand for all paths.
 
 A pass fills the gaps of every path from the fit before and fits levels, time effects and directions anew. For a fixed pattern of
-gaps every fit is an affine map of the observed cells, so count, sum and Gram matrix of the paths of each pattern give the next fit
-exactly, and the change that it makes. One job gathers them; passes then work on t x t matrices. Patterns beyond a bound of memory
-stay as rows, whose maps are replayed from the passes so far: each pass then adds their sums by one job for all fits at once.
+gaps every fit is an affine map of the observed cells, so a frequent pattern needs no more than the Gram matrix of its paths (with a
+constant): its factor has at most t + 1 rows, and passes work on these and on the paths of rare patterns alike. One job gathers them;
+a pass then costs rows x t x (t + directions). Rows beyond a bound of memory are replayed from the passes so far: each pass then adds
+their sums by one job for all fits at once.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of statistics that the driver holds for one set of fits.
-MOST_BYTES = 64 << 20
+#: Bytes of statistics that the driver holds for one set of fits, and bytes of rows of patterns beyond them.
+MOST_BYTES, MOST_ROW_BYTES = 64 << 20, 128 << 20
+#: Rows whose passes are replayed together, so that they stay in the cache.
+REPLAYED = 1024
 
 
 @dataclass(frozen=True)
@@ -46,12 +49,38 @@ class Fit:
 
 @dataclass
 class Statistics:
-    """Patterns of observed cells (m x t), with weight, sum (m x t) and Gram matrix (m x t x t) of their paths; cells not observed are 0."""
+    """Rows (constant, cells) whose products sum to those of all paths, and what is seen of them; cells not observed are 0."""
 
     seen: np.ndarray
-    n: np.ndarray
-    sums: np.ndarray
-    grams: np.ndarray
+    constant: np.ndarray
+    cells: np.ndarray
+
+
+@dataclass
+class Paths:
+    """What is known of a key's paths: rows with weights, and matrices of each pattern and weight over (constant, cells)."""
+
+    seen: np.ndarray
+    cells: np.ndarray
+    weights: np.ndarray
+    patterns: np.ndarray
+    #: (patterns, weights, upper triangle) of order t + 1.
+    products: np.ndarray
+
+    def place(self, j: int, t: int) -> Statistics:
+        """Rows of weight j over the first t periods."""
+        w, size = self.weights[:, j], self.seen.shape[1] + 1
+        root, upper = np.sqrt(w[w > 0]), np.triu_indices(size)
+        parts = [(self.seen[w > 0], root, self.cells[w > 0] * root[:, None])]
+        for pattern, product in zip(self.patterns, self.products[:, j], strict=True):
+            full = np.zeros((size, size))
+            full[upper] = product
+            values, vectors = np.linalg.eigh(full + np.triu(full, 1).T)
+            kept = values > max(values[-1], 0) * 1e-15
+            rows = (vectors[:, kept] * np.sqrt(values[kept])).T
+            parts.append((np.tile(pattern, (len(rows), 1)), rows[:, 0], rows[:, 1:] * pattern))
+        seen, constant, cells = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return Statistics(seen[:, :t], constant, cells[:, :t])
 
 
 def matrix(column: Iterable, t: int) -> np.ndarray:
@@ -74,75 +103,52 @@ def fitted(ys: np.ndarray, fit: Fit) -> np.ndarray:
     return fit.effect + np.einsum("na,nab->nb", g, loads[which.reshape(-1)], optimize=True) @ x.T
 
 
-class Maps:
-    """Fit of each pattern as an affine map of its observed cells: cells @ full + shift."""
-
-    def __init__(self, seen: np.ndarray, first: np.ndarray):
-        """Those of the additive fit: time effect and the mean of what is seen beside it."""
-        self.seen = seen
-        o = seen.astype(float)
-        mean = o / np.maximum(o.sum(1, keepdims=True), 1)
-        self.full = np.repeat(mean[:, :, None], seen.shape[1], 2)
-        self.shift = first - (mean @ first)[:, None]
+def _start(s: Statistics, first: np.ndarray) -> np.ndarray:
+    """The additive fit of each row: time effect and the mean of what is seen beside it."""
+    left = np.where(s.seen, s.cells - s.constant[:, None] * first, 0.0).sum(1) / np.maximum(s.seen.sum(1), 1)
+    return s.constant[:, None] * first + left[:, None]
 
-    def completed(self) -> tuple[np.ndarray, np.ndarray]:
-        """The map to completed paths: seen cells stay, gaps are taken from the fit."""
-        gaps = ~self.seen
-        full = self.full * gaps[:, None, :]
-        at = np.arange(self.seen.shape[1])
-        full[:, at, at] += self.seen
-        return full, self.shift * gaps
 
-    def advance(self, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
-        """Fit the completed paths anew; returns the maps of the directions' part."""
-        full, shift = self.completed()
-        p = fit.projection
-        low, low_shift = full @ p, shift @ p - fit.effect @ p
-        self.full, self.shift = low + full.mean(2, keepdims=True), low_shift + shift.mean(1, keepdims=True) + fit.effect
-        return low, low_shift
+def _refitted(s: Statistics, full: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Rows fitted anew after their gaps are taken from ``full``, and their loadings."""
+    done = np.where(s.seen, s.cells, full)
+    level, effect = done.mean(1, keepdims=True), s.constant[:, None] * fit.effect
+    loads = ((done - effect) @ fit.basis) * fit.weights
+    return level + effect + loads @ fit.basis.T, loads
 
 
 def complete(ys: np.ndarray, fit: Fit) -> np.ndarray:
     """Rows with their gaps as the passes of the fit left them."""
-    seen = np.isfinite(ys)
-    patterns, which = np.unique(seen, axis=0, return_inverse=True)
-    which, out = which.reshape(-1), np.array(ys)
-    maps = _replayed(patterns, fit)
-    for k in np.flatnonzero(~patterns.all(1)):
-        rows = which == k
-        out[rows] = np.where(seen[rows], ys[rows], np.nan_to_num(ys[rows]) @ maps.full[k] + maps.shift[k])
+    out = np.array(ys)
+    gaps = np.flatnonzero(~np.isfinite(ys).all(1))
+    for at in range(0, len(gaps), REPLAYED):
+        rows = gaps[at : at + REPLAYED]
+        seen = np.isfinite(ys[rows])
+        s = Statistics(seen, np.ones(len(rows)), np.where(seen, ys[rows], 0.0))
+        full = _start(s, fit.first)
+        for step in (*fit.history, fit):
+            full = _refitted(s, full, step)[0]
+        out[rows] = np.where(seen, ys[rows], full)
     return out
 
 
-def _replayed(patterns: np.ndarray, fit: Fit) -> Maps:
-    maps = Maps(patterns, fit.first)
-    for step in (*fit.history, fit):
-        maps.advance(step)
-    return maps
+def _moments(s: Statistics, full: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weight, sum and Gram matrix of completed paths."""
+    done = np.where(s.seen, s.cells, full)
+    return float(s.constant @ s.constant), s.constant @ done, done.T @ done
 
 
-def _moments(s: Statistics, maps: Maps) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weight, sum and Gram matrix of completed paths over all patterns."""
-    full, shift = maps.completed()
-    sums = np.einsum("mt,mtu->mu", s.sums, full, optimize=True)
-    t = full.shape[2]
-    gram = full.reshape(-1, t).T @ (s.grams @ full).reshape(-1, t)
-    cross = sums.T @ shift
-    return float(s.n.sum()), sums.sum(0) + s.n @ shift, gram + cross + cross.T + (shift * s.n[:, None]).T @ shift
-
-
-def _size(s: Statistics, full: np.ndarray, shift: np.ndarray) -> float:
-    """Sum of squares of cells @ full + shift over all paths."""
-    square = np.einsum("mtu,mtu->", s.grams @ full, full, optimize=True) + 2 * np.einsum("mt,mtu,mu->", s.sums, full, shift, optimize=True)
-    return max(float(square + s.n @ (shift**2).sum(1)), 0.0)
+def _size(v: np.ndarray) -> float:
+    """Sum of squares over all paths."""
+    return float(np.vdot(v, v))
 
 
 def _additive(s: Statistics) -> np.ndarray:
     """Time effects of the two-way additive fit: unit means leave the normal equations of the periods, which are solved at once."""
     o, t = s.seen.astype(float), s.seen.shape[1]
-    share = o / np.maximum(o.sum(1, keepdims=True), 1)
-    left = np.diag(s.n @ o) - (o * s.n[:, None]).T @ share
-    right = s.sums.sum(0) - s.sums.sum(1) @ share
+    share, n = o / np.maximum(o.sum(1, keepdims=True), 1), s.constant**2
+    left = np.diag(n @ o) - (o * n[:, None]).T @ share
+    right = s.constant @ s.cells - (s.constant * s.cells.sum(1)) @ share
     effect = np.linalg.lstsq(left, right, rcond=1e-12)[0] if t else np.zeros(0)
     return effect - effect.mean()
 
@@ -150,21 +156,21 @@ def _additive(s: Statistics) -> np.ndarray:
 class _Run:
     """One fit on its way: a pass takes the moments of all completed paths.
 
-    Where ``fast``, every second pass is followed by a squared extrapolation of the maps, which is taken back where the observed
+    Where ``fast``, every second pass is followed by a squared extrapolation of the rows' fits, which is taken back where the observed
     cells are then fitted worse; such a fit keeps no history.
     """
 
     def __init__(self, s: Statistics, rank: int, soft: float | None, tol: float, fast: bool):
         self.s, self.rank, self.soft, self.tol, self.fast = s, rank, soft, tol, fast
         first = _additive(s)
-        self.maps = Maps(s.seen, first)
+        self.full = _start(s, first)
         t = s.seen.shape[1]
         self.fit = Fit(first, np.zeros((t, 0)), np.zeros(0), first)
         self.low: tuple[np.ndarray, np.ndarray] | None = None
         self.passes, self.held, self.back = 0, [], None
 
     def moments(self) -> tuple[float, np.ndarray, np.ndarray]:
-        return _moments(self.s, self.maps)
+        return _moments(self.s, self.full)
 
     def advance(self, n: float, total: np.ndarray, gram: np.ndarray) -> bool:
         """One pass; whether it is known to change the fit (and its directions' part) by no more than the tolerance."""
@@ -179,96 +185,106 @@ class _Run:
         weights = np.ones(int(keep.sum())) if self.soft is None else 1 - self.soft / size[keep]
         past = (*self.fit.history, self.fit) if self.passes and not self.fast else ()
         self.fit = Fit(effect, v[:, keep], weights, self.fit.first, past)
-        full, shift, low = self.maps.full, self.maps.shift, self.low
-        self.low = self.maps.advance(self.fit)
+        full, low = self.full, self.low
+        self.full, loads = _refitted(self.s, full, self.fit)
+        self.low = loads, self.fit.basis
         self.passes += 1
         if self.fast and self.passes % 3 == 1:
             self._take_back()
         checked = self.passes % 3 == 2 if self.fast else self.passes % 4 == 0 or not self.rank and self.soft is None
-        settled = checked and self._change(full, shift, low) <= self.tol
+        settled = checked and self._change(full, low) <= self.tol
         if self.fast and not settled:
-            self.held.append((self.maps.full, self.maps.shift))
+            self.held.append(self.full)
             if self.passes % 3 == 0:
                 self._extrapolate()
         return settled
 
-    def _change(self, full: np.ndarray, shift: np.ndarray, low: tuple | None) -> float:
-        change = (_size(self.s, self.maps.full - full, self.maps.shift - shift) / max(_size(self.s, full, shift), 1e-300)) ** 0.5
+    def _change(self, full: np.ndarray, low: tuple | None) -> float:
+        change = (_size(self.full - full) / max(_size(full), 1e-300)) ** 0.5
         if self.soft is None and self.rank:
-            before = _size(self.s, *low) if low else 0.0
+            before = _size(low[0]) if low else 0.0
             if not low:
                 return np.inf
             if before > 1e-20:
-                change = max(change, (_size(self.s, self.low[0] - low[0], self.low[1] - low[1]) / before) ** 0.5)
+                change = max(change, (_size(self.low[0] @ self.low[1].T - low[0] @ low[1].T) / before) ** 0.5)
         return change
 
     def _misfit(self) -> float:
-        seen, at = self.s.seen, np.arange(self.s.seen.shape[1])
-        full = -self.maps.full * seen[:, None, :]
-        full[:, at, at] += seen
-        misfit = _size(self.s, full, -self.maps.shift * seen)
+        misfit = _size(np.where(self.s.seen, self.s.cells - self.full, 0.0))
         if self.soft is not None and self.fit.basis.shape[1]:
-            kept = self.low[0] @ self.fit.basis, self.low[1] @ self.fit.basis
-            q = kept[0].shape[2]
-            cross = np.einsum("mt,mtq->mq", self.s.sums, kept[0], optimize=True).T @ kept[1]
-            gram = kept[0].reshape(-1, q).T @ (self.s.grams @ kept[0]).reshape(-1, q) + cross + cross.T + (kept[1] * self.s.n[:, None]).T @ kept[1]
-            misfit += 2 * self.soft * float(np.sqrt(np.maximum(np.linalg.eigvalsh(gram), 0)).sum())
+            loads = self.low[0]
+            misfit += 2 * self.soft * float(np.sqrt(np.maximum(np.linalg.eigvalsh(loads.T @ loads), 0)).sum())
         return misfit
 
     def _extrapolate(self) -> None:
-        (f0, s0), (f1, s1), (f2, s2) = self.held
-        step, turn = (f1 - f0, s1 - s0), (f2 - 2 * f1 + f0, s2 - 2 * s1 + s0)
-        by = (_size(self.s, *step) / max(_size(self.s, *turn), 1e-300)) ** 0.5
+        f0, f1, f2 = self.held
+        step, turn = f1 - f0, f2 - 2 * f1 + f0
+        by = (_size(step) / max(_size(turn), 1e-300)) ** 0.5
         self.held, self.back = [], None
         if by > 1:
-            self.back = (f2, s2, self._misfit(), self.fit, self.low)
-            self.maps.full, self.maps.shift = f0 + 2 * by * step[0] + by * by * turn[0], s0 + 2 * by * step[1] + by * by * turn[1]
+            self.back = (f2, self._misfit(), self.fit, self.low)
+            self.full = f0 + 2 * by * step + by * by * turn
 
     def _take_back(self) -> None:
-        if self.back and not self._misfit() <= self.back[2]:
-            self.maps.full, self.maps.shift, _, self.fit, self.low = self.back
+        if self.back and not self._misfit() <= self.back[1]:
+            self.full, _, self.fit, self.low = self.back
         self.back = None
 
 
-def statistics(source: DataFrame, t: int, width: int, most_bytes: int = MOST_BYTES) -> tuple[dict[tuple[int, int], Statistics], DataFrame | None]:
-    """Statistics by (key, place) and the rows that they leave out, or None.
+def _held(rows: DataFrame, t: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Key -> (paths, weights) of rows (key, y, w), which the caller has counted."""
+    got = rows.select("key", F.transform("y", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("y"), "w").toArrow()
+    flat = lambda name: got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    keys, y = got["key"].to_numpy(), flat("y").reshape(-1, t)
+    w = flat("w").reshape(len(keys), -1)
+    return {int(key): (y[keys == key], w[keys == key]) for key in np.unique(keys)}
+
+
+def statistics(source: DataFrame, t: int, width: int, most_bytes: int = MOST_BYTES) -> tuple[dict[int, Paths], DataFrame | None]:
+    """What is known of each key's paths and the rows that it leaves out, or None.
 
     source: (key int, y array<double> of length t, w array<double> of ``width`` weights), written or checkpointed. Each row counts
-    with weight w[j] for (key, j). The most frequent patterns are summed as long as the bound of bytes allows.
+    with weight w[j] for (key, j). The most frequent patterns are kept as long as the bound of bytes allows: as matrices where these
+    are smaller than the pattern's rows, and else as rows.
     """
     rows = source.select("key", "y", "w", F.concat_ws("", F.transform("y", lambda v: F.when(v.isNull() | F.isnan(v), "0").otherwise("1"))).alias("seen"))
     rows = rows.where(F.contains("seen", F.lit("1")))
     most = max(1, most_bytes // (8 * width * (1 + t + t * t)))
     found = rows.groupBy("key", "seen").count().orderBy(F.desc("count"), "key", "seen").limit(most + 1).collect()
-    chosen = {(r["key"], r["seen"]) for r in found[:most]}
-    rest = None
-    if len(found) > most:
-        names = source.sparkSession.createDataFrame(sorted(chosen), "key int, seen string")
-        rest = rows.join(F.broadcast(names), ["key", "seen"], "left_anti").select("key", "y", "w").checkpoint()
-        rows = rows.join(F.broadcast(names), ["key", "seen"], "left_semi")
-    upper = np.triu_indices(t)
+    frequent = lambda r: r["count"] * (t + width) > width * (1 + t + t * t)
+    chosen = [(r["key"], r["seen"], frequent(r)) for r in found[:most]]
+    names = F.broadcast(source.sparkSession.createDataFrame(chosen, "key int, seen string, frequent boolean"))
+    rest = rows.join(names, ["key", "seen"], "left_anti").select("key", "y", "w").checkpoint() if len(found) > most else None
+    rows = rows.join(names, ["key", "seen"])
+    upper = np.triu_indices(t + 1)
 
     def sums(batches):
         total: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for (key, seen), part in pdf.groupby(["key", "seen"]):
-                y = np.nan_to_num(matrix(part["y"], t))
+                y = np.column_stack([np.ones(len(part)), np.nan_to_num(matrix(part["y"], t))])
                 w = np.array(part["w"].tolist(), float)
-                grams = [np.concatenate([[x.sum()], x @ y, ((y * x[:, None]).T @ y)[upper]]) for x in w.T]
-                total[key, seen] = total.get((key, seen), 0.0) + np.array(grams)
+                total[key, seen] = total.get((key, seen), 0.0) + np.array([((y * x[:, None]).T @ y)[upper] for x in w.T])
         for (key, seen), v in total.items():
-            yield pd.DataFrame({"key": np.int32(key), "seen": seen, "j": np.arange(width, dtype=np.int32), "v": list(v)})
-
-    got = rows.mapInPandas(sums, "key int, seen string, j int, v array<double>").select("key", "seen", "j", F.posexplode("v").alias("pos", "v"))
-    got = got.groupBy("key", "seen", "j", "pos").agg(F.sum("v").alias("v")).toArrow().to_pandas()
-    out: dict[tuple[int, int], list] = {}
-    for (key, seen, j), part in got.groupby(["key", "seen", "j"]):
-        v = np.zeros(1 + t + len(upper[0]))
-        v[part["pos"]] = part["v"]
-        gram = np.zeros((t, t))
-        gram[upper] = v[t + 1 :]
-        out.setdefault((key, j), []).append((np.array(list(seen)) == "1", v[0], v[1 : t + 1], gram + np.triu(gram, 1).T))
-    return {k: Statistics(*(np.array(x) for x in zip(*rows, strict=True))) for k, rows in out.items()}, rest
+            yield pd.DataFrame({"key": np.int32(key), "seen": [seen], "v": [v.tobytes()]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = sum(np.frombuffer(x) for x in pdf["v"])
+        return pdf.head(1).assign(v=[v.tobytes()])
+
+    # A pattern's paths meet in few tasks, so that few matrices are handed on.
+    dealt = rows.where("frequent").select("key", "seen", "y", "w").repartition("key", "seen", F.pmod(F.xxhash64("y"), F.lit(8)))
+    kind = "key int, seen string, v binary"
+    got = dealt.mapInPandas(sums, kind).groupBy("key", "seen").applyInPandas(added, kind).collect() if any(c[2] for c in chosen) else []
+    held = _held(rows.where("not frequent"), t) if not all(c[2] for c in chosen) else {}
+    known = {}
+    for key in {c[0] for c in chosen}:
+        y, w = held.get(key, (np.zeros((0, t)), np.zeros((0, width))))
+        mine = [r for r in got if r["key"] == key]
+        patterns = np.array([list(r["seen"]) for r in mine]).reshape(-1, t) == "1"
+        products = np.array([np.frombuffer(r["v"]) for r in mine]).reshape(-1, width, len(upper[0]))
+        known[key] = Paths(np.isfinite(y), np.nan_to_num(y), w, patterns, products)
+    return known, rest
 
 
 def _row_moments(rest: DataFrame, t: int, wanted: dict[int, Fit], of: dict) -> dict:
@@ -299,33 +315,36 @@ def _row_moments(rest: DataFrame, t: int, wanted: dict[int, Fit], of: dict) -> d
 
 @dataclass
 class Panel:
-    """Donor paths for fits of one or more keys: statistics by (key, place of weight), and rows beyond the bound."""
+    """Donor paths for fits of one or more keys: what is known of each key, and rows beyond the bound."""
 
     t: int
-    known: dict[tuple[int, int], Statistics]
+    known: dict[int, Paths]
     rest: DataFrame | None = None
     #: Periods of a key where it has fewer than t: the first ones.
     lengths: dict[int, int] = field(default_factory=dict)
     session: SparkSession | None = None
+    #: Whether the rows beyond the bound are held too, so that no pass reads them.
+    held: bool = False
 
     def fit(self, plan: dict[int, tuple[tuple[int, int], int, float | None]], rounds: int = 5000, tol: float = 1e-5, fast: bool = True) -> dict[int, Fit]:
         """Settled fits of ``plan``: name -> ((key, place), rank, threshold or None). An error is raised where one doesn't settle.
 
-        Without further rows the fits are dealt out to executors, which get the statistics by a broadcast of at most their bound.
-        Rows beyond the statistics count in every pass; the additive start and the change of a pass are taken from the statistics.
+        Where all rows are held the fits are dealt out to executors, which get them by a broadcast of at most their bounds.
+        Others count in every pass; the additive start and the change of a pass are taken from the statistics.
         ``fast`` extrapolates (see ``_Run``), which early stopping under a loose tolerance must not.
         """
-        if self.rest is not None and self.lengths:
-            raise ValueError("shortened panels must fit the bound of the statistics")
-        new = lambda at, rank, soft: _Run(self._statistics(at), rank, soft, tol, fast and self.rest is None)
-        if self.rest is None and self.session is not None and len(plan) > 1:
+        apart = None if self.held else self.rest
+        if apart is not None and self.lengths:
+            raise ValueError("shortened panels must fit the bounds of the statistics")
+        new = lambda at, rank, soft: _Run(self._statistics(at), rank, soft, tol, fast and apart is None)
+        if apart is None and self.session is not None and len(plan) > 1:
             return self._dealt_out(plan, rounds, tol, fast)
         runs, done = {name: new(*p) for name, p in plan.items()}, {}
         for _ in range(rounds):
             active = {name: run for name, run in runs.items() if name not in done}
             if not active:
                 return done
-            more = _row_moments(self.rest, self.t, {name: run.fit for name, run in active.items()}, {name: p[0] for name, p in plan.items()}) if self.rest is not None else {}
+            more = _row_moments(apart, self.t, {name: run.fit for name, run in active.items()}, {name: p[0] for name, p in plan.items()}) if apart is not None else {}
             for name, run in active.items():
                 got = run.moments()
                 if name in more:
@@ -337,38 +356,39 @@ class Panel:
         raise RuntimeError(f"low-rank fits aren't settled after {rounds} passes")
 
     def _dealt_out(self, plan, rounds, tol, fast) -> dict[int, Fit]:
-        data = self.session.sparkContext.broadcast((self.t, self.known, self.lengths))
+        data, order = self.session.sparkContext.broadcast((self.t, self.known, self.lengths)), list(plan)
 
         def run(batches):
             for pdf in batches:
                 t, known, lengths = data.value
                 own = Panel(t, known, None, lengths)
-                for name in pdf["name"]:
+                for name in (order[k] for k in pdf["id"]):
                     yield pd.DataFrame({"name": [name], "fit": [pickle.dumps(own.fit({name: plan[name]}, rounds, tol, fast)[name])]})
 
-        names = self.session.createDataFrame([(n,) for n in plan], "name int").repartition(len(plan), "name")
-        rows = names.mapInPandas(run, "name int, fit binary").collect()
+        rows = self.session.range(0, len(plan), 1, len(plan)).mapInPandas(run, "name int, fit binary").collect()
         return {r["name"]: pickle.loads(bytes(r["fit"])) for r in rows}
 
     def spread(self, at: tuple[int, int] = (0, 0)) -> np.ndarray:
         """Gram matrix of what the additive fit leaves of the completed paths."""
         s = self._statistics(at)
-        n, total, gram = _moments(s, Maps(s.seen, _additive(s)))
+        n, total, gram = _moments(s, _start(s, _additive(s)))
         gram = gram - np.outer(total, total) / max(n, 1e-300)
         gram = gram - gram.mean(0)
         return gram - gram.mean(1, keepdims=True)
 
     def _statistics(self, at: tuple[int, int]) -> Statistics:
-        s, t = self.known.get(at), self.lengths.get(at[0], self.t)
-        if s is None:
-            return Statistics(np.zeros((1, t), bool), np.zeros(1), np.zeros((1, t)), np.zeros((1, t, t)))
-        return s if t == self.t else Statistics(s.seen[:, :t], s.n, s.sums[:, :t], s.grams[:, :t, :t])
+        known, t = self.known.get(at[0]), self.lengths.get(at[0], self.t)
+        return known.place(at[1], t) if known else Statistics(np.zeros((0, t), bool), np.zeros(0), np.zeros((0, t)))
 
 
-def panel(source: DataFrame, t: int, width: int = 1, most_bytes: int = MOST_BYTES, lengths: dict[int, int] | None = None) -> Panel:
-    """Gather a panel; see ``statistics`` for the columns of source."""
+def panel(source: DataFrame, t: int, width: int = 1, most_bytes: int = MOST_BYTES, lengths: dict[int, int] | None = None, most_row_bytes: int = MOST_ROW_BYTES) -> Panel:
+    """Gather a panel; see ``statistics`` for the columns of source. Rows that it leaves out are held too where they fit a bound."""
     known, rest = statistics(source, t, width, most_bytes)
-    return Panel(t, known, rest, lengths or {}, source.sparkSession)
+    held = rest is not None and rest.count() * 8 * (t + width) <= most_row_bytes
+    for key, (y, w) in (_held(rest, t) if held else {}).items():
+        of = known.get(key, Paths(np.zeros((0, t), bool), np.zeros((0, t)), np.zeros((0, width)), np.zeros((0, t), bool), np.zeros((0, width, (t + 1) * (t + 2) // 2))))
+        known[key] = Paths(*(np.concatenate(x) for x in ((of.seen, np.isfinite(y)), (of.cells, np.nan_to_num(y)), (of.weights, w))), of.patterns, of.products)
+    return Panel(t, known, rest, lengths or {}, source.sparkSession, held)
 
 
 def single(donors: DataFrame, t: int, most_bytes: int = MOST_BYTES) -> Panel:

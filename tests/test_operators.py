@@ -183,6 +183,30 @@ def test_low_rank_fits_equal_plain_em(spark, rank, soft):
         L.single(as_donors(spark, y), y.shape[1]).fit({0: ((0, 0), 2, None)}, rounds=3, tol=1e-12)
 
 
+def test_rows_of_rare_patterns_take_no_jobs_of_their_own(spark, monkeypatch):
+    y = gappy(seed=4)
+    full, effect = plain_em(y, 1, None, 1e-10)
+    source = as_donors(spark, y).selectExpr("0 AS key", "y", "array(1D) AS w").checkpoint()
+    plan = {0: ((0, 0), 1, None), 1: ((0, 0), 0, None)}
+    asked = L.panel(source, y.shape[1], most_bytes=1, most_row_bytes=0).fit(plan, tol=1e-4, fast=False)
+    monkeypatch.setattr(L, "_row_moments", lambda *_: pytest.fail("a job of a pass"))
+    got = L.panel(source, y.shape[1], most_bytes=1).fit(plan, tol=1e-10, fast=False)
+    assert np.allclose(L.complete(y, got[0]), full, atol=1e-6) and np.allclose(got[0].effect, effect, atol=1e-7)
+    assert np.allclose(L.complete(y, asked[0]), full, atol=0.1)
+
+
+def test_matrices_of_frequent_patterns_equal_their_rows(spark):
+    rng = np.random.default_rng(12)
+    y = rng.normal(size=(300, 1)) @ rng.normal(size=(1, 6)) + rng.normal(size=(300, 6)) * 0.3
+    y[::3, 5] = y[1::3, 0] = np.nan
+    y[0, 3] = np.nan
+    data = L.single(as_donors(spark, y), 6)
+    assert len(data.known[0].patterns) == 3 and len(data.known[0].seen) == 1 and data.rest is None
+    fit = data.fit({0: ((0, 0), 1, None)}, tol=1e-10, fast=False)[0]
+    full, effect = plain_em(y, 1, None, 1e-10)
+    assert np.allclose(L.complete(y, fit), full, atol=1e-6) and np.allclose(fit.effect, effect, atol=1e-7)
+
+
 def test_weights_are_repeated_rows(spark):
     y = gappy(seed=3)
     rows = [(0, [None if np.isnan(v) else float(v) for v in r], [1.0, float(i % 3)]) for i, r in enumerate(y)]

@@ -61,10 +61,38 @@ def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str] | N
     return joined.withColumn("distance", F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))).where(F.col("distance") <= radius).drop("_c", "_r")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str) -> DataFrame:
-    """Nearest right row of each left row within the radius; ties go to the smaller id; others are dropped."""
-    pairs = within(left, right, radius)
-    return pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("m")).select(left_id, "m.*")
+def nearest_within(left: DataFrame, right: DataFrame, radius: float, right_id: str, keys: list[str] | None = None, most: int = 16) -> DataFrame:
+    """Rows of left (x, y) with ``right_id`` and ``distance`` of the nearest right row (rx, ry) of equal keys within the radius; ties go to
+    the smaller id, rows without one are dropped.
+
+    Right places are listed by buckets with their 3 x 3 neighbourhood, so that a left row meets one list and no pairs are made. Buckets
+    start so narrow that none holds more than ``most`` places (at the least, a 2^20th of the radius); rows that have nothing nearer than
+    a bucket's side go on to buckets twice as wide, up to the radius.
+    """
+    keys = keys or []
+    places = right.groupBy(*keys, "rx", "ry").agg(F.min(right_id).alias(right_id)).checkpoint()
+    side = F.lit(float(radius)) / F.pow(F.lit(2.0), "level")
+    levels = places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(20)))).groupBy("level", *keys, F.floor(F.col("rx") / side).alias("_c"), F.floor(F.col("ry") / side).alias("_r")).count()
+    crowds = dict(map(tuple, levels.groupBy("level").agg(F.max("count")).collect()))
+    level = next((k for k in sorted(crowds) if crowds[k] <= most), 20)
+    around = F.expr("explode(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j)))))").alias("_s")
+    away = lambda p: F.sqrt((F.col("x") - p["rx"]) * (F.col("x") - p["rx"]) + (F.col("y") - p["ry"]) * (F.col("y") - p["ry"]))
+    out, rest = None, left
+    for k in range(level, -1, -1):
+        size = radius / 2**k
+        lists = _bucket(places.withColumn("x", F.col("rx")).withColumn("y", F.col("ry")), size).select("*", around)
+        lists = lists.groupBy(*keys, (F.col("_c") + F.col("_s.i")).alias("_c"), (F.col("_r") + F.col("_s.j")).alias("_r")).agg(F.collect_list(F.struct("rx", "ry", right_id)).alias("_near"))
+        found = _bucket(rest, size).join(lists, [*keys, "_c", "_r"], "left")
+        found = found.withColumn("_m", F.array_min(F.transform("_near", lambda p: F.struct(away(p).alias("distance"), p[right_id].alias(right_id))))).select(*left.columns, "_m")
+        # Whatever is nearer than a bucket's side stands in the neighbourhood; the last buckets are as wide as the radius.
+        near = F.coalesce(F.col("_m.distance") < size * (1 - 1e-9), F.lit(False))
+        if k:
+            found = found.checkpoint()
+            rest = found.where(~near).drop("_m")
+            found = found.where(near)
+        found = found.where(F.col("_m.distance") <= radius).select(*left.columns, "_m.*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def rectangle_distance(x: Column, y: Column, cx: Column, cy: Column, half: float) -> Column:

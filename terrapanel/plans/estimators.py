@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +9,7 @@ from ..operators import estimators as E
 from ..operators import lowrank as L
 from ..operators import studies as T
 from . import roles as R
-from .base import book
+from .base import book, ready
 from .panels import rel
 
 QUERIES, ORACLE, query = book()
@@ -24,15 +21,6 @@ R.SQL["paths"] = """SELECT p.treated, (year(a.period) - year(p.opening)) * 12 +
     LEFT JOIN panel b ON b.unit = p.control AND b.period = a.period"""
 
 
-def ready(s):
-    """The checkpoint folder that the session names; where it names none, a local session gets a temporary one."""
-    if not s.sparkContext.getCheckpointDir():
-        base = s.conf.get("spark.checkpoint.dir", None)
-        if not base and not re.fullmatch(r"local(\[.*\])?", s.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        s.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def pairs(s, d):
     u = R.units(s, d)
     donor = F.when(~F.col("treated"), F.col("unit"))

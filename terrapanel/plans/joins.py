@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import panels as P
 from ..operators import spatial as S
 from . import roles as R
-from .base import book
+from .base import book, ready
 from .panels import rel
 
 QUERIES, ORACLE, query = book()
@@ -113,8 +113,9 @@ NEAR = """WITH k AS (SELECT point_id, unit, sqrt(power(p.x - u.x, 2) + power(p.y
 
 @query("nearest_centroid_within", NEAR, "points mpoints units munits")
 def _(s, d):
-    got = S.nearest_within(mpoints(s, d).select("point_id", "x", "y"), stations(s, d).select("unit", "rx", "ry"), 1500.0, "point_id", "unit")
-    return got.withColumn("distance", F.round("distance", 3))
+    ready(s)
+    got = S.nearest_within(mpoints(s, d).select("point_id", "x", "y").distinct(), stations(s, d).select("unit", "rx", "ry"), 1500.0, "unit")
+    return got.select("point_id", F.round("distance", 3).alias("distance"), "unit")
 
 
 @query("nearest_radius_reject", """WITH k AS (SELECT o.community, u.unit, 2 * 6371008.8::DOUBLE * asin(sqrt(least(power(sin(radians(u.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(u.lat)) * power(sin(radians(u.lon - o.lon) / 2), 2), 1))) AS m

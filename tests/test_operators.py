@@ -108,6 +108,24 @@ def test_radius_join_equals_all_pairs(spark):
     assert {(r["i"], r["j"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("most", [1, 3, 16])
+def test_nearest_within_equals_all_pairs(spark, most):
+    rng = np.random.default_rng(4)
+    # Spread and crowded places, two units at one place, ties on a lattice, rows without anything near.
+    xy = np.concatenate([rng.uniform(-3000, 3000, (60, 2)), rng.normal(0, 2, (60, 2)), np.round(rng.uniform(-10, 10, (40, 2))) * 100])
+    units = [(i, i % 2, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([xy, xy[:5]]))]
+    at = np.concatenate([rng.uniform(-4500, 4500, (80, 2)), rng.normal(0, 3, (40, 2)), np.round(rng.uniform(-10, 10, (40, 2))) * 100 + 50])
+    points = [(i, i % 2, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(900, 0, None, 1.0), (901, 5, 0.0, 0.0)]
+    want = {}
+    for i, city, x, y in points:
+        near = [(math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j) for j, c, u, v in units if c == city] if x is not None else []
+        if near and min(near)[0] <= 700.0:
+            want[i] = min(near)
+    right = spark.createDataFrame(units, "unit long, city int, rx double, ry double")
+    got = S.nearest_within(spark.createDataFrame(points, "i long, city int, x double, y double").repartition(3), right, 700.0, "unit", ["city"], most)
+    assert {r["i"]: (r["distance"], r["unit"]) for r in got.collect()} == want and 0 < len(want) < len(points)
+
+
 def test_rectangle_distance(spark):
     df = spark.createDataFrame([(250.0, 250.0, 250.0, 250.0), (250.0, 250.0, 1400.0, 250.0)], "x double, y double, cx double, cy double")
     got = [r[0] for r in df.select(S.rectangle_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), 250.0)).collect()]

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import panels as P
 from ..operators import spatial as S
 from . import roles as R
-from .base import book
+from .base import book, ready
 from .cleaning import poi
 
 QUERIES, ORACLE, query = book()
@@ -74,12 +74,12 @@ def _(s, d):
     SELECT city, unit, month, round(avg(value), 5) AS mean, count(metres) AS support, round(avg(metres), 3) AS metres_mean, round(max(metres), 3) AS metres_max FROM universe LEFT JOIN near USING (city, unit, month) GROUP BY ALL""", "points mpoints units munits")
 def _(s, d):
     """Every point goes to the nearest cell centre of its city within 3 km; all cells stay for every month of their city."""
-    p = R.metric(R.points(s, d)).select("point_id", "city", "x", "y", "value", F.trunc("day", "MM").alias("month"))
+    ready(s)
+    p = R.metric(R.points(s, d)).select("point_id", "city", "x", "y", "value", "day", F.trunc("day", "MM").alias("month"))
     u = R.metric(R.units(s, d)).select("unit", "city", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    best = F.min(F.struct("distance", "unit")).alias("m")
-    near = S.within(p, u, 3000.0, ["city"]).groupBy("point_id", "city", "month", "value").agg(best)
-    g = near.groupBy("city", F.col("m.unit").alias("unit"), "month").agg(
-        F.avg("value").alias("mean"), F.count("*").alias("support"), F.avg("m.distance").alias("metres_mean"), F.max("m.distance").alias("metres_max")
+    near = S.nearest_within(p.distinct(), u, 3000.0, "unit", ["city"])
+    g = near.groupBy("city", "unit", "month").agg(
+        F.avg("value").alias("mean"), F.count("*").alias("support"), F.avg("distance").alias("metres_mean"), F.max("distance").alias("metres_max")
     )
     universe = u.select("city", "unit").join(p.select("city", "month").distinct(), "city")
     out = universe.join(g, ["city", "unit", "month"], "left")

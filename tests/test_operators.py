@@ -126,6 +126,30 @@ def test_nearest_within_equals_all_pairs(spark, most):
     assert {r["i"]: (r["distance"], r["unit"]) for r in got.collect()} == want and 0 < len(want) < len(points)
 
 
+def test_blocks_of_vectors_give_the_nearest_with_ties_by_id(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(70, 6))
+    v = np.concatenate([v, v, v[:30], np.zeros((1, 6))])
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<float>").select("id", V.unit_norm(F.col("v")).alias("v")).repartition(3).checkpoint()
+    unit = [r["v"] for r in rows.orderBy("id").collect()]
+    assert np.allclose(unit, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300))
+    want = {}
+    for a in range(0, len(v), 5):
+        exact = []
+        for b in range(len(v)):
+            total = 0.0
+            for x, y in zip(unit[a], unit[b]):
+                total += x * y
+            exact.append((-total, b))
+        want[a] = [(b, -c) for c, b in sorted(x for x in exact if x[1] != a)[:4]]
+    pool = rows.select(F.col("id").alias("pid"), F.col("v").alias("pv"))
+    for sizes in ({}, {"query_size": 7, "pool_size": 20}, {"query_size": 1, "pool_size": 3}):
+        got = {}
+        for r in V.nearest(rows.where("id % 5 = 0"), pool, 4, **sizes).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append((r["pid"], r["cosine"]))
+        assert got == want
+
+
 def test_rectangle_distance(spark):
     df = spark.createDataFrame([(250.0, 250.0, 250.0, 250.0), (250.0, 250.0, 1400.0, 250.0)], "x double, y double, cx double, cy double")
     got = [r[0] for r in df.select(S.rectangle_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), 250.0)).collect()]

@@ -150,6 +150,23 @@ def test_blocks_of_vectors_give_the_nearest_with_ties_by_id(spark):
         assert got == want
 
 
+def test_masked_correlations_by_blocks(spark):
+    rng = np.random.default_rng(10)
+    y = rng.normal(size=(40, 8)) + 1e4
+    y[rng.random(y.shape) < 0.4] = np.nan
+    y[3], y[4], y[5] = np.nan, 2.5, [1.0, 2.0, *[np.nan] * 6]
+    df = spark.createDataFrame([(i, [None if np.isnan(x) else float(x) for x in r]) for i, r in enumerate(y)], "unit long, v array<double>")
+    left = df.where("unit % 4 = 0").selectExpr("unit AS a", "v AS x")
+    rows = V.masked_correlations(left, df.selectExpr("unit AS b", "v AS y"), 3, left_size=3, right_size=9).collect()
+    got = {(r["a"], r["b"]): r["r"] for r in rows}
+    both = {(a, b): np.isfinite(y[a]) & np.isfinite(y[b]) for a in range(0, 40, 4) for b in range(40)}
+    assert len(rows) == len(got) and set(got) == {k for k, m in both.items() if m.any()}
+    for (a, b), m in both.items():
+        if m.any():
+            known = m.sum() >= 3 and np.ptp(y[a][m]) > 0 and np.ptp(y[b][m]) > 0
+            assert got[a, b] == pytest.approx(np.corrcoef(y[a][m], y[b][m])[0, 1], abs=1e-7) if known else math.isnan(got[a, b])
+
+
 def test_rectangle_distance(spark):
     df = spark.createDataFrame([(250.0, 250.0, 250.0, 250.0), (250.0, 250.0, 1400.0, 250.0)], "x double, y double, cx double, cy double")
     got = [r[0] for r in df.select(S.rectangle_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), 250.0)).collect()]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .matching import top_k, top_k_ties  # noqa: F401
+from .matching import TIE, top_k, top_k_ties  # noqa: F401
 from .studies import event_studies
 
 
@@ -113,36 +113,57 @@ def squared_distance(a: Column, b: Column) -> Column:
 def abadie_imbens(df: DataFrame, y: str, treated: str, x: list[str]) -> dict:
     """Matching ATT with one neighbour, ties, regression bias adjustment and analytic variance.
 
-    df needs a unique long ``id``. Returns estimate, se, unadjusted and the number of matches.
+    df needs a unique long ``id``. Returns estimate, se, unadjusted and the number of matches. Units of one arm with equal covariates are
+    one class with sums, so that ties between copies aren't expanded. df is read once; rows with a null are left out.
     """
+    df = df.select("id", F.col(y).alias("y"), F.col(treated).alias("t"), *x).dropna().checkpoint()
     n, s, q = moments(df, x)
+    # No result changes when all outcomes move, and sums of squares around the mean don't cancel.
+    center = df.agg(F.avg("y")).first()[0]
     sd = np.sqrt(np.diag(q - np.outer(s, s) / n) / (n - 1))
-    base = df.select("id", F.lit(0).alias("block"), F.col(y).alias("y"), F.col(treated).alias("t"), *[((F.col(c) - float(m)) / float(k)).alias(c) for c, m, k in zip(x, s / n, sd)])
+    base = df.select("id", (F.col("y") - center).alias("y"), "t", *[((F.col(c) - float(m)) / float(k)).alias(c) for c, m, k in zip(x, s / n, sd)])
     _, _, second = moments(base, x)
     w, v = np.linalg.eigh(second / (n - 1))
-    base = whitened(base, x, (v / np.sqrt(w)).T)
-    rows = base.select(F.col("id").alias("target"), "block", "w", "t", "y", *x)
-    other = base.select(F.col("id").alias("donor"), "block", F.col("w").alias("v"), F.col("t").alias("dt"), F.col("y").alias("dy"), *[F.col(c).alias(f"d_{c}") for c in x])
-    links = top_k_ties(rows.where("t").select("target", "block", "w"), other.where("not dt").select("donor", "block", "v"), "block", 1)
-    links = links.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("target")))
-    used = links.groupBy("donor").agg(F.sum("weight").alias("k"), F.sum(F.col("weight") * F.col("weight")).alias("k2"))
-    controls = other.where("not dt").join(used, "donor")
-    design = controls.select((F.lit(1.0) * F.sqrt("k")).alias("c0"), *[(F.col(f"d_{c}") * F.sqrt("k")).alias(f"c_{c}") for c in x], (F.col("dy") * F.sqrt("k")).alias("cy"))
+    sums = [F.min("id").alias("class"), F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")]
+    classes = whitened(base.groupBy("t", *x).agg(*sums), x, (v / np.sqrt(w)).T).withColumn("block", F.lit(0)).checkpoint()
+
+    def nearest(targets: DataFrame) -> DataFrame:
+        """Links to the nearest classes of controls."""
+        pool = classes.where("not t").select(F.col("class").alias("donor"), "block", F.col("w").alias("v"))
+        return top_k_ties(targets.select(F.col("class").alias("target"), "block", "w"), pool, "block", 1).select("target", "donor", "d2")
+
+    donors = classes.select(F.col("class").alias("donor"), F.col("n").alias("dn"), F.col("sy").alias("dsy"), *[F.col(c).alias(f"d_{c}") for c in x])
+    own = classes.select(F.col("class").alias("target"), "n", "sy", "syy", *x)
+    links = nearest(classes.where("t")).join(own, "target").join(donors, "donor")
+    links = links.withColumn("weight", 1.0 / F.sum("dn").over(Window.partitionBy("target"))).checkpoint()
+    used = links.groupBy("donor").agg(F.sum(F.col("n") * F.col("weight")).alias("k"), F.sum(F.col("n") * F.col("weight") * F.col("weight")).alias("k2"))
+    # A class of controls counts with its size in the regression, by its mean outcome.
+    design = donors.join(used, "donor").withColumn("root", F.sqrt(F.col("k") * F.col("dn")))
+    design = design.select(F.col("root").alias("c0"), *[(F.col(f"d_{c}") * F.col("root")).alias(f"c_{c}") for c in x], (F.col("dsy") / F.col("dn") * F.col("root")).alias("cy"))
     _, _, gram = moments(design, ["c0", *[f"c_{c}" for c in x], "cy"])
     beta = np.linalg.pinv(gram[:-1, :-1]) @ gram[:-1, -1]
     fit = lambda p: sum((F.col(f"{p}{c}") * float(b) for c, b in zip(x, beta[1:])), F.lit(float(beta[0])))
-    pairs = links.join(rows.drop("w", "block"), "target").join(other.drop("v", "block"), "donor")
-    each = pairs.groupBy("target").agg(F.sum(F.col("weight") * (F.col("y") - F.col("dy"))).alias("raw"), F.sum(F.col("weight") * (F.col("y") - F.col("dy") - (fit("") - fit("d_")))).alias("adj"))
-    r = each.agg(F.avg("adj").alias("tau"), F.avg("raw").alias("raw"), F.count("*").alias("n"), F.sum("adj").alias("s"), F.sum(F.col("adj") * F.col("adj")).alias("q")).first()
-    tau, n1 = r["tau"], r["n"]
-    own = lambda arm: rows.where(arm).select("target", "block", "w")
-    mine = lambda arm: other.where(arm).select("donor", "block", "v")
-    same = top_k_ties(own("t"), mine("dt"), "block", 1).unionByName(top_k_ties(own("not t"), mine("not dt"), "block", 1))
-    near = same.join(other.select("donor", "dy"), "donor").groupBy("target").agg(F.avg("dy").alias("m"), F.count("*").alias("j"))
-    sig = rows.select("target", "t", "y").join(near, "target").withColumn("s2", F.col("j") / (F.col("j") + 1) * (F.col("y") - F.col("m")) * (F.col("y") - F.col("m")))
-    extra = sig.where("not t").join(used.withColumnRenamed("donor", "target"), "target").agg(F.sum(F.col("s2") * (F.col("k") * F.col("k") - F.col("k2")))).first()[0] or 0.0
+    # What is taken from the outcome is the same for all units of a class.
+    each = links.groupBy("target", "n", "sy", "syy").agg(F.sum(F.col("weight") * F.col("dsy")).alias("raw"), F.sum(F.col("weight") * (F.col("dsy") + F.col("dn") * (fit("") - fit("d_")))).alias("adj"))
+    squared = F.col("syy") - 2 * F.col("adj") * F.col("sy") + F.col("n") * F.col("adj") * F.col("adj")
+    total = lambda c: F.sum(F.col("sy") - F.col("n") * F.col(c))
+    r = each.agg(F.sum("n").alias("n"), total("raw").alias("raw"), total("adj").alias("s"), F.sum(squared).alias("q")).first()
+    n1 = r["n"]
+    tau = r["s"] / n1
+    # The nearest of the own arm, for controls that are used: others of the class, and other classes as near as these or else nearest.
+    lone = F.col("n") == 1
+    near = nearest(classes.join(used.select(F.col("donor").alias("class")), "class")).join(own.select("target", "n"), "target").where(lone | (F.col("d2") <= TIE))
+    near = near.join(donors.select("donor", "dn", "dsy"), "donor").groupBy("target").agg(F.sum("dn").alias("jn"), F.sum("dsy").alias("jsy"))
+    sig = own.join(used.withColumnRenamed("donor", "target"), "target").join(near, "target", "left").fillna(0, ["jn", "jsy"])
+    # With m others of the class and j units of near classes, y - mean = (y (m + 1 + j) - sum of class and near) / (m + j).
+    m, whole = F.when(lone, F.lit(0)).otherwise(F.col("n") - 1), F.when(lone, F.lit(0.0)).otherwise(F.col("sy")) + F.col("jsy")
+    j = m + F.col("jn")
+    scale = F.when(lone, j).otherwise(j + 1)
+    away = scale * scale * F.col("syy") - 2 * scale * whole * F.col("sy") + F.col("n") * whole * whole
+    s2 = F.when(j > 0, away / (j * (j + 1)))
+    extra = sig.agg(F.sum(s2 * (F.col("k") * F.col("k") - F.col("k2")))).first()[0] or 0.0
     variance = (r["q"] - 2 * tau * r["s"] + n1 * tau * tau + extra) / n1**2
-    return {"estimate": tau, "se": math.sqrt(variance), "unadjusted": r["raw"], "n_treated": n1}
+    return {"estimate": tau, "se": math.sqrt(variance), "unadjusted": r["raw"] / n1, "n_treated": n1}
 
 
 def ols(df: DataFrame, y: str, x: list[str]) -> tuple[np.ndarray, np.ndarray, float]:

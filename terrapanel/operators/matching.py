@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 PER_PIVOT, MOST_PIVOTS = 64, 1024
 #: Donors of a cell, and visits to it, that one task compares.
 CHUNK, PART = 8192, 4096
+#: Squared distances that differ by no more than this tie.
+TIE = 1e-10
 
 
 def squares(w: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -57,9 +59,10 @@ def _visited(w: np.ndarray, pivots: np.ndarray, stats: np.ndarray, need: int, sl
     return np.nonzero((near <= np.sqrt(bound**2 + slack)[:, None] * (1 + 1e-9) + 1e-9) & (count > 0))
 
 
-def candidates(targets: DataFrame, donors: DataFrame, block: str, k: int, slack: float, per_pivot: int = PER_PIVOT, most_pivots: int = MOST_PIVOTS, chunk: int = CHUNK, part: int = PART) -> DataFrame:
-    """Rows (target, donor, d2) with at least all donors whose squared distance is within ``slack`` of the target's k-th."""
-    donors = donors.select(F.col("donor"), F.col(block).alias("block"), "v").where(F.col("block").isNotNull() & F.col("v").isNotNull())
+def candidates(targets: DataFrame, donors: DataFrame, block: str, k: int, slack: float, ties: bool = True, per_pivot: int = PER_PIVOT, most_pivots: int = MOST_PIVOTS, chunk: int = CHUNK, part: int = PART) -> DataFrame:
+    """Rows (target, donor, d2) with at least all donors whose squared distance is within ``slack`` of the target's k-th; without ``ties``
+    with at least the k first ones by distance and id."""
+    donors = donors.select(F.col("donor"), F.col(block).alias("block"), "v").where(F.col("block").isNotNull() & F.col("v").isNotNull()).checkpoint()
     targets = targets.select(F.col("target"), F.col(block).alias("block"), "w").where(F.col("block").isNotNull() & F.col("w").isNotNull())
     kinds = {name: df.schema[c].dataType.simpleString() for name, df, c in (("target", targets, "target"), ("donor", donors, "donor"), ("block", donors, "block"))}
     pivots = _pivots(donors, "block", per_pivot, most_pivots)
@@ -113,6 +116,11 @@ def candidates(targets: DataFrame, donors: DataFrame, block: str, k: int, slack:
                 d[some["target"].to_numpy()[:, None] == ids[None, :]] = np.inf
                 limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
                 row, column = np.nonzero((d <= limit[:, None] + slack) & np.isfinite(d))
+                if not ties:
+                    order = np.lexsort((ids[column], d[row, column], row))
+                    row, column = row[order], column[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, column = row[kept], column[kept]
                 out.append(pd.DataFrame({"target": some["target"].to_numpy()[row], "donor": ids[column], "d2": d[row, column]}))
         return pd.concat(out) if out else pd.DataFrame({"target": own["donor"][:0], "donor": own["donor"][:0], "d2": np.zeros(0)})
 
@@ -130,11 +138,11 @@ def top_k(targets: DataFrame, donors: DataFrame, block: str, k: int, **bounds: i
     targets (target, block, w), donors (donor, block, v) with vectors of one length; null vectors and blocks meet nothing, and a
     target never meets the donor of its own id. ``bounds`` changes the index's sizes and no result.
     """
-    return _ranked(candidates(targets, donors, block, k, 0.0, **bounds)).where(F.col("rank") <= k)
+    return _ranked(candidates(targets, donors, block, k, 0.0, False, **bounds)).where(F.col("rank") <= k)
 
 
-def top_k_ties(targets: DataFrame, donors: DataFrame, block: str, k: int, tolerance: float = 1e-10, **bounds: int) -> DataFrame:
+def top_k_ties(targets: DataFrame, donors: DataFrame, block: str, k: int, tolerance: float = TIE, **bounds: int) -> DataFrame:
     """All donors within the k-th squared distance plus the tolerance; targets with fewer than k donors give none."""
-    pairs = candidates(targets, donors, block, k, tolerance, **bounds).checkpoint()
+    pairs = candidates(targets, donors, block, k, tolerance, True, **bounds).checkpoint()
     kth = _ranked(pairs).where(F.col("rank") == k).select("target", F.col("d2").alias("limit"))
     return pairs.join(kth, "target").where(F.col("d2") <= F.col("limit") + tolerance).drop("limit")

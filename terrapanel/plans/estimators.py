@@ -129,9 +129,9 @@ FEATURES = ["lag1", "lag2", "lag3"]
 R.SQL["features"] = """SELECT unit, city, treated, avg(y) FILTER (WHERE t BETWEEN -12 AND -1) AS lag1, avg(y) FILTER (WHERE t BETWEEN -24 AND -13) AS lag2, avg(y) FILTER (WHERE t BETWEEN -36 AND -25) AS lag3 FROM rel GROUP BY 1, 2, 3"""
 
 
-def features(s, d):
+def features(s, d, *more):
     block = lambda k: F.avg(F.when(F.col("t").between(-12 * k, -12 * k + 11), F.col("y"))).alias(f"lag{k}")
-    return rel(s, d).groupBy("unit", "city", "treated").agg(block(1), block(2), block(3))
+    return rel(s, d).groupBy("unit", "city", "treated").agg(block(1), block(2), block(3), *more)
 
 
 @query("feature_split", """SELECT count(*) FILTER (WHERE lag1 IS NOT NULL) = count(*) AS lag1_active, count(*) FILTER (WHERE lag2 IS NOT NULL) = count(*) AS lag2_active, count(*) FILTER (WHERE lag3 IS NOT NULL) = count(*) AS lag3_active FROM features""", "units panel rel features")
@@ -169,7 +169,7 @@ def _(s, d):
 
 def whitened_sides(s, d):
     ready(s)
-    f = features(s, d).dropna(subset=FEATURES)
+    f = features(s, d).dropna(subset=FEATURES).checkpoint()
     w = E.whitened(f, FEATURES, E.whitening(f, FEATURES))
     return w.where("treated").select(F.col("unit").alias("target"), "city", "w"), w.where("not treated").select(F.col("unit").alias("donor"), "city", F.col("w").alias("v")), w
 
@@ -183,7 +183,8 @@ def _(s, d):
 @query("topk_with_ties", """WITH k AS (SELECT t.unit AS target, c.unit AS donor, power(t.lag1 - c.lag1, 2) AS d2 FROM features t JOIN features c ON t.city = c.city AND t.treated AND NOT c.treated AND t.lag1 IS NOT NULL AND c.lag1 IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY d2, donor) AS r FROM k) SELECT k.target, k.donor, round(k.d2, 5) AS d2 FROM k JOIN r ON r.target = k.target AND r.r = 3 WHERE k.d2 <= r.d2 + 1e-10""", "units panel rel features")
 def _(s, d):
-    f = features(s, d).where("lag1 is not null")
+    ready(s)
+    f = features(s, d).where("lag1 is not null").checkpoint()
     t = f.where("treated").select(F.col("unit").alias("target"), "city", F.array("lag1").alias("w"))
     c = f.where("not treated").select(F.col("unit").alias("donor"), "city", F.array("lag1").alias("v"))
     return E.top_k_ties(t, c, "city", 3).select("target", "donor", F.round("d2", 5).alias("d2"))
@@ -271,7 +272,8 @@ def _(s, d):
 
 @query("abadie_imbens_att")
 def _(s, d):
-    f = features(s, d).dropna(subset=FEATURES).join(annual(s, d).where("year = 2000").select("unit", F.col("y").alias("out")), "unit")
+    ready(s)
+    f = features(s, d, F.avg(F.when(F.year("period") == 2000, F.col("y"))).alias("out")).dropna(subset=[*FEATURES, "out"])
     got = E.abadie_imbens(f.withColumn("id", F.col("unit")), "out", "treated", ["lag1", "lag2"])
     return s.createDataFrame([(got["estimate"], got["se"], got["unadjusted"], got["n_treated"])], "estimate double, se double, unadjusted double, n_treated long").select(
         *[F.round(c, 6).alias(c) for c in ("estimate", "se", "unadjusted")], "n_treated"

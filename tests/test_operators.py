@@ -16,6 +16,7 @@ from terrapanel.operators import sampling as A
 from terrapanel.operators import spatial as S
 from terrapanel.operators import studies as D
 from terrapanel.operators import surfaces as U
+from terrapanel.operators.matching import candidates
 
 
 def one(df):
@@ -33,6 +34,42 @@ def test_matching_att_reproduces_the_frozen_example(spark):
     assert abs(got["unadjusted"] - 2.144) < 1e-9
 
 
+def test_matching_att_reads_once_and_opens_no_copies(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    copies = rng.integers(1, 6, size=60)
+    x, t = np.repeat(rng.normal(size=(60, 2)), copies, 0), np.repeat(rng.random(60) < 0.3, copies)
+    y = 50 + x @ [0.7, -0.3] + 2 * t + rng.normal(size=len(x)) * 0.1
+    w = x / x.std(0, ddof=1)
+    # Whitened distances as the operator takes them: d' C^-1 d with the correlations of the scaled covariates.
+    d = w[:, None] - w[None, :]
+    d2 = np.einsum("abi,ij,abj->ab", d, np.linalg.inv(np.corrcoef(x.T)), d)
+    np.fill_diagonal(d2, np.inf)
+    link = lambda a, b: (lambda m: m / m.sum(1, keepdims=True))((d2[np.ix_(a, b)] <= d2[np.ix_(a, b)].min(1, keepdims=True) + 1e-10).astype(float))
+    m, same = link(t, ~t), link(~t, ~t)
+    k, z = m.sum(0), np.column_stack([np.ones(len(x)), x])
+    beta = np.linalg.lstsq(z[~t] * np.sqrt(k)[:, None], y[~t] * np.sqrt(k), rcond=None)[0]
+    left = y - z @ beta
+    each = left[t] - m @ left[~t]
+    j = 1 / same.max(1)
+    s2 = j / (j + 1) * (y[~t] - same @ y[~t]) ** 2
+    variance = (((each - each.mean()) ** 2).sum() + (s2 * (k**2 - (m**2).sum(0))).sum()) / t.sum() ** 2
+    read, asked = spark.sparkContext.accumulator(0), []
+
+    def count(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    search = E.top_k_ties
+    monkeypatch.setattr(E, "top_k_ties", lambda targets, *rest, **more: (asked.append(targets.count()), search(targets, *rest, **more))[1])
+    rows = [(i, float(a), float(b), bool(c), float(v)) for i, ((a, b), c, v) in enumerate(zip(x, t, y))]
+    kind = "id long, x1 double, x2 double, t boolean, y double"
+    got = E.abadie_imbens(spark.createDataFrame(rows, kind).mapInPandas(count, kind), "y", "t", ["x1", "x2"])
+    assert abs(got["estimate"] - each.mean()) < 1e-9 and abs(got["unadjusted"] - (y[t] - m @ y[~t]).mean()) < 1e-9
+    assert abs(got["se"] - variance**0.5) < 1e-9 and got["n_treated"] == t.sum()
+    assert read.value == len(rows) and sum(asked) <= 60
+
+
 def test_event_study_recovers_planted_effects(spark):
     rng = np.random.default_rng(3)
     rows = []
@@ -85,6 +122,13 @@ def test_nearest_by_cells_equals_all_pairs(spark, bounds):
     assert E.top_k(t, c.limit(0), "block", 3).count() == 0
 
 
+def test_ties_beyond_k_stay_in_their_task(spark):
+    t = spark.createDataFrame([(k, 0, [0.0]) for k in range(5)], "target long, block int, w array<double>")
+    c = spark.createDataFrame([(100 + k, 0, [1.0]) for k in range(200)], "donor long, block int, v array<double>")
+    assert candidates(t, c, "block", 3, 0.0, False).count() == 15
+    assert sorted(tuple(r) for r in E.top_k(t, c, "block", 3).select("target", "donor", "rank").collect()) == [(k, 100 + n, n + 1) for k in range(5) for n in range(3)]
+
+
 def test_flags_and_station_names(spark):
     df = spark.createDataFrame([("b;a", "a;c", "")], "x string, y string, z string")
     assert one(df.select(C.flag_union(F.col("x"), F.col("y"), F.col("z")))) == "a;b;c"

@@ -605,3 +605,13 @@ def test_pairs_by_common_cells_equal_all_pairs(spark):
             want[(masks[i] & masks[j]).bit_count()] = want.get((masks[i] & masks[j]).bit_count(), 0) + 1
     df = spark.createDataFrame([(m,) for m in masks], "m long").groupBy("m").agg(F.count("*").alias("n"))
     assert dict(V.pairs_by_common_cells(df, 6)) == want and V.pairs_by_common_cells(df.limit(0), 6) == []
+
+
+def test_months_of_the_panel_need_no_panel(spark, monkeypatch):
+    from terrapanel.plans import counterfactuals, roles
+
+    d = "/root/testdata/sf0.001"
+    at = F.year("period") * 12 + F.month("period") - 1
+    low, high = roles.panel(spark, d).agg(F.min(at), F.max(at)).first()
+    monkeypatch.setattr(roles, "panel", None)
+    assert counterfactuals.months(spark, d) == (low, high - low + 1)

@@ -150,20 +150,22 @@ def unseen_gaps(donors: DataFrame, fits: dict[int, Fit], starts: Iterable[int])
     def run(batches):
         total: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            w = np.array(pdf["w"].tolist(), float)
+            w, every = np.array(pdf["w"].tolist(), float), None
             for r, fit in fits.items():
                 t = len(fit.effect)
-                ys = matrix(pdf["y"][w[:, r] == 0], t)
+                every = matrix(pdf["y"], t) if every is None else every
+                ys = every[w[:, r] == 0]
+                seen = np.isfinite(ys)
                 for start in begins:
-                    seen = np.isfinite(ys)
                     ok = (seen[:, :start].sum(1) > fit.basis.shape[1]) & seen[:, start:].any(1)
                     if not ok.any():
                         continue
                     free = np.where(np.arange(t) < start, ys[ok], np.nan)
                     gap = (ys[ok] - fitted(free, fit))[:, start:]
-                    mean = np.nanmean(gap, axis=1)
-                    there = np.isfinite(gap)
-                    sums = np.array([there.sum(0), np.where(there, gap, 0).sum(0), np.where(there, gap**2, 0).sum(0)], float).T
+                    there = seen[ok, start:]
+                    gap[~there] = 0.0
+                    mean = gap.sum(1) / there.sum(1)
+                    sums = np.array([there.sum(0), gap.sum(0), (gap**2).sum(0)], float).T
                     for k, v in enumerate([*sums, np.array([len(mean), mean.sum(), (mean**2).sum()])]):
                         at = (start, k if k < len(sums) else None)
                         total[at] = total.get(at, 0.0) + v
@@ -186,15 +188,21 @@ def normal_inference(effect: Column, variance: Column, valid: Column, least_shar
 
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the standard normal: a series below 2.5, a continued fraction from there on."""
-    density = F.exp(-z * z / 2) * (2 / math.sqrt(2 * math.pi))
-    term, series = z, z
-    for k in range(1, 40):
-        term = term * z * z / (2 * k + 1)
-        series = series + term
-    tail = z
-    for k in range(30, 0, -1):
-        tail = z + k / tail
-    return F.when(z < 2.5, 1 - density * series).otherwise(density / tail)
+
+    def tail(z):
+        density = F.exp(-z * z / 2) * (2 / math.sqrt(2 * math.pi))
+        both = F.struct(z.alias("term"), z.alias("sum"))
+
+        def added(acc, k):
+            term = acc["term"] * z * z / (2 * k + 1)
+            return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+        series = F.aggregate(F.sequence(F.lit(1), F.lit(39)), both, added, lambda acc: acc["sum"])
+        fraction = F.aggregate(F.sequence(F.lit(30), F.lit(1)), z, lambda of, k: z + k / of)
+        return F.when(z < 2.5, 1 - density * series).otherwise(density / fraction)
+
+    # Bound once and folded over few nodes: written out, the terms hold thousands of copies of z, which Spark plans for many seconds.
+    return F.get(F.transform(F.array(z.cast("double")), tail), 0)
 
 
 def inference(effect: float, replicates: list[float], sizes: list[float] | None = None, least_share: float = 0.8) -> tuple:

@@ -88,6 +88,13 @@ def matrix(column: Iterable, t: int) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in y] for y in column], float).reshape(-1, t)
 
 
+def distinct(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns among rows of booleans, and which one each row has."""
+    bits = np.packbits(seen, axis=1)
+    _, at, which = np.unique(bits.view(f"V{bits.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+    return seen[at], which.reshape(-1)
+
+
 def fitted(ys: np.ndarray, fit: Fit) -> np.ndarray:
     """Time effect, level and directions of each row, with loadings fitted to what is seen of it.
 
@@ -96,11 +103,11 @@ def fitted(ys: np.ndarray, fit: Fit) -> np.ndarray:
     """
     x, share = fit.design()
     seen = np.isfinite(ys)
-    patterns, which = np.unique(seen, axis=0, return_inverse=True)
+    patterns, which = distinct(seen)
     o = patterns.astype(float)
     k = np.einsum("mt,ta,tb->mab", o, x, x, optimize=True) + np.diag(1 / share - 1)
     loads, g = np.linalg.pinv(k, hermitian=True), np.where(seen, ys - fit.effect, 0.0) @ x
-    return fit.effect + np.einsum("na,nab->nb", g, loads[which.reshape(-1)], optimize=True) @ x.T
+    return fit.effect + np.einsum("na,nab->nb", g, loads[which], optimize=True) @ x.T
 
 
 def _start(s: Statistics, first: np.ndarray) -> np.ndarray:
@@ -143,6 +150,14 @@ def _size(v: np.ndarray) -> float:
     return float(np.vdot(v, v))
 
 
+def _apart(one: tuple, other: tuple | None = None) -> float:
+    """Sum of squares of a b' of the first, or of its difference from the other's, by the triangular factor of both b."""
+    (a, b), (c, d) = one, other or (one[0][:, :0], None if one[1] is None else one[1][:, :0])
+    if b is None:
+        return _size(a - c if other else a)
+    return _size(np.column_stack([a, -c]) @ np.linalg.qr(np.column_stack([b, d]), mode="r").T)
+
+
 def _additive(s: Statistics) -> np.ndarray:
     """Time effects of the two-way additive fit: unit means leave the normal equations of the periods, which are solved at once."""
     o, t = s.seen.astype(float), s.seen.shape[1]
@@ -156,22 +171,35 @@ def _additive(s: Statistics) -> np.ndarray:
 class _Run:
     """One fit on its way: a pass takes the moments of all completed paths.
 
-    Where ``fast``, every second pass is followed by a squared extrapolation of the rows' fits, which is taken back where the observed
-    cells are then fitted worse; such a fit keeps no history.
+    Every second pass is followed by a squared extrapolation of the rows' fits, which is taken back where the observed cells are then
+    fitted worse; such a fit keeps no history.
     """
 
-    def __init__(self, s: Statistics, rank: int, soft: float | None, tol: float, fast: bool):
-        self.s, self.rank, self.soft, self.tol, self.fast = s, rank, soft, tol, fast
+    fast = True
+
+    def __init__(self, s: Statistics, rank: int, soft: float | None, tol: float):
+        self.s, self.rank, self.soft, self.tol = s, rank, soft, tol
         first = _additive(s)
-        self.full = _start(s, first)
         t = s.seen.shape[1]
         self.fit = Fit(first, np.zeros((t, 0)), np.zeros(0), first)
         self.low: tuple[np.ndarray, np.ndarray] | None = None
         self.passes, self.held, self.back = 0, [], None
+        self._begin()
+
+    def _begin(self) -> None:
+        self.full = _start(self.s, self.fit.first)
 
     def moments(self) -> tuple[float, np.ndarray, np.ndarray]:
         return _moments(self.s, self.full)
 
+    def _refit(self) -> None:
+        self.full, loads = _refitted(self.s, self.full, self.fit)
+        self.low = loads, self.fit.basis
+
+    def _state(self) -> tuple[np.ndarray, np.ndarray | None]:
+        """The rows' fits, or factors whose product they are: a and b of a b'."""
+        return self.full, None
+
     def advance(self, n: float, total: np.ndarray, gram: np.ndarray) -> bool:
         """One pass; whether it is known to change the fit (and its directions' part) by no more than the tolerance."""
         mean = total / max(n, 1e-300)
@@ -185,28 +213,27 @@ class _Run:
         weights = np.ones(int(keep.sum())) if self.soft is None else 1 - self.soft / size[keep]
         past = (*self.fit.history, self.fit) if self.passes and not self.fast else ()
         self.fit = Fit(effect, v[:, keep], weights, self.fit.first, past)
-        full, low = self.full, self.low
-        self.full, loads = _refitted(self.s, full, self.fit)
-        self.low = loads, self.fit.basis
+        state, low = self._state(), self.low
+        self._refit()
         self.passes += 1
         if self.fast and self.passes % 3 == 1:
             self._take_back()
         checked = self.passes % 3 == 2 if self.fast else self.passes % 4 == 0 or not self.rank and self.soft is None
-        settled = checked and self._change(full, low) <= self.tol
+        settled = checked and self._change(state, low) <= self.tol
         if self.fast and not settled:
             self.held.append(self.full)
             if self.passes % 3 == 0:
                 self._extrapolate()
         return settled
 
-    def _change(self, full: np.ndarray, low: tuple | None) -> float:
-        change = (_size(self.full - full) / max(_size(full), 1e-300)) ** 0.5
+    def _change(self, state: tuple, low: tuple | None) -> float:
+        change = (_apart(self._state(), state) / max(_apart(state), 1e-300)) ** 0.5
         if self.soft is None and self.rank:
             before = _size(low[0]) if low else 0.0
             if not low:
                 return np.inf
             if before > 1e-20:
-                change = max(change, (_size(self.low[0] @ self.low[1].T - low[0] @ low[1].T) / before) ** 0.5)
+                change = max(change, (_apart(self.low, low) / before) ** 0.5)
         return change
 
     def _misfit(self) -> float:
@@ -231,6 +258,67 @@ class _Run:
         self.back = None
 
 
+class _Steady(_Run):
+    """Passes without extrapolation, which keep their history.
+
+    The rows' fits are u z: a row of u has its constant, level and loadings, z the time effects, ones and directions. Rows of one
+    pattern have their gaps in the same periods, so that their part of the Gram matrix needs no more than u'u and u'cells, and their
+    gaps' part of new loadings is u times a small matrix. Rows of patterns with fewer than ``few`` rows come last and are completed.
+    """
+
+    fast, few = False, 16
+
+    def _begin(self) -> None:
+        s, first = self.s, self.fit.first
+        patterns, which = distinct(s.seen)
+        count = np.bincount(which, minlength=len(patterns))
+        rank = np.argsort(np.argsort(count < self.few, kind="stable"))
+        order = np.argsort(rank[which], kind="stable")
+        self.s = s = Statistics(s.seen[order], s.constant[order], s.cells[order])
+        often = count >= self.few
+        ends = np.cumsum(count[often]).tolist()
+        self.gap, self.runs, self.often = (~patterns[often]).astype(float), list(zip([0, *ends], ends, strict=False)), int(count[often].sum())
+        self.n, self.total, self.gram = float(s.constant @ s.constant), s.constant @ s.cells, s.cells.T @ s.cells
+        left = (s.cells.sum(1) - s.constant * (s.seen @ first)) / np.maximum(s.seen.sum(1), 1)
+        self._keep(np.column_stack([s.constant, left]), np.array([first, np.ones(len(first))]))
+
+    def _keep(self, u: np.ndarray, z: np.ndarray) -> None:
+        self.u, self.z = u, z
+        # From here on rows are completed one by one: all of them where patterns have too few rows for so many directions.
+        self.at = self.often if 2 * len(self.gap) * len(z) <= self.often else 0
+        self.filled = np.where(self.s.seen[self.at :], 0.0, u[self.at :] @ z)
+        self.gaps = z * self.gap[:, None, :] if self.at else None
+
+    def moments(self) -> tuple[float, np.ndarray, np.ndarray]:
+        u, cells, at, (k, t) = self.u, self.s.cells, self.at, self.z.shape
+        total, half = self.total + u[at:, 0] @ self.filled, self.filled.T @ (cells[at:] + self.filled / 2)
+        if at:
+            mixed, own = np.empty((len(self.gaps), k, t)), np.empty((len(self.gaps), k, k))
+            for (a, b), x, y in zip(self.runs, mixed, own, strict=True):
+                turned = u[a:b].T
+                np.matmul(turned, cells[a:b], out=x)
+                np.matmul(turned, u[a:b], out=y)
+            total = total + np.einsum("pk,pkt->t", own[:, 0], self.gaps)
+            half = half + self.gaps.reshape(-1, t).T @ (mixed + own @ self.gaps / 2).reshape(-1, t)
+        return self.n, total, self.gram + half + half.T
+
+    def _refit(self) -> None:
+        s, fit, at = self.s, self.fit, self.at
+        t = len(fit.effect)
+        to = np.column_stack([np.full(t, 1 / t), fit.basis])
+        new = s.cells @ to
+        new[at:] += self.filled @ to
+        if at:
+            for (a, b), by in zip(self.runs, self.gaps @ to, strict=True):
+                new[a:b] += self.u[a:b] @ by
+        loads = (new[:, 1:] - s.constant[:, None] * (fit.effect @ fit.basis)) * fit.weights
+        self.low = loads, fit.basis
+        self._keep(np.column_stack([s.constant, new[:, 0], loads]), np.vstack([fit.effect, np.ones(t), fit.basis.T]))
+
+    def _state(self):
+        return self.u, self.z.T
+
+
 def _held(rows: DataFrame, t: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Key -> (paths, weights) of rows (key, y, w), which the caller has counted."""
     got = rows.select("key", F.transform("y", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("y"), "w").toArrow()
@@ -336,7 +424,8 @@ class Panel:
         apart = None if self.held else self.rest
         if apart is not None and self.lengths:
             raise ValueError("shortened panels must fit the bounds of the statistics")
-        new = lambda at, rank, soft: _Run(self._statistics(at), rank, soft, tol, fast and apart is None)
+        kind = _Run if fast and apart is None else _Steady
+        new = lambda at, rank, soft: kind(self._statistics(at), rank, soft, tol)
         if apart is None and self.session is not None and len(plan) > 1:
             return self._dealt_out(plan, rounds, tol, fast)
         runs, done = {name: new(*p) for name, p in plan.items()}, {}

@@ -310,6 +310,25 @@ def test_matrices_of_frequent_patterns_equal_their_rows(spark):
     assert np.allclose(L.complete(y, fit), full, atol=1e-6) and np.allclose(fit.effect, effect, atol=1e-7)
 
 
+def test_passes_complete_the_rows_of_rare_patterns_only():
+    rng = np.random.default_rng(21)
+    y = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 9)) + rng.normal(size=(200, 9)) * 0.3
+    y[::4, 6:] = y[1::4, 0] = np.nan
+    y[2, 3] = y[7, 5] = np.nan
+    seen = np.isfinite(y)
+    run = L._Steady(L.Statistics(seen, np.ones(200), np.nan_to_num(y)), 2, None, 1e-3)
+    for _ in range(6):
+        run.advance(*run.moments())
+    assert len(run.runs) == 3 and len(run.filled) == 2
+    full = L.complete(y, run.fit)
+    for got, want in zip(run.moments(), (200, full.sum(0), full.T @ full), strict=True):
+        assert np.allclose(got, want, rtol=1e-10, atol=1e-9)
+    patterns, which = L.distinct(seen)
+    assert len(patterns) == len(np.unique(seen, axis=0)) and (patterns[which] == seen).all()
+    empty = L._Steady(L.Statistics(np.zeros((0, 9), bool), np.zeros(0), np.zeros((0, 9))), 1, None, 1e-3)
+    assert empty.moments()[0] == 0 and not empty.moments()[2].any()
+
+
 def test_weights_are_repeated_rows(spark):
     y = gappy(seed=3)
     rows = [(0, [None if np.isnan(v) else float(v) for v in r], [1.0, float(i % 3)]) for i, r in enumerate(y)]
@@ -377,6 +396,12 @@ def test_replicate_inference(spark):
     assert got[0][0] == 0.5 and got[1][3] == 1.0 and got[2][3] == 0.0 and got[3][0] is None and got[4][0] is None
 
 
+def test_the_normal_tail_plans_few_copies_of_its_argument(spark):
+    z = F.abs(F.col("id") / 3) / F.sqrt(F.col("id") + 1)
+    planned = spark.range(4).select(K.normal_tail(z).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert planned.count("abs(") == 1
+
+
 def test_placebo_gaps_of_unseen_donors(spark):
     y = gappy(seed=8, share=0.0)[:, :13]
     fit = L.fit_one(as_donors(spark, y), 13, 1)

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,23 +16,32 @@ from .lowrank import Fit, complete, fitted, matrix, panel
 PATHS = "name int, unit long, start int, observed array<double>, path array<double>, pre_rmspe double"
 
 
-def paths(units: DataFrame, fits: dict[int, Fit], hold: int = 0) -> DataFrame:
+def paths(units: DataFrame, fits: dict[int, Fit], hold: int | dict[int, int] = 0, by_start: bool = False) -> DataFrame:
     """Rows (name, unit, start, observed, path, pre_rmspe) of every unit (unit, y array, start) under every fit.
 
-    Level and loadings come from the seen periods before ``start`` (without the last ``hold`` of them) and are carried over all
-    periods of the fit. pre_rmspe is taken over the periods held out, or over the fitted ones where none is. Units with too few
-    seen periods for the fit's directions give no row.
+    Level and loadings come from the seen periods before ``start`` (without the last ``hold`` of them, for all fits or by name) and are
+    carried over all periods of the fit. pre_rmspe is taken over the periods held out, or over the fitted ones where none is. Units with
+    too few seen periods for the fit's directions give no row. Where ``by_start``, a unit meets the fit named by its start only.
     """
+    width = max((len(fit.effect) for fit in fits.values()), default=0)
+
+    def lists(values: np.ndarray) -> pa.ListArray:
+        flat, (n, t) = values.reshape(-1), values.shape
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * t + 1, t, dtype=np.int32)), pa.array(flat, mask=np.isnan(flat)))
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
+            wide, unit, starts = np.full((batch.num_rows, width), np.nan), batch.column("unit"), batch.column("start").to_numpy(zero_copy_only=False)
+            for i, y in enumerate(batch.column("y").to_pandas()):
+                wide[i, : len(y)] = np.asarray(y, float)[:width]
             for name, fit in fits.items():
                 t = len(fit.effect)
-                ys = np.array([([np.nan if v is None else v for v in y] + [np.nan] * t)[:t] for y in pdf["y"]], float).reshape(-1, t)
-                start = np.clip(pdf["start"].to_numpy(), 0, t)
+                own = np.flatnonzero(starts == name) if by_start else np.arange(len(wide))
+                ys, start = wide[own, :t], np.clip(starts[own], 0, t)
                 before = np.isfinite(ys) & (np.arange(t) < start[:, None])
-                last = before[:, ::-1].cumsum(1)[:, ::-1] <= hold
-                free, test = before & ~last, before & last if hold else before
+                out = hold.get(name, 0) if isinstance(hold, dict) else hold
+                last = before[:, ::-1].cumsum(1)[:, ::-1] <= out
+                free, test = before & ~last, before & last if out else before
                 ok = (free.sum(1) > fit.basis.shape[1] * (fit.weights >= 1).all()) & test.any(1)
                 if not ok.any():
                     continue
@@ -39,10 +49,10 @@ def paths(units: DataFrame, fits: dict[int, Fit], hold: int = 0) -> DataFrame:
                 path = fitted(np.where(free, ys, np.nan), fit)
                 error = np.where(test, ys - path, 0.0)
                 rmspe = np.sqrt((error**2).sum(1) / test.sum(1))
-                seen = [[None if np.isnan(v) else v for v in y] for y in ys.tolist()]
-                yield pd.DataFrame({"name": np.int32(name), "unit": pdf["unit"].to_numpy()[ok], "start": start[ok].astype(np.int32), "observed": seen, "path": list(path), "pre_rmspe": rmspe})
+                columns = [pa.array(np.full(len(ys), name, np.int32)), unit.take(pa.array(own[ok])), pa.array(start[ok].astype(np.int32)), lists(ys), lists(path), pa.array(rmspe)]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "unit", "start", "observed", "path", "pre_rmspe"])
 
-    return units.select("unit", "y", "start").mapInPandas(run, PATHS)
+    return units.select("unit", "y", "start").mapInArrow(run, PATHS)
 
 
 def gaps(found: DataFrame) -> DataFrame:

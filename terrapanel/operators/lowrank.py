@@ -85,7 +85,8 @@ class Paths:
 
 def matrix(column: Iterable, t: int) -> np.ndarray:
     """Paths as rows, gaps as NaN."""
-    return np.array([[np.nan if v is None else v for v in y] for y in column], float).reshape(-1, t)
+    # Arrays come from Arrow with NaN for null, and numpy takes None for NaN: no cell is looked at here.
+    return np.array([np.asarray(y, float) for y in column], float).reshape(-1, t)
 
 
 def distinct(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

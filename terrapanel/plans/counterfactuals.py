@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import counterfactual as K
@@ -159,23 +160,20 @@ def _(s, d):
     rank = chosen_rank(units, t)
     starts = sorted(r[0] for r in units.where("treated").select("start").distinct().collect() if 5 < r[0] <= t)  # at most t of them
     donors = units.where("not treated")
-    draw = F.xxhash64(F.lit(20260723), "start", "unit")
-    # At most 20 donors of each start reach the driver.
-    picked = {b: [r[0] for r in donors.select("unit", F.lit(b).alias("start")).orderBy(draw, "unit").limit(PLACEBOS).collect()] for b in starts}
+    drawn = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(20260723), "key", "unit"), "unit")
     keyed = donors.select("unit", "y", F.explode(F.array(*[F.lit(b) for b in starts])).alias("key"))
-    taken = s.createDataFrame([(b, u) for b, of in picked.items() for u in of], "key int, unit long")
+    # At most 20 donors of each start reach the driver.
+    picked = keyed.select("key", "unit", F.row_number().over(drawn).alias("n")).where(F.col("n") <= PLACEBOS).select("key", "unit").collect()
+    taken = s.createDataFrame(picked, "key int, unit long")
     keyed = keyed.join(F.broadcast(taken), ["key", "unit"], "left_anti")
     before = F.transform("y", lambda v, i: F.when(i < F.col("key"), v)).alias("y")
     data = L.panel(keyed.select("key", before, F.array(F.lit(1.0)).alias("w")).checkpoint(), t, lengths={b: b for b in starts})
     hold = {b: min(12, b - 5) for b in starts}
     fits = data.fit({b: ((b, 0), min(rank, max(0, (b - hold[b] - 1) // 2)), None) for b in starts})
-    placebo = donors.select("unit", "y").join(F.broadcast(taken.withColumnRenamed("key", "start")), "unit").select("unit", "start", "y", F.lit(False).alias("treated"))
-    every = units.where("treated").select("unit", "start", "y", "treated").unionByName(placebo)
-    got = None
-    for b in starts:
-        part = K.paths(every.where(F.col("start") == b), {b: fits[b]}, hold[b]).select("start", "unit", "pre_rmspe")
-        got = part if got is None else got.unionByName(part)
-    marked = got.join(every.select("unit", "start", "treated"), ["unit", "start"])
+    placebos = F.broadcast(taken.select("unit", F.col("key").alias("start"), F.lit(True).alias("placebo")))
+    every = units.where("treated").select("unit", "start", "y").unionByName(donors.select("unit", "y").join(placebos, "unit").select("unit", "start", "y"))
+    got = K.paths(every, fits, hold, by_start=True).select("start", "unit", "pre_rmspe")
+    marked = got.join(placebos, ["unit", "start"], "left").select("unit", "start", "pre_rmspe", F.col("placebo").isNull().alias("treated")).checkpoint()
     # 20 donors of each start.
     limit = marked.where("not treated").groupBy("start").agg(E.type8(F.collect_list("pre_rmspe"), 0.95).alias("limit"))
     own = marked.where("treated").join(F.broadcast(limit), "start")

@@ -353,6 +353,22 @@ def test_counterfactuals_recover_a_planted_effect(spark):
     assert all(abs(r["gap"] - 1) < 0.05 for r in K.gaps(K.paths(units, {0: shrunk})).where("unit = 99").collect())
 
 
+def test_each_unit_meets_the_fit_of_its_start_in_one_pass(spark):
+    y = gappy(seed=9)
+    fits = {b: L.fit_one(as_donors(spark, y[:, :b]), b, 1) for b in (9, 14)}
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r], (9, 14, 5)[i % 3]) for i, r in enumerate(y)]
+    rows.append((99, [1.0, None, 2.0], 9))
+    units = spark.createDataFrame(rows, "unit long, y array<double>, start int").repartition(3)
+    by = lambda df: {(r["name"], r["unit"]): (r["observed"], r["path"], r["pre_rmspe"]) for r in df.collect()}
+    found = K.paths(units, fits, {9: 2, 14: 3}, by_start=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got, want = by(found), {}
+    for b, hold in ((9, 2), (14, 3)):
+        want |= by(K.paths(units.where(F.col("start") == b), {b: fits[b]}, hold))
+    assert got == want and {n for n, _ in got} == {9, 14} and (9, 99) not in got
+    assert all(p[0] == [None if np.isnan(v) else v for v in y[u, :b]] and len(p[1]) == b for (b, u), p in got.items())
+
+
 def test_rolling_folds_and_rank_choice(spark):
     rng, t = np.random.default_rng(6), 12
     factor = np.cos(np.arange(t))

@@ -21,9 +21,10 @@ SHARES = tuple(float(x) for x in np.geomspace(1.0, 1e-3, 10))
 
 def months(s, d):
     """(first month as year * 12 + month - 1, number of months) of the panel."""
-    # The panel's months are those of its items, which needn't be grouped for it.
-    items = R.table(s, d, "lineitem").join(R.units(s, d).select("unit"), F.col("l_suppkey") == F.col("unit"))
-    day = items.agg(F.min("l_shipdate").cast("date").alias("first"), F.max("l_shipdate").cast("date").alias("last"))
+    # The panel's months are those of its items, which needn't be grouped for it; a row for each unit is joined instead of its items.
+    spans = R.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    spans = spans.join(R.units(s, d).select("unit"), F.col("l_suppkey") == F.col("unit"))
+    day = spans.agg(F.min("first").cast("date").alias("first"), F.max("last").cast("date").alias("last"))
     low, high = day.select(*[F.year(c) * 12 + F.month(c) - 1 for c in ("first", "last")]).first()
     return low, high - low + 1
 

@@ -28,6 +28,14 @@ def test_every_vector_gets_a_prediction(spark):
     assert np.allclose([got[i] for i in ids], label[at].mean(1), atol=1e-5)
 
 
+def test_every_vector_gets_a_score(spark):
+    ids, label, cosine, at = five_nearest(spark)
+    got = {r["id"]: (r["score"], r["cosine"]) for r in registry.queries()["knn_retrieval_score"](spark, SF).collect()}
+    assert sorted(got) == ids
+    want = np.column_stack([(label[at] == label[:, None]).mean(1), np.take_along_axis(cosine, at, 1).mean(1)])
+    assert np.allclose([got[i] for i in ids], want, atol=6e-5)
+
+
 def test_copies_of_one_vector_stay_few_and_keep_their_order(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(30, 5))

@@ -1,8 +1,10 @@
 """Queries that do their whole job: every row has its result."""
 
 import numpy as np
+import pytest
 
 from terrapanel.operators import evaluation as V
+from terrapanel.plans import evaluation as P
 from terrapanel.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +51,24 @@ def test_copies_of_one_vector_stay_few_and_keep_their_order(spark):
         got.setdefault(r["id"], []).append(r["pid"])
     assert sorted(got) == list(range(30))
     assert all(got[i] == [j for j in (0, 3, 6, 9) if j != i][:3] for i in range(0, 30, 3))
+
+
+def test_every_two_units_are_correlated(spark):
+    v = {r["unit"]: np.array(r["v"], float) for r in P.responses(spark, "/root/testdata/sf0.01").collect()}
+    got = {(r["a"], r["b"]): r["r"] for r in registry.queries()["masked_response_corr"](spark, "/root/testdata/sf0.01").collect()}
+    want = {(a, b) for a in v for b in v if a < b and np.isfinite(v[a] + v[b]).any()}
+    assert set(got) == want and any(a % 20 and b % 20 for a, b in want)
+
+
+@pytest.mark.parametrize("size", [2, 5, 9, 14, 40])
+def test_every_two_rows_meet_once(spark, size):
+    rng = np.random.default_rng(size)
+    y = rng.normal(size=(37, 9))
+    y[rng.random(y.shape) < 0.3] = np.nan
+    df = spark.createDataFrame([(i, [None if np.isnan(x) else float(x) for x in r]) for i, r in enumerate(y)], "a long, x array<double>").repartition(3)
+    rows = V.masked_correlations(df, None, 2, size).collect()
+    want = {(a, b): np.isfinite(y[a] + y[b]) for a in range(37) for b in range(a + 1, 37)}
+    assert sorted((r["a"], r["b"]) for r in rows) == sorted(k for k, m in want.items() if m.any())
+    for r in rows:
+        m = want[r["a"], r["b"]]
+        assert m.sum() < 2 or abs(r["r"] - np.corrcoef(y[r["a"]][m], y[r["b"]][m])[0, 1]) < 1e-7

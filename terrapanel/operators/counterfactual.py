@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lowrank import Fit, complete, fitted, matrix, panel
+from .evaluation import block_pairs
+from .lowrank import Fit, complete, distinct, fitted, loading, matrix, panel
 
 PATHS = "name int, unit long, start int, observed array<double>, path array<double>, pre_rmspe double"
 
@@ -149,6 +150,44 @@ def leave_out_weights(groups: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: (g != group_of(groups)).cast("double"))
 
 
+def mean_gaps(fits: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows (unit, n, gap) of fits (unit, n, effect, basis, weights): the mean of all seen gaps of units (y, start) from their starts on,
+    with loadings as ``paths`` fits them; null where there are none.
+
+    Paths are affine in what is seen before the start, so that units of one start and pattern go by their mean.
+    """
+    seen = F.concat_ws("", F.transform("y", lambda v: F.when(v.isNull(), "0").otherwise("1"))).alias("seen")
+    cells = units.select("start", seen, F.posexplode("y").alias("k", "v")).groupBy("start", "seen", "k").agg(F.count("*").alias("n"), F.avg("v").alias("v"))
+    groups = cells.groupBy("start", "seen").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("y"))
+    groups = groups.select(F.xxhash64("start", "seen").alias("at"), "start", "n", "y").checkpoint()
+
+    def lists(column: pa.ListArray) -> list[np.ndarray]:
+        return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+    def run(batches):
+        for batch in batches:
+            for one, other in zip(*batch.columns, strict=True):
+                (unit, n), (_, start, many) = (tuple(x.values.field(i) for i in range(k)) for x, k in ((one, 2), (other, 3)))
+                y, out = np.array(lists(other.values.field(3))), []
+                late = np.isfinite(y) & (np.arange(y.shape[1]) >= start.to_numpy()[:, None])
+                before = np.isfinite(y) & ~late
+                patterns, which = distinct(before)
+                patterns, count, many = patterns.astype(float), before.sum(1), many.to_numpy()
+                for effect, basis, weights in zip(*(lists(one.values.field(i)) for i in (2, 3, 4)), strict=True):
+                    fit = Fit(effect, basis.reshape(len(effect), len(weights)), weights)
+                    x = fit.design()[0]
+                    left = np.where(before, y - effect, 0.0) @ x
+                    gap = np.where(late, y - effect - (left[:, None, :] @ loading(patterns, fit)[which])[:, 0] @ x.T, 0.0)
+                    ok = (count > len(weights) * (weights >= 1).all()) * many
+                    out.append((ok @ gap.sum(1), ok @ late.sum(1)))
+                columns = [unit, n, *(pa.array(np.array(v, float)) for v in zip(*out, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "n", "s", "cells"])
+
+    met = block_pairs(fits.select("unit", "n", "effect", "basis", "weights"), groups, 512, 4096)
+    got = met.mapInArrow(run, "unit long, n long, s double, cells double").groupBy("unit", "n")
+    return got.agg(F.try_divide(F.sum("s"), F.sum("cells")).alias("gap"))
+
+
 def unseen_gaps(donors: DataFrame, fits: dict[int, Fit], starts: Iterable[int]) -> DataFrame:
     """Rows (start, event_time, n, s, q): number, sum and sum of squares of placebo gaps of donors in the replicates that didn't draw
     them, as if treated from each start on; event_time is null for the mean gap of a donor's whole path.
@@ -232,5 +271,23 @@ def inference(effect: float, replicates: list[float], sizes: list[float] | None
         se = float(np.sqrt(np.mean((pseudo - center) ** 2 / (h - 1))))
     else:
         se = float(v.std(ddof=1))
+    return _normal_row(effect, se, valid)
+
+
+def unit_jackknife(found: DataFrame, least_share: float = 0.8) -> tuple:
+    """As ``inference``, from rows (unit, n, gap) of refits without one of n equal units each and of the whole fit (n = 0): the pseudo-values
+    of N valid refits vary by (N - 1) squared times what the refits do, and the square of the error is an Nth of that.
+    """
+    whole = found.where("n = 0").first()
+    effect = whole["gap"] if whole else None
+    change = F.col("gap") - F.lit(effect).cast("double")
+    of, n, s, q = found.where("n > 0").agg(F.sum("n"), F.sum(F.when(change.isNotNull(), F.col("n"))), F.sum(F.col("n") * change), F.sum(F.col("n") * change * change)).first()
+    valid = (n or 0) / max(of or 0, 1)
+    if effect is None or (n or 0) < 2 or valid < least_share:
+        return effect, None, None, None, None, valid
+    return _normal_row(effect, (n - 1) * math.sqrt(max(q - s * s / n, 0.0) / (n - 1) / n), valid)
+
+
+def _normal_row(effect: float, se: float, valid: float) -> tuple:
     p = math.erfc(abs(effect) / se / math.sqrt(2)) if se else None
     return effect, se, effect - 1.959964 * se, effect + 1.959964 * se, p, valid

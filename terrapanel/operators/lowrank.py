@@ -159,16 +159,36 @@ def _apart(one: tuple, other: tuple | None = None) -> float:
     return _size(np.column_stack([a, -c]) @ np.linalg.qr(np.column_stack([b, d]), mode="r").T)
 
 
+def _normal(s: Statistics) -> tuple[np.ndarray, np.ndarray]:
+    """Normal equations of the periods' effects, which the unit means have left."""
+    o = s.seen.astype(float)
+    share, n = o / np.maximum(o.sum(1, keepdims=True), 1), s.constant**2
+    return np.diag(n @ o) - (o * n[:, None]).T @ share, s.constant @ s.cells - (s.constant * s.cells.sum(1)) @ share
+
+
 def _additive(s: Statistics) -> np.ndarray:
     """Time effects of the two-way additive fit: unit means leave the normal equations of the periods, which are solved at once."""
-    o, t = s.seen.astype(float), s.seen.shape[1]
-    share, n = o / np.maximum(o.sum(1, keepdims=True), 1), s.constant**2
-    left = np.diag(n @ o) - (o * n[:, None]).T @ share
-    right = s.constant @ s.cells - (s.constant * s.cells.sum(1)) @ share
-    effect = np.linalg.lstsq(left, right, rcond=1e-12)[0] if t else np.zeros(0)
+    effect = np.linalg.lstsq(*_normal(s), rcond=1e-12)[0] if s.seen.shape[1] else np.zeros(0)
     return effect - effect.mean()
 
 
+def _centred(n: float, total: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time effects and Gram matrix of the deviations from them and from the levels, of completed paths."""
+    mean = total / max(n, 1e-300)
+    spread = gram - n * np.outer(mean, mean)
+    spread = spread - spread.mean(0)
+    spread = spread - spread.mean(1, keepdims=True)
+    return mean - mean.mean(), (spread + spread.T) / 2
+
+
+def _directions(spread: np.ndarray, rank: int, soft: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """The directions that are kept of a Gram matrix, and the share of each."""
+    w, v = np.linalg.eigh(spread)
+    size, t = np.sqrt(np.maximum(w, 0)), len(w)
+    keep = np.arange(t) >= t - rank if soft is None else size > soft
+    return v[:, keep], np.ones(int(keep.sum())) if soft is None else 1 - soft / size[keep]
+
+
 class _Run:
     """One fit on its way: a pass takes the moments of all completed paths.
 
@@ -203,17 +223,9 @@ class _Run:
 
     def advance(self, n: float, total: np.ndarray, gram: np.ndarray) -> bool:
         """One pass; whether it is known to change the fit (and its directions' part) by no more than the tolerance."""
-        mean = total / max(n, 1e-300)
-        spread = gram - n * np.outer(mean, mean)
-        spread = spread - spread.mean(0)
-        spread = spread - spread.mean(1, keepdims=True)
-        t, effect = len(mean), mean - mean.mean()
-        w, v = np.linalg.eigh((spread + spread.T) / 2)
-        size = np.sqrt(np.maximum(w, 0))
-        keep = np.arange(t) >= t - self.rank if self.soft is None else size > self.soft
-        weights = np.ones(int(keep.sum())) if self.soft is None else 1 - self.soft / size[keep]
+        effect, spread = _centred(n, total, gram)
         past = (*self.fit.history, self.fit) if self.passes and not self.fast else ()
-        self.fit = Fit(effect, v[:, keep], weights, self.fit.first, past)
+        self.fit = Fit(effect, *_directions(spread, self.rank, self.soft), self.fit.first, past)
         state, low = self._state(), self.low
         self._refit()
         self.passes += 1
@@ -320,6 +332,146 @@ class _Steady(_Run):
         return self.u, self.z.T
 
 
+def loading(seen: np.ndarray, fit: Fit) -> np.ndarray:
+    """For each pattern the matrix that turns X_O'g_O into loadings; see ``fitted``. Scaled by the shares, so that small ones do no harm."""
+    x, share = fit.design()
+    root = np.sqrt(share)
+    k = (seen[:, None, :] * x.T) @ x * np.outer(root, root) + np.diag(1 - share)
+    solved = np.linalg.inv(k) if (share[1:] < 1).all() and seen.any(1).all() else np.linalg.pinv(k, hermitian=True)
+    return solved * np.outer(root, root)
+
+
+class LeftOut:
+    """Settled fits under a threshold without one path each, of rows and matrices of patterns.
+
+    Completed paths give time effects and a Gram matrix, these give the fit, and the fit completes the paths, with loadings solved for
+    what is seen. Where a round changes nothing the passes settle too, and as the problem is convex there is one such fit. Rounds are
+    mixed (Anderson) until effects and matrix change by no more than the tolerance: one path changes the fit by a share of one over
+    their number, which a loose tolerance would hide. A fit without directions is the additive one, which is solved at once.
+    """
+
+    mixed = 6
+
+    def __init__(self, known: Paths, t: int, soft: float, rounds: int = 5000, tol: float = 1e-11):
+        s, root = known.place(0, t), np.sqrt(known.weights[:, 0])
+        self.t, self.soft, self.rounds, self.tol, self.normal = t, soft, rounds, tol, _normal(s)
+        self.inverse = np.linalg.pinv(self.normal[0], rcond=1e-12, hermitian=True)
+        self.n, self.total, self.gram = float(s.constant @ s.constant), s.constant @ s.cells, s.cells.T @ s.cells
+        gappy, some, upper = ~known.seen.all(1) & (root > 0), ~known.patterns.all(1), np.triu_indices(t + 1)
+        self.rows = s = Statistics(known.seen[gappy], root[gappy], known.cells[gappy] * root[gappy, None])
+        patterns, self.which = distinct(s.seen) if len(s.seen) else (s.seen, np.zeros(0, int))
+        self.patterns, self.seen = patterns.astype(float), known.patterns[some].astype(float)
+        products = np.zeros((len(self.seen), t + 1, t + 1))
+        products[:, *upper] = known.products[some, 0]
+        self.products = products + np.triu(products, 1).transpose(0, 2, 1)
+        # Without directions (constant, sum of what is seen) is all that a row gives to its gaps: rare patterns are summed up too.
+        few = np.column_stack([s.constant, s.cells.sum(1) * t**-0.5])
+        turned, own = np.zeros((len(patterns), t + 1, 2)), np.zeros((len(patterns), 2, 2))
+        np.add.at(turned, self.which, np.column_stack([s.constant, s.cells])[:, :, None] * few[:, None, :])
+        np.add.at(own, self.which, few[:, :, None] * few[:, None, :])
+        often = self._turned(np.full((t, 1), t**-0.5))
+        # Rounding of the cells' squares, which paths without any spread leave, is no change.
+        self.least = 0.01 * float(np.trace(self.gram)) / max(self.n * t, 1)
+        self.level = np.concatenate([self.seen, self.patterns]), np.concatenate([often[0], turned]), np.concatenate([often[1], own])
+        self.whole = self._settled(None, None)
+        self.begin = self._moments(self.whole)
+
+    def _turned(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Products of (constant, cells) of each pattern with (constant, X_O), and of these with themselves."""
+        w = np.zeros((len(self.seen), self.t + 1, x.shape[1] + 1))
+        w[:, 0, 0], w[:, 1:, 1:] = 1, self.seen[:, :, None] * x
+        turned = self.products @ w
+        return turned, w.transpose(0, 2, 1) @ turned
+
+    def _moments(self, fit: Fit) -> tuple[float, np.ndarray, np.ndarray]:
+        """Weight, sum and Gram matrix of all paths, completed by the fit."""
+        x, total, half = fit.design()[0], self.total, np.zeros_like(self.gram)
+        if x.shape[1] > 1:
+            s, by = self.rows, loading(self.patterns, fit)[self.which]
+            left = np.where(s.seen, s.cells - s.constant[:, None] * fit.effect, 0.0) @ x
+            fill = np.where(s.seen, 0.0, s.constant[:, None] * fit.effect + (left[:, None, :] @ by)[:, 0] @ x.T)
+            total, half = total + s.constant @ fill, fill.T @ (s.cells + fill / 2)
+        seen, turned, own = self.level if x.shape[1] == 1 else (self.seen, *self._turned(x))
+        # A gap is (constant, X_O'y_O) times a small matrix.
+        each = loading(seen, fit) @ x.T
+        first = fit.effect - (((seen * fit.effect) @ x)[:, None, :] @ each)[:, 0]
+        at = np.concatenate([first[:, None, :], each], 1) * (1 - seen)[:, None, :]
+        mixed = turned[:, 1:].transpose(0, 2, 1) + own @ at / 2
+        total = total + turned[:, 0].reshape(-1) @ at.reshape(-1, self.t)
+        half = half + at.reshape(-1, self.t).T @ mixed.reshape(-1, self.t)
+        return self.n, total, self.gram + half + half.T
+
+    def _without(self, moments: tuple, y: np.ndarray | None, fit: Fit) -> tuple[float, np.ndarray, np.ndarray]:
+        if y is None:
+            return moments
+        seen, (x, _) = np.isfinite(y), fit.design()
+        g = np.where(seen, y - fit.effect, 0.0)
+        done = np.where(seen, y, fit.effect + (g @ x) @ loading(seen[None].astype(float), fit)[0] @ x.T)
+        n, total, gram = moments
+        return n - 1, total - done, gram - np.outer(done, done)
+
+    def _additive(self, y: np.ndarray | None) -> Fit:
+        (left, right), effect = self.normal, None
+        if y is None:
+            effect = self.inverse @ right
+        else:
+            o, cells = np.isfinite(y).astype(float), np.nan_to_num(y)
+            own = np.diag(o) - np.outer(o, o) / max(o.sum(), 1)
+            left, right = left - own, right - cells + cells.sum() * o / max(o.sum(), 1)
+            # What one path takes from the equations is small: few steps with the inverse of all of them solve its own.
+            if (self.inverse * own).sum() < 0.5:
+                effect = self.inverse @ right
+                for _ in range(60):
+                    step = self.inverse @ (right - left @ effect)
+                    effect = effect + step
+                    if np.abs(step).max() <= 1e-15 * np.abs(effect).max():
+                        break
+        if effect is None:
+            effect = np.linalg.pinv(left, rcond=1e-12, hermitian=True) @ right
+        return Fit(effect - effect.mean(), np.zeros((self.t, 0)), np.zeros(0))
+
+    def fit(self, y: np.ndarray) -> Fit:
+        """The fit without one path that equals this one."""
+        return self._settled(y, self._without(self.begin, y, self.whole) if self.whole.basis.shape[1] else None)
+
+    def _settled(self, y: np.ndarray | None, moments: tuple | None) -> Fit:
+        t, n, additive, past, drops = self.t, max(self.n - (y is not None), 1e-300), False, [], 0
+
+        def packed(moments):
+            effect, spread = _centred(*moments)
+            return np.concatenate([effect, spread.ravel() / n])
+
+        def kept(z):
+            spread = n * z[t:].reshape(t, t)
+            try:
+                np.linalg.cholesky(self.soft**2 * np.eye(t) - spread)
+            except np.linalg.LinAlgError:
+                return Fit(z[:t], *_directions(spread, 0, self.soft))
+            return Fit(z[:t], np.zeros((t, 0)), np.zeros(0))
+
+        z = packed(moments) if moments else None
+        for _ in range(self.rounds):
+            fit = None if z is None else kept(z)
+            if not additive and (fit is None or not fit.basis.shape[1]):
+                fit = self._additive(y)
+                z, past, additive = packed(self._without(self._moments(fit), y, fit)), [], True
+                if not kept(z).basis.shape[1]:
+                    return fit
+                continue
+            change = packed(self._without(self._moments(fit), y, fit)) - z
+            size = float(np.linalg.norm(change))
+            if size <= self.tol * max(float(np.linalg.norm(z)), self.least):
+                return kept(z + change)
+            if past and size > 2 * past[-1][2]:
+                past, drops = [], drops + 1
+            past = [*past[-self.mixed :], (z, change, size)]
+            z = z + change
+            if len(past) > 1 and drops < 3:
+                turn, step = (np.array([b[1] - a[1] + k * (b[0] - a[0]) for a, b in zip(past, past[1:], strict=False)]).T for k in (0, 1))
+                z = z - step @ np.linalg.lstsq(turn, change, rcond=1e-10)[0]
+        raise RuntimeError(f"low-rank fits aren't settled after {self.rounds} rounds")
+
+
 def _held(rows: DataFrame, t: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Key -> (paths, weights) of rows (key, y, w), which the caller has counted."""
     got = rows.select("key", F.transform("y", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("y"), "w").toArrow()
@@ -488,3 +640,28 @@ def single(donors: DataFrame, t: int, most_bytes: int = MOST_BYTES) -> Panel:
 
 def fit_one(donors: DataFrame, t: int, rank: int, soft: float | None = None, rounds: int = 5000, tol: float = 1e-5) -> Fit:
     return single(donors, t).fit({0: ((0, 0), rank, soft)}, rounds, tol)[0]
+
+
+def left_out(rows: DataFrame, data: Panel, soft: float) -> DataFrame:
+    """Rows (unit, n, effect, basis, weights): the fit without one path of each row (unit, y, n) of a panel of one key and weight, and
+    the fit of all, with n = 0 and no unit. The basis is written row by row. The panel must fit the bounds, as every refit needs it all.
+    """
+    if data.rest is not None and not data.held:
+        raise ValueError("refits without one path each need a panel within the bounds of the statistics")
+    t = data.t
+    none = Paths(np.zeros((0, t), bool), np.zeros((0, t)), np.zeros((0, 1)), np.zeros((0, t), bool), np.zeros((0, 1, (t + 1) * (t + 2) // 2)))
+    solver = LeftOut(data.known.get(0, none), t, soft)
+    shared = rows.sparkSession.sparkContext.broadcast(solver)
+    flat = lambda fit: (fit.effect.tolist(), fit.basis.ravel().tolist(), fit.weights.tolist())
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                fits = [flat(shared.value.fit(np.asarray(y, float))) for y in part["y"]]
+                yield part[["unit", "n"]].assign(**{c: list(v) for c, v in zip(("effect", "basis", "weights"), zip(*fits, strict=True), strict=True)})
+
+    kind = "unit long, n long, effect array<double>, basis array<double>, weights array<double>"
+    whole = rows.sparkSession.createDataFrame([(None, 0, *flat(solver.whole))], kind)
+    dealt = rows.select("unit", "y", "n").repartition(min(1024, -(-max(rows.count(), 1) // 128)), "unit")
+    return dealt.mapInPandas(run, kind).unionByName(whole)

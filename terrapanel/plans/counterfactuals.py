@@ -14,7 +14,7 @@ from .base import book
 from .estimators import ready
 
 QUERIES, ORACLE, query = book()
-RANKS, REPLICATES, GROUPS, PLACEBOS = (0, 1, 2, 3, 4, 5), 20, 20, 20
+RANKS, REPLICATES, PLACEBOS = (0, 1, 2, 3, 4, 5), 20, 20
 #: Thresholds as shares of the largest singular value of the additive fit's residuals, from simple to rich.
 SHARES = tuple(float(x) for x in np.geomspace(1.0, 1e-3, 10))
 
@@ -137,16 +137,12 @@ def _(s, d):
 
 @query("mc_jackknife")
 def _(s, d):
+    """Mean effect of the treated: a refit without each donor, of which equal ones share theirs, and the spread of the pseudo-values."""
     units, t = arrays(s, d)
-    soft = chosen_threshold(units, t)
-    donors = units.where("not treated").select("*", F.lit(0).alias("key"), F.concat(K.leave_out_weights(GROUPS), F.array(F.lit(1.0))).alias("w")).checkpoint()
-    data = L.panel(donors, t, GROUPS + 1)
-    whole = data.fit({-1: ((0, GROUPS), 0, soft)})
-    fits = data.fit({g: ((0, g), 0, soft) for g in range(GROUPS)}) | whole
-    means = {r["name"]: r["m"] for r in K.gaps(K.paths(units.where("treated"), fits)).groupBy("name").agg(F.avg("gap").alias("m")).collect()}
-    sizes = {r["g"]: r["count"] for r in donors.groupBy(K.group_of(GROUPS).alias("g")).count().collect()}
-    present = sorted(sizes)
-    row = K.inference(means.get(-1), [means.get(g) for g in present], [sizes[g] for g in present])
+    donors, soft = units.where("not treated"), chosen_threshold(units, t)
+    each = donors.groupBy("y").agg(F.min("unit").alias("unit"), F.count("*").alias("n")).checkpoint()
+    fits = L.left_out(each, L.single(donors, t), soft).checkpoint()
+    row = K.unit_jackknife(K.mean_gaps(fits, units.where("treated")).checkpoint())
     frame = s.createDataFrame([row], "effect double, se double, low double, high double, p double, valid double")
     return frame.select(*[F.round(c, 4).alias(c) for c in frame.columns])
 
